@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def two_decimals(x: Column) -> Column:
     """Two decimals, half to even on the exact binary value, no digit grouping."""
-    return F.format_number(x, "0.00")
+    return F.call_function("format_number", x, F.lit("0.00"))
 
 
 def coerce_text(raw: Column) -> Column:

@@ -180,6 +180,17 @@ def run_stages(df: DataFrame, text: Column, stages: Sequence[Stage]) -> tuple[Da
     return df, state
 
 
+def seal(df: DataFrame, keep: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
+    """``df`` with ``keep`` and ``columns``, closed to filters on the latter.
+
+    The optimizer moves a filter below projections by copying the filtered column's
+    definition into it, each stage into the next: every pattern would run many
+    times per row. Filters stop at generated columns, hence the one-row ``inline``;
+    filters on ``keep`` still go down to the scan of the table.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _as_source(source: str | Column) -> Column:
     if isinstance(source, str):
         if source not in ("input", "output"):
@@ -202,7 +213,7 @@ def scan(df: DataFrame, policy: Policy, text_col: str = "text", source: str | Co
     """
     keep = df.columns
     out, state = run_stages(df, F.col(text_col), all_stages(policy, _as_source(source), models))
-    return out.select(*keep, *[c.alias(n) for n, c in result_columns(state).items()])
+    return seal(out, keep, result_columns(state))
 
 
 def validate_input(df: DataFrame, policy: Policy, text_col: str = "text",
@@ -228,7 +239,7 @@ def redact(df: DataFrame, rules: Sequence, text_col: str = "text") -> DataFrame:
     stages = [_guard_stage(rules), *(stage(n, r) for n, r in enumerate(rules))]
     out, state = run_stages(df, F.col(text_col), stages)
     names = labels((r.name, state[f"hit{n}"]) for n, r in enumerate(rules))
-    return out.select(*keep, state["text"].alias("sanitized_text"), names.alias("redacted_types"))
+    return seal(out, keep, {"sanitized_text": state["text"], "redacted_types": names})
 
 
 def pii_guard(df: DataFrame, rules: Sequence, text_col: str = "text") -> DataFrame:

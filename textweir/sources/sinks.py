@@ -42,8 +42,8 @@ def null_sink() -> Sink:
 def table_sink(path: str, batch_id: int = 0, time_col: str = "timestamp") -> Sink:
     """Append gateway audit rows to a Parquet table by date.
 
-    ``id`` grows within a batch and across batches; a batch that is retried
-    replaces its own files, so nothing is written twice.
+    Rows are numbered within a batch, so ``(batch_id, id)`` orders them by arrival; a
+    batch that is retried replaces its own files, so nothing is written twice.
     """
     def write(rows: DataFrame) -> None:
         n = F.monotonically_increasing_id()
