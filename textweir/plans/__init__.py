@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES, QueryFn
 
-_MODULES = ("detectors",)
+_MODULES = ("detectors", "conversations", "operations", "streams")
 
 
 def _load() -> None:

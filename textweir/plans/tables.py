@@ -15,8 +15,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a file stream; its schema comes from the batch reader."""
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    # as a pattern the path may be one file as well as a folder of files
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
