@@ -77,6 +77,7 @@ _SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
 NOT_AFTER_WORD = f"(?<![{_WORD}])"
 NOT_BEFORE_WORD = f"(?![{_WORD}])"
 _EDGE = f"(?:(?<=[{_WORD}]){NOT_BEFORE_WORD}|{NOT_AFTER_WORD}(?=[{_WORD}]))"
+_NO_EDGE = f"(?:(?<=[{_WORD}])(?=[{_WORD}])|{NOT_AFTER_WORD}{NOT_BEFORE_WORD})"
 _CLASSES = {
     "d": f"[{_DIGIT}]", "D": f"[^{_DIGIT}]",
     "s": f"[{_SPACE}]", "S": f"[^{_SPACE}]",
@@ -102,6 +103,8 @@ def java_regex(pattern: str) -> str:
                     out.append(NOT_BEFORE_WORD)
                 else:
                     out.append(_EDGE)
+            elif nxt == "B" and not in_class:
+                out.append(_NO_EDGE)
             elif nxt in _CLASSES:
                 # Java allows a class nested in a class, meaning union
                 out.append(_CLASSES[nxt])

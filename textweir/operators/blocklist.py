@@ -18,8 +18,12 @@ def _ngrams(runs: Column, n_words: int) -> Column:
 
     ``pos`` is the index among the runs; words stand at every second run.
     """
+    if n_words == 1:
+        spans = F.transform(runs, lambda run, i: F.struct((i + 1).alias("pos"), run.alias("span")))
+        return F.filter(spans, lambda s: s["span"].rlike(r"^[\p{L}\p{N}_]"))
     width = 2 * n_words - 1
     starts = F.when(F.size(runs) >= width, F.sequence(F.lit(1), F.size(runs) - (width - 1)))
+    starts = F.coalesce(starts, F.array().cast("array<int>"))
     spans = F.transform(starts, lambda i: F.struct(
         i.alias("pos"), F.array_join(F.slice(runs, i, width), "").alias("span")))
     return F.filter(spans, lambda s: s["span"].rlike(r"^[\p{L}\p{N}_]"))

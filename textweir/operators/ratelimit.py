@@ -11,7 +11,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..session import shared_folder
 
 SLOTS_PER_WINDOW = 8
-GROUP_ROWS = 1_000_000  # most requests of one client replayed in one call
+GROUP_ROWS = 20_000_000  # most requests of one client replayed by one task in one go
 
 
 def micros(ts: Column) -> Column:
@@ -102,6 +102,40 @@ def _slots(df: DataFrame, client: str, max_requests: int, us: int, slot_us: int,
     return slots.select(client, "__slot", "__run", F.when(F.col("__run").isNotNull(), dense).alias("__seg"))
 
 
+def _replay(max_requests: int, us: int, client: str):
+    """``mapInArrow`` body over rows sorted by client, stretch, time and order.
+
+    Stretches stream through, batch by batch; only the log of the current one is
+    kept. ``__seed`` rows fill the log and are not passed on.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, log = None, []
+        for batch in batches:
+            if not len(batch):
+                continue
+            times = batch.column("__us").to_numpy(zero_copy_only=False)
+            runs = batch.column("__run").to_numpy(zero_copy_only=False)
+            seeds = batch.column("__seed").to_numpy(zero_copy_only=False)
+            who = batch.column(client)
+            codes = who.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((codes[1:] != codes[:-1]) | (runs[1:] != runs[:-1])) + 1
+            out = np.zeros(len(batch), dtype=bool)
+            for start, end in zip([0, *turns], [*turns, len(batch)]):
+                this = (who[start].as_py(), runs[start])
+                if this != key:
+                    key, log = this, []
+                first = start + int(np.count_nonzero(seeds[start:end]))  # seeds are older, so they lead
+                log += times[start:first].tolist()
+                if first < end:
+                    out[first:end] = admit(times[first:end], max_requests, us, log)
+                    log += times[first:end][out[first:end]].tolist()
+                    log = log[-max_requests:]
+            table = batch.drop_columns(["__seed"]).append_column("admitted", pa.array(out))
+            yield table.filter(pa.array(~seeds))
+
+    return run
+
+
 def rate_limit(df: DataFrame, client: str, ts: str, order: str, max_requests: int = 60,
                window_seconds: float = 60, path: str | None = None,
                group_rows: int = GROUP_ROWS, slots_per_window: int = SLOTS_PER_WINDOW) -> DataFrame:
@@ -109,71 +143,58 @@ def rate_limit(df: DataFrame, client: str, ts: str, order: str, max_requests: in
 
     With ``path``, requests outside ``/v1/`` pass uncounted. Stretches of at most
     ``group_rows`` requests are replayed in one pass; longer ones in rounds, each
-    starting from the requests the round before admitted within its last W (at
-    most N of them), so no call sees more than about ``group_rows`` requests.
+    starting from the requests that were still in the log when the round before
+    ended (at most N), so no task replays more than about ``group_rows`` of one
+    client's requests at a time.
     """
     us = int(window_seconds * 1e6)
     slot_us = max(us // slots_per_window, 1)
     columns = df.columns
-    schema = T.StructType([*df.schema.fields, T.StructField("admitted", T.BooleanType())])
     timed = df.withColumn("__us", micros(F.col(ts)))
     timed = timed.withColumn("__slot", F.col("__us") - F.pmod("__us", F.lit(slot_us)))
     counted = timed if path is None else timed.filter(F.col(path).startswith("/v1/"))
-    slots = _slots(counted, client, max_requests, us, slot_us, group_rows)
+    # one row per client and slot, read three times below
+    shared_folder(df.sparkSession)
+    slots = _slots(counted, client, max_requests, us, slot_us, group_rows).checkpoint()
     rounds = slots.agg(F.max("__seg")).first()[0]  # one number
     placed = counted.join(slots, [client, "__slot"])
 
-    free = placed.filter(F.col("__run").isNull()).select(*columns, F.lit(True).alias("admitted"))
-    result = free
+    result = placed.filter(F.col("__run").isNull()).select(*columns, F.lit(True).alias("admitted"))
     if path is not None:
         exempt = timed.filter(~F.coalesce(F.col(path).startswith("/v1/"), F.lit(False)))
         result = result.unionByName(exempt.select(*columns, F.lit(True).alias("admitted")))
     if rounds is None:
         return result
 
-    out_schema = T.StructType([*schema.fields, T.StructField("__us", T.LongType()),
-                               T.StructField("__run", T.LongType())])
-
-    def replay(rows: pd.DataFrame, state: list[int]) -> pd.DataFrame:
-        rows = rows.sort_values(["__us", order], kind="stable")
-        rows["admitted"] = admit(rows["__us"].to_numpy(), max_requests, us, state)
-        return rows[[*columns, "admitted", "__us", "__run"]]
-
-    def first_round(rows: pd.DataFrame) -> pd.DataFrame:
-        return replay(rows, [])
+    keys = [client, "__run"]
+    busy = placed.filter(F.col("__run").isNotNull()).withColumn("__seed", F.lit(False))
+    busy = busy.select(*columns, "__us", "__run", "__seg", "__seed")
+    out_schema = T.StructType([*busy.drop("__seg", "__seed").schema.fields, T.StructField("admitted", T.BooleanType())])
 
-    def next_round(rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
-        return replay(rows, sorted(carry["__us"].tolist()))
+    def replay(rows: DataFrame) -> DataFrame:
+        ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "__us", F.desc("__seed"), order)
+        return ordered.mapInArrow(_replay(max_requests, us, client), out_schema)
 
-    busy = placed.filter(F.col("__run").isNotNull())
+    done = replay(busy.filter("__seg = 0").drop("__seg"))
     if rounds == 0:
-        done = busy.groupBy(client, "__run").applyInPandas(first_round, out_schema)
         return result.unionByName(done.select(*columns, "admitted"))
 
     # rounds build on one another, so each is cut off from its lineage
-    shared_folder(df.sparkSession)
-    keys = [client, "__run"]
-    done = busy.filter("__seg = 0").groupBy(*keys).applyInPandas(first_round, out_schema).checkpoint()
+    done = done.checkpoint()
     result = result.unionByName(done.select(*columns, "admitted"))
     log = done.filter("admitted").select(*keys, "__us")
     for seg in range(1, rounds + 1):
-        # the requests still in the log at the end of the last round, at most N per
-        # stretch; found by an aggregate, so that no long round is gathered for it
+        # found by an aggregate, so that no long round is gathered for it
         ends = done.groupBy(*keys).agg(F.max("__us").alias("__end"))
         log = log.join(ends, keys).filter(F.col("__us") > F.col("__end") - us).select(*keys, "__us").checkpoint()
-        rows = busy.filter(F.col("__seg") == seg)
-        done = (rows.groupBy(*keys).cogroup(log.groupBy(*keys))
-                .applyInPandas(lambda r, c: next_round(r, c) if len(r) else _none(out_schema), out_schema)
-                .checkpoint())
+        rows = busy.filter(F.col("__seg") == seg).drop("__seg")
+        seeds = log.withColumn("__seed", F.lit(True))
+        done = replay(rows.unionByName(seeds, allowMissingColumns=True)).checkpoint()
         result = result.unionByName(done.select(*columns, "admitted"))
         log = log.union(done.filter("admitted").select(*keys, "__us"))
     return result
 
 
-def _none(schema: T.StructType) -> pd.DataFrame:
-    return pd.DataFrame({f.name: pd.Series(dtype="object") for f in schema.fields})
-
-
 def iter_admit(times: Iterator[int], max_requests: int, window_us: int) -> Iterator[bool]:
     """The rule, one request at a time; the statement the tests compare with."""
     log: list[int] = []

@@ -106,7 +106,8 @@ def sentence_stream(chunks: DataFrame, mode: str = "text", idle: str = "10 minut
 
     Chunks may arrive in any order; those beyond a gap are parked. An ``eos`` chunk
     flushes a stream. So does silence: after ``idle`` of event time without a chunk
-    it is flushed over any gap and forgotten. Empty chunks pass through.
+    it is flushed over any gap and forgotten; a chunk that comes later than that is
+    dropped by the watermark. Empty chunks pass through.
     State per stream is one unfinished sentence plus parked chunks; what one call
     reads is bounded by the micro-batch, which the source's rate option bounds.
     """
