@@ -91,7 +91,10 @@ def test_responses(spark):
     bad = "Error parsing Gemini response"
     cases = [('{"candidates":[{"content":{"parts":[{"text":"a"},{"text":"b"}]}}]}', "a"), ('{"candidates":[]}', ""), ("{}", ""),
              ('{"candidates":[{}]}', ""), ('{"candidates":[{"content":{"parts":[]}}]}', ""), ('{"candidates":[{"content":[]}]}', bad),
-             ('{"candidates":["x"]}', bad), ('{"candidates":{"a":1}}', bad), ("not json", bad), ("[]", bad)]
+             ('{"candidates":["x"]}', bad), ('{"candidates":{"a":1}}', bad), ("not json", bad), ("[]", bad),
+             ('{"candidates":{}}', ""), ('{"candidates":null}', ""), ('{"candidates":"ab"}', bad),
+             ('{"candidates":[{"content":null}]}', bad), ('{"candidates":[{"content":{"parts":{}}}]}', ""),
+             ('{"candidates":[{"content":{"parts":["x"]}}]}', bad)]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, response string")
     got = chat.normalize_contents_response(df, F.lit("g")).orderBy("i").collect()
     assert [r.content for r in got] == [w for _, w in cases]

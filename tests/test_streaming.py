@@ -55,7 +55,7 @@ def chunks(parts, stream="s", t0=0.0, start=0, eos=True):
 
 def test_finance_stream(feed):
     feed.put(chunks(["Hello", " ", "world", "!", " ", "Insider", " ", "trading", "."])).run()
-    assert feed.text() == "Hello world! [BLOCKED: Topic:insider trading]"
+    assert feed.text() == "Hello world! [BLOCKED: Topic:Insider trading]"
 
 
 @pytest.mark.parametrize("mode, want", [("chunk", ["Pi is 3.", "14 ok."]), ("text", ["Pi is 3.14 ok."])])

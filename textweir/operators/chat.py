@@ -206,14 +206,23 @@ def normalize_contents_response(df: DataFrame, model: Column, json_col: str = "r
     """
     keep = [c for c in df.columns if c != json_col]
     raw = F.col(json_col)
-    get = lambda path: F.get_json_object(raw, path)
-    starts = lambda value, ch: value.isNull() | value.startswith(ch)
-    candidates, first = get("$.candidates"), get("$.candidates[0]")
-    content, parts = get("$.candidates[0].content"), get("$.candidates[0].content.parts")
-    part = get("$.candidates[0].content.parts[0]")
-    well_shaped = (get("$").startswith("{") & starts(candidates, "[") & starts(first, "{")
-                   & starts(content, "{") & starts(parts, "[") & starts(part, "{"))
-    text = F.coalesce(get("$.candidates[0].content.parts[0].text"), F.lit(""))
+
+    def get(path: str) -> Column:
+        value = F.get_json_object(raw, path)
+        # an empty value of any type counts as absent
+        return F.when(~value.isin("", "{}", "[]", "0", "false"), value)
+
+    def opens(value: Column, ch: str) -> Column:
+        return value.isNull() | value.startswith(ch)
+
+    candidates, first = get("$.candidates"), F.get_json_object(raw, "$.candidates[0]")
+    content, parts = F.get_json_object(first, "$.content"), get("$.candidates[0].content.parts")
+    part = F.get_json_object(raw, "$.candidates[0].content.parts[0]")
+    null_content = F.array_contains(F.json_object_keys(first), "content") & content.isNull()
+    well_shaped = (F.get_json_object(raw, "$").startswith("{") & opens(candidates, "[") & opens(first, "{")
+                   & ~F.coalesce(null_content, F.lit(False))
+                   & opens(content, "{") & opens(parts, "[") & opens(part, "{"))
+    text = F.coalesce(F.get_json_object(raw, "$.candidates[0].content.parts[0].text"), F.lit(""))
     body = F.when(F.coalesce(well_shaped, F.lit(False)), text).otherwise(F.lit("Error parsing Gemini response"))
     zero = F.lit(0).cast("bigint")
     return df.select(*keep, *_response(F.lit("gemini-response"), model, body, zero, zero))

@@ -56,9 +56,9 @@ def compliance_confusion(details: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if("met").alias("n_met"))
 
 
-def report_details(details: DataFrame, prompt_col: str = "prompt") -> DataFrame:
+def report_details(details: DataFrame, prompt_col: str = "prompt", keys: tuple[str, ...] = ()) -> DataFrame:
     """Detail rows of the report, with the first 200 characters of the raw answer."""
     raw = F.to_json(F.struct("http_code", "error_code", "reason"))
-    return details.select(F.col(prompt_col).alias("prompt"), "status", F.lit(None).cast("double").alias("latency_ms"),
+    return details.select(*keys, F.col(prompt_col).alias("prompt"), "status", F.lit(None).cast("double").alias("latency_ms"),
                           "http_code", F.substring(raw, 1, 200).alias("raw_response"),
                           preview(F.col(prompt_col)).alias("prompt_preview"))

@@ -200,15 +200,9 @@ def compliance_confusion(spark, sf_dir):
        "length(prompt) > 50 THEN substr(prompt, 1, 50) || '...' ELSE prompt END AS prompt_preview FROM d)")
 def sink_compliance_report(spark, sf_dir):
     path = work_path(spark, "report")
-    details = _details(spark, sf_dir)
-    sinks.compliance_report_sink(path)(details)
-    stored = spark.read.schema("prompt string, status string, latency_ms double, http_code int, "
-                               "raw_response string, prompt_preview string").json(f"{path}/details")
-    # prompts come back whole, so they lead back to their documents
-    ids = _docs(spark, sf_dir).join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    keyed = ids.groupBy(F.xxhash64("text").alias("h")).agg(F.collect_set("doc_id").alias("ids"))
-    uniq = stored.withColumn("h", F.xxhash64("prompt")).dropDuplicates(["h"])
-    return uniq.join(keyed, "h").select(F.explode("ids").alias("doc_id"), "status", "http_code", "prompt_preview")
+    sinks.compliance_report_sink(path, keys=("doc_id",))(_details(spark, sf_dir))
+    stored = spark.read.schema("doc_id bigint, status string, http_code int, prompt_preview string")
+    return stored.json(f"{path}/details")
 
 
 # --- sources -------------------------------------------------------------------

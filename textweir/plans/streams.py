@@ -36,9 +36,21 @@ def stream_sanitize(spark, sf_dir):
     return drain(out.select("stream_id", "ord", "action", "emitted"), "sanitized")
 
 
-@query("stream_sanitize_chunk_mode")
+# A mark after every chunk; a sentence also ends where a mark follows its .?!
+_MARK = chr(1)
+_MARKED = f"""m AS (SELECT {_ID} AS stream_id, regexp_replace(text, '(?s)(.{{1,{_CHUNK}}})', '\\1{_MARK}', 'g') AS t FROM conversations),
+p AS (SELECT stream_id, regexp_extract_all(t, '(?s)(?:.*?[.?!](?:{_MARK}|\\s+)|.+\\z)') AS raw FROM m),
+q AS (SELECT stream_id, list_filter(list_transform(raw, lambda x: replace(x, '{_MARK}', '')), lambda x: x <> '') AS pieces FROM p),
+u AS (SELECT stream_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS pos FROM q),
+v AS (SELECT *, CASE WHEN regexp_matches(piece, '[.?!]\\s+\\z') THEN regexp_replace(piece, '\\s+\\z', '') ELSE piece END AS sentence FROM u),
+w AS (SELECT *, substr(piece, length(sentence) + 1) AS separator FROM v)"""
+
+
+@query("stream_sanitize_chunk_mode", f"WITH {_MARKED}, {o.scan_ctes('w', HOUSE, 'sentence', 'false')} "
+       "SELECT stream_id, pos::BIGINT AS ord, CASE WHEN regexp_matches(piece, '[.?!]\\s*\\z') THEN 'sentence' ELSE 'tail' "
+       "END AS kind, action, CASE WHEN valid THEN sanitized_text ELSE '[BLOCKED: ' || reason || ']' END || separator AS emitted FROM s")
 def stream_sanitize_chunk_mode(spark, sf_dir):
-    """Sentences also end where a chunk ends in ``.?!`` (no SQL counterpart)."""
+    """Sentences also end where a chunk ends in ``.?!``."""
     out = sanitize.sanitize_stream(_chunks(spark, sf_dir), HOUSE, mode="chunk")
     return drain(out.select("stream_id", "ord", "kind", "action", "emitted"), "chunk-mode")
 

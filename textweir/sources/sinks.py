@@ -66,10 +66,11 @@ def result_json_sink(path: str) -> Sink:
     return write
 
 
-def compliance_report_sink(path: str) -> Sink:
+def compliance_report_sink(path: str, keys: tuple[str, ...] = ()) -> Sink:
     """``summary`` (one row) and ``details`` (a row per prompt) below ``path``."""
     def write(details: DataFrame) -> None:
         (compliance_summary(details).withColumn("timestamp", F.current_timestamp())
          .write.mode("overwrite").json(f"{path}/summary"))
-        report_details(details).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/details")
+        rows = report_details(details, keys=keys)
+        rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/details")
     return write
