@@ -23,22 +23,28 @@ PART_TURNS = 1000
 
 # --- gates ---------------------------------------------------------------------
 
-def gate_conversations(df: DataFrame, policy: Policy, models: Models = Models()) -> DataFrame:
-    """One row per conversation: the first block, in turn order, rejects it.
+def _first_blocks(df: DataFrame, policy: Policy, models: Models) -> DataFrame:
+    """``(conv_id, blocked_turn, reason)`` of rejected conversations only.
 
-    Every role is checked as input. The blocking turn travels through the
-    aggregation as ``(turn, reason)``; texts do not.
+    Every role is checked as input. Only blocked turns are aggregated, and their
+    texts stay behind.
     """
-    checked = scan(df, policy, models=models)
-    blocked = F.col("action") == "blocked"
-    return (checked.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_turns"),
-        F.max("turn").alias("last_turn"),
-        F.min(F.when(blocked, F.struct("turn", "reason"))).alias("__first"))
-        .select("conv_id", "n_turns", "last_turn",
-                F.col("__first").isNotNull().alias("blocked"),
-                F.col("__first.turn").alias("blocked_turn"),
-                F.concat(F.lit("Blocked Input: "), F.col("__first.reason")).alias("reason")))
+    blocked = scan(df, policy, models=models).filter("action = 'blocked'")
+    first = blocked.groupBy("conv_id").agg(F.min(F.struct("turn", "reason")).alias("f"))
+    return first.select("conv_id", F.col("f.turn").alias("blocked_turn"),
+                        F.concat(F.lit("Blocked Input: "), F.col("f.reason")).alias("reason"))
+
+
+def _extents(df: DataFrame) -> DataFrame:
+    """Length of every conversation; reads two narrow columns."""
+    return df.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.max("turn").alias("last_turn"))
+
+
+def gate_conversations(df: DataFrame, policy: Policy, models: Models = Models()) -> DataFrame:
+    """One row per conversation: the first block, in turn order, rejects it."""
+    return _extents(df).join(_first_blocks(df, policy, models), "conv_id", "left").select(
+        "conv_id", "n_turns", "last_turn", F.col("blocked_turn").isNotNull().alias("blocked"),
+        "blocked_turn", "reason")
 
 
 def conversation_gate(df: DataFrame, policy: Policy, models: Models = Models()) -> DataFrame:
@@ -48,8 +54,8 @@ def conversation_gate(df: DataFrame, policy: Policy, models: Models = Models())
     turns besides the conversation, so a very long conversation is spread over
     many tasks; its verdict is repeated once per block.
     """
-    verdicts = gate_conversations(df, policy, models).filter("blocked")
     block = F.floor(F.col("turn") / PART_TURNS)
+    verdicts = _extents(df).join(_first_blocks(df, policy, models), "conv_id")
     verdicts = verdicts.select(
         "conv_id", F.col("reason").alias("gate_reason"),
         F.explode(F.sequence(F.lit(0), F.floor(F.col("last_turn") / PART_TURNS))).alias("__block"))
@@ -121,10 +127,13 @@ def _payloads(df: DataFrame, head: Column, message: Callable[[Column], Column],
                      "first_body": F.col("part"), "system": F.col("system")}
         full = parts.withColumns(info_cols)
     else:
-        info = (parts.join(checked_broadcast(long_ids), "conv_id", "left_semi").groupBy("conv_id").agg(
+        in_system = F.col("role").eqNullSafe("system")
+        long_turns = df.join(checked_broadcast(long_ids), "conv_id", "left_semi")
+        per_part = long_turns.groupBy("conv_id", part.alias("part")).agg(
+            F.bool_or(~in_system).alias("body"), F.max(F.when(in_system, F.struct("turn", "text"))).alias("s"))
+        info = per_part.groupBy("conv_id").agg(
             F.count(F.lit(1)).alias("n_parts"), F.min("part").alias("first"), F.max("part").alias("last"),
-            F.min(F.when(F.col("body") != "", F.col("part"))).alias("first_body"),
-            F.max(F.when(F.col("system").isNotNull(), F.struct("part", "system")))["system"].alias("all_system")))
+            F.min(F.when(F.col("body"), F.col("part"))).alias("first_body"), F.max("s")["text"].alias("all_system"))
         own = F.col("n_parts").isNull()
         full = parts.join(info, "conv_id", "left").withColumns({
             "n_parts": F.coalesce("n_parts", F.lit(1)),

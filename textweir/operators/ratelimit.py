@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -58,15 +59,18 @@ def request_rate(df: DataFrame, client: str, ts: str, window_seconds: float) ->
     client's requests of one short slot.
     """
     us = int(window_seconds * 1e6)
-    slot_us = max(us // 64, 1)
+    slot_us = us // gcd(us, 64)  # slots divide the window, so a whole slot expires at once
     columns = df.columns
     arrive = df.withColumns({"__us": micros(F.col(ts)), "__d": F.lit(1)})
-    expire = arrive.select(client, (F.col("__us") + us).alias("__us"), F.lit(-1).alias("__d"))
-    both = arrive.unionByName(expire, allowMissingColumns=True)
-    both = both.withColumn("__slot", F.col("__us") - F.pmod("__us", F.lit(slot_us)))
+    slot = (F.col("__us") - F.pmod("__us", F.lit(slot_us))).alias("__slot")
+    arrived = arrive.groupBy(client, slot).agg(F.count(F.lit(1)).alias("__n"))
+    moves = arrived.unionByName(arrived.select(client, (F.col("__slot") + us).alias("__slot"), (-F.col("__n")).alias("__n")))
     before = Window.partitionBy(client).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (both.groupBy(client, "__slot").agg(F.sum("__d").alias("__n"))
+    carried = (moves.groupBy(client, "__slot").agg(F.sum("__n").alias("__n"))
                .select(client, "__slot", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__carry")))
+
+    expire = arrive.select(client, (F.col("__us") + us).alias("__us"), F.lit(-1).alias("__d"))
+    both = arrive.unionByName(expire, allowMissingColumns=True).withColumn("__slot", slot)
     within = Window.partitionBy(client, "__slot").orderBy("__us").rangeBetween(Window.unboundedPreceding, 0)
     return (both.withColumn("__run", F.sum("__d").over(within))
             .filter("__d = 1").join(carried, [client, "__slot"])
