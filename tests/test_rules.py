@@ -96,3 +96,12 @@ def test_java_regex_forms():
     assert rules.java_regex("[a[&]") == r"[a\[\&]"
     with pytest.raises(ValueError):
         rules.keyword_regex([])
+
+
+def test_long_runs_stay_linear(texts):
+    blob = "a" * 1_000_000
+    rows = [blob + " x@y.org", "@" + blob, blob + "@" + blob + ".", "a@b.co_c@d.org"]
+    got = redact(texts(rows), redaction.strict_rules()).orderBy("i").collect()
+    assert got[0].sanitized_text == blob + " <EMAIL_REDACTED>" and got[1].redacted_types == got[2].redacted_types == []
+    # the second match starts inside the run that the first one ended in
+    assert got[3].sanitized_text == "<EMAIL_REDACTED><EMAIL_REDACTED>"

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .redaction import guarded, rewrite_matches
-from .rules import LOOSE_PII, STRICT_PII, java_regex, keyword_regex
+from .rules import LOOSE_PII, STRICT_PII, java_regex, keyword_regex, linear_lead
 
 
 def luhn_ok(span: Column) -> Column:
@@ -68,7 +68,7 @@ class EntityRule:
 def entity_rules(persons: Iterable[str] = (), locations: Iterable[str] = ()) -> list[EntityRule]:
     """Rules with a checksum go first, so that a card is not cut up as a phone number."""
     rules = [
-        EntityRule("EMAIL_ADDRESS", java_regex(STRICT_PII["EMAIL"]), "at"),
+        EntityRule("EMAIL_ADDRESS", linear_lead(java_regex(STRICT_PII["EMAIL"])), "at"),
         EntityRule("CREDIT_CARD", java_regex(r"\b\d(?:[ -]?\d){12,18}\b"), "digit", luhn_ok),
         EntityRule("IBAN_CODE", java_regex(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
                    "iban_head", iban_ok),

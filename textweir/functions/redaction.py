@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import LOOSE_PII, STRICT_PII, java_regex
+from .rules import LOOSE_PII, STRICT_PII, java_regex, linear_lead
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ def guard_columns(rules: Iterable, text: Column) -> dict[str, Column]:
 
 def _built_in(table: Mapping[str, str], names: Iterable[str], card_guard: str) -> list[RedactionRule]:
     guards = {"EMAIL": "at", "PHONE": "digit_run", "SSN": "digit_run", "CREDIT_CARD": card_guard}
-    return [RedactionRule(n, java_regex(table[n]), guards[n], changes_text=True)
+    return [RedactionRule(n, linear_lead(java_regex(table[n])), guards[n], changes_text=True)
             for n in names if n in table]
 
 

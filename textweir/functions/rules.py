@@ -133,6 +133,19 @@ def java_regex(pattern: str) -> str:
     return "".join(out)
 
 
+def linear_lead(regex: str) -> str:
+    """Keep a leading character run, such as ``[a-z]+`` in ``[a-z]+@…``, linear.
+
+    If what follows the run is not in its class, the leftmost match starts where the
+    run starts, or where the last match ended inside it. Tried anywhere else, a
+    long run (an encoded blob, say) would be read again from each of its positions.
+    """
+    lead = re.match(r"(\[[^\]]+\])\+(?=@)", regex)
+    if lead is None or "@" in lead[1]:
+        return regex
+    return f"(?:\\G|(?<!{lead[1]})){lead[1]}++{regex[lead.end():]}"
+
+
 def _is_word(ch: str) -> bool:
     return ch == "_" or ch.isalnum()
 

@@ -89,7 +89,7 @@ def parse_requests(df: DataFrame, json_col: str = "request") -> DataFrame:
 
     ``stop`` may be one string or a list; a single string is read as a list of one.
     """
-    single_stop = F.regexp_replace(F.col(json_col), r'"stop"\s*:\s*("(?:[^"\\]|\\.)*+")', r'"stop":[$1]')
+    single_stop = F.regexp_replace(F.col(json_col), r'"stop"\s*:\s*("[^"\\]*+(?:\\.[^"\\]*+)*+")', r'"stop":[$1]')
     keep = [c for c in df.columns if c != json_col]
     req = df.select(*keep, F.from_json(single_stop, REQUEST_SCHEMA).alias("__r"))
     return (req.select(*keep, "__r", F.posexplode("__r.messages").alias("turn", "__m"))

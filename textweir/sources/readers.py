@@ -59,11 +59,10 @@ def chunk_texts(df: DataFrame, stream_id: str, text_col: str, size: int, ts=None
 
     Works on a streaming frame as well: a narrow projection and an explode.
     """
-    n = F.greatest(F.ceil(F.length(text_col) / size), F.lit(1)).cast("int")
-    at = F.explode(F.sequence(F.lit(0), n - 1)).alias("i")
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(F.lit("")))
     stamp = F.lit("2024-01-01").cast("timestamp") if ts is None else ts
-    return (df.select(F.col(stream_id).cast("string").alias("stream_id"), F.col(text_col).alias("t"),
-                      stamp.alias("ts"), n.alias("n"), at)
-            .select("stream_id", F.col("i").cast("bigint").alias("seq"), "ts",
-                    F.substr("t", F.col("i") * size + 1, F.lit(size)).alias("chunk"),
+    cut = df.select(F.col(stream_id).cast("string").alias("stream_id"), stamp.alias("ts"), pieces.alias("p"))
+    return (cut.select("stream_id", "ts", F.size("p").alias("n"), F.posexplode("p").alias("i", "chunk"))
+            .select("stream_id", F.col("i").cast("bigint").alias("seq"), "ts", "chunk",
                     (F.col("i") == F.col("n") - 1).alias("eos")))
