@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sentences import sentence_body, sentence_pieces, sentence_separator
 from ..policy import Policy
-from .scan import Models, all_stages, result_columns, run_stages, scan, scan_array
+from .scan import (Models, as_source, detector_stages, lower_stage, redaction_key, redaction_stages,
+                   result_columns, run_parallel, scan, scan_array, verdict_stage)
 
-POLICIES_PER_PASS = 16
+POLICIES_PER_PASS = 8
 
 
 def sanitize_corpus(df: DataFrame, policy: Policy, text_col: str = "text", redact_only: bool = False,
@@ -68,18 +69,25 @@ def sanitize_by_sentence(df: DataFrame, policy: Policy, text_col: str = "text",
 
 
 def multi_policy_scan(df: DataFrame, policies: Sequence[Policy], text_col: str = "text",
-                      source="input", models: Models = Models()) -> DataFrame:
-    """Every text under every policy: one row per text and policy, one read per
-    ``POLICIES_PER_PASS`` policies (the generated code grows with the policies)."""
+                      source: str | Column = "input", models: Models = Models()) -> DataFrame:
+    """Every text under every policy: one row per text and policy.
+
+    One read serves ``POLICIES_PER_PASS`` policies, since the generated code grows
+    with them. Policies that redact alike share the redacted text.
+    """
     keep = df.columns
     out = None
     for start in range(0, len(policies), POLICIES_PER_PASS):
-        group, cur, verdicts = policies[start : start + POLICIES_PER_PASS], df, []
-        source_col = F.lit(source) if isinstance(source, str) else source
-        for policy in group:
-            cur, state = run_stages(cur, F.col(text_col), all_stages(policy, source_col, models))
-            verdicts.append(F.struct(F.lit(policy.name).alias("policy"),
-                                     *[c.alias(n) for n, c in result_columns(state).items()]))
+        group = policies[start : start + POLICIES_PER_PASS]
+        alike = {redaction_key(p): p for p in group}
+        steps = [({"text": F.col(text_col)}, [*redaction_stages(p, models), lower_stage]) for p in alike.values()]
+        cur, states = run_parallel(df, steps)
+        redacted = dict(zip(alike, states))
+        cur, states = run_parallel(cur, [
+            (redacted[redaction_key(p)], [*detector_stages(p, as_source(source), models), verdict_stage(p)])
+            for p in group])
+        verdicts = [F.struct(F.lit(p.name).alias("policy"), *[c.alias(n) for n, c in result_columns(s).items()])
+                    for p, s in zip(group, states)]
         rows = cur.select(*keep, F.inline(F.array(*verdicts)))
         out = rows if out is None else out.unionByName(rows)
     if out is None:

@@ -87,38 +87,34 @@ def _hits(state: State, kind: str) -> list[tuple[str, Column]]:
     return [(k[4:].rsplit("_", 1)[0], c) for k, c in state.items() if k.startswith(f"hit_{kind}")]
 
 
+def lower_stage(state: State) -> State:
+    """The lower-cased text, once."""
+    return {} if "low" in state else {"low": F.lower(state["text"])}
+
+
 def detector_stages(policy: Policy, source: Column, models: Models) -> list[Stage]:
     """The detectors behind redaction, in their fixed order; none stops another."""
     is_input = source == "input"
     stages: list[Stage] = []
-    order: list[str] = []
-
-    def add(key: str, expr: Callable[[State], Column]) -> None:
-        order.append(key)
-        stages.append(lambda state: {key: expr(state)})
-
+    detectors: dict[str, Callable[[State], Column]] = {}
     if policy.injection_enabled or policy.topics or policy.external_enabled:
-        stages.append(lambda s: {"low": F.lower(s["text"])})
+        stages.append(lower_stage)
     if policy.injection_enabled:
-        add("label_injection", lambda s: F.when(
-            is_input & has_keyword(s["text"], policy.effective_keywords, s["low"]),
-            F.lit(INJECTION_LABEL)))
+        detectors["label_injection"] = lambda s: F.when(
+            is_input & has_keyword(s["text"], policy.effective_keywords, s["low"]), F.lit(INJECTION_LABEL))
     if policy.topics:
-        add("label_topic", lambda s: F.concat(
-            F.lit("Topic:"), joined_matches(s["text"], policy.topics, ",", s["low"])))
-    if policy.semantic_enabled:
-        intents = _intent_vectors(policy, models)
-        if intents:
-            if models.vector:
-                vector = lambda s: F.col(models.vector)
-            else:
-                stages.append(lambda s: {"vector": F.when(is_input, embed(s["text"], models.embedder))})
-                vector = lambda s: s["vector"]
-            stages.append(lambda s: {"best": F.when(is_input, best_intent(vector(s), intents))})
-            add("label_semantic", lambda s: intent_label(s["best"], policy.semantic_threshold))
+        detectors["label_topic"] = lambda s: F.concat(
+            F.lit("Topic:"), joined_matches(s["text"], policy.topics, ",", s["low"]))
+    intents = _intent_vectors(policy, models) if policy.semantic_enabled else None
+    if intents:
+        if models.vector is None:
+            stages.append(lambda s: {"vector": F.when(is_input, embed(s["text"], models.embedder))})
+        stages.append(lambda s: {"best": F.when(is_input, best_intent(
+            s["vector"] if models.vector is None else F.col(models.vector), intents))})
+        detectors["label_semantic"] = lambda s: intent_label(s["best"], policy.semantic_threshold)
     if policy.external_enabled:
-        add("label_external", lambda s: F.when(
-            is_input, external_message(s["text"], policy.competitors, policy.toxicity_check, s["low"])))
+        detectors["label_external"] = lambda s: F.when(is_input, external_message(
+            s["text"], policy.competitors, policy.toxicity_check, s["low"]))
     plugins: list[Plugin] = []
     if policy.toxicity_enabled:
         if models.score is None:
@@ -128,17 +124,20 @@ def detector_stages(policy: Policy, source: Column, models: Models) -> list[Stag
             plugins.append(lambda t: score_message(models.score(t), policy.toxicity_threshold))
     plugins += models.plugins
     for n, plugin in enumerate(plugins):
-        add(f"label_plugin{n}", lambda s, p=plugin: F.concat(F.lit("Plugin:"), p(s["text"])))
+        detectors[f"label_plugin{n}"] = lambda s, p=plugin: F.concat(F.lit("Plugin:"), p(s["text"]))
+
+    def detect(state: State) -> State:
+        return {key: label(state) for key, label in detectors.items()}
 
     # A label column is NULL when its detector is silent.
     def collect(state: State) -> State:
         pii = labels(_hits(state, "PII:"))
         other = [labels(_hits(state, "Secret:"))] if models.secrets else []
-        other += [F.when(state[k].isNotNull(), F.array(state[k])).otherwise(no_labels()) for k in order]
+        other += [F.when(state[k].isNotNull(), F.array(state[k])).otherwise(no_labels()) for k in detectors]
         score = F.coalesce(state["best"]["score"], F.lit(0.0)) if "best" in state else F.lit(0.0)
         return {"pii": pii, "rules": F.concat(*other) if other else no_labels(), "score": score}
 
-    return [*stages, collect]
+    return [*stages, detect, collect]
 
 
 def _intent_vectors(policy: Policy, models: Models) -> Mapping[str, Sequence[float]] | None:
@@ -160,6 +159,11 @@ def verdict_stage(policy: Policy) -> Stage:
     return run
 
 
+def redaction_key(policy: Policy) -> tuple:
+    """Equal for policies whose redaction steps are the same."""
+    return (policy.pii_engine, policy.pii_patterns) if policy.pii_enabled else ()
+
+
 def all_stages(policy: Policy, source: Column, models: Models) -> list[Stage]:
     return [*redaction_stages(policy, models), *detector_stages(policy, source, models),
             verdict_stage(policy)]
@@ -168,18 +172,27 @@ def all_stages(policy: Policy, source: Column, models: Models) -> list[Stage]:
 _ids = itertools.count()
 
 
-def run_stages(df: DataFrame, text: Column, stages: Sequence[Stage]) -> tuple[DataFrame, State]:
+def run_stages(df: DataFrame, state: State, stages: Sequence[Stage]) -> tuple[DataFrame, State]:
     """Add the stage columns to ``df`` under private names, one projection per stage."""
-    tag = f"__scan{next(_ids)}_"
-    state: State = {"text": text}
-    for n, stage in enumerate(stages):
-        new = stage(state)
-        names = {key: f"{tag}{n}_{i}" for i, key in enumerate(new)}
-        df = df.withColumns({names[key]: col for key, col in new.items()})
-        state |= {key: F.col(names[key]) for key in new}
+    df, (state,) = run_parallel(df, [(state, stages)])
     return df, state
 
 
+def run_parallel(df: DataFrame, jobs: Sequence[tuple[State, Sequence[Stage]]]) -> tuple[DataFrame, list[State]]:
+    """``run_stages`` for several lists of stages; their n-th stages share a projection."""
+    tag = f"__scan{next(_ids)}_"
+    states = [dict(state) for state, _ in jobs]
+    for n in range(max(len(stages) for _, stages in jobs)):
+        made = [stages[n](state) if n < len(stages) else {} for state, (_, stages) in zip(states, jobs)]
+        named = [{key: f"{tag}{n}_{j}_{i}" for i, key in enumerate(new)} for j, new in enumerate(made)]
+        columns = {names[key]: col for names, new in zip(named, made) for key, col in new.items()}
+        if columns:
+            df = df.withColumns(columns)
+        for state, names in zip(states, named):
+            state |= {key: F.col(name) for key, name in names.items()}
+    return df, states
+
+
 def seal(df: DataFrame, keep: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
     """``df`` with ``keep`` and ``columns``, closed to filters on the latter.
 
@@ -191,7 +204,7 @@ def seal(df: DataFrame, keep: Sequence[str], columns: Mapping[str, Column]) -> D
     return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def _as_source(source: str | Column) -> Column:
+def as_source(source: str | Column) -> Column:
     if isinstance(source, str):
         if source not in ("input", "output"):
             raise ValueError("source is 'input', 'output' or a column of these")
@@ -212,7 +225,7 @@ def scan(df: DataFrame, policy: Policy, text_col: str = "text", source: str | Co
     ``source`` may be a column, so both directions run in one pass.
     """
     keep = df.columns
-    out, state = run_stages(df, F.col(text_col), all_stages(policy, _as_source(source), models))
+    out, state = run_stages(df, {"text": F.col(text_col)}, all_stages(policy, as_source(source), models))
     return seal(out, keep, result_columns(state))
 
 
@@ -237,7 +250,7 @@ def redact(df: DataFrame, rules: Sequence, text_col: str = "text") -> DataFrame:
 
     keep = df.columns
     stages = [_guard_stage(rules), *(stage(n, r) for n, r in enumerate(rules))]
-    out, state = run_stages(df, F.col(text_col), stages)
+    out, state = run_stages(df, {"text": F.col(text_col)}, stages)
     names = labels((r.name, state[f"hit{n}"]) for n, r in enumerate(rules))
     return seal(out, keep, {"sanitized_text": state["text"], "redacted_types": names})
 
