@@ -59,6 +59,13 @@ def test_only_api_paths_count(spark):
     assert {r.id: r.admitted for r in got} == {0: True, 1: True, 2: True, 3: True, 4: False, 5: True}
 
 
+def test_missing_client_is_one_client(spark):
+    df = log(spark, [(i, None if i % 2 else "c", float(i)) for i in range(8)])
+    got = ratelimit.rate_limit(df, "client", "ts", "id", 2, 60).collect()
+    assert {r.id for r in got if r.admitted} == {0, 1, 2, 3} and len(got) == 8
+    assert {r.id: r.rate for r in ratelimit.request_rate(df, "client", "ts", 60).collect()}[7] == 4
+
+
 def test_request_rate(spark):
     rows = requests(3)
     got = {r.id: r.rate for r in ratelimit.request_rate(log(spark, rows), "client", "ts", 60).collect()}

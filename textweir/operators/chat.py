@@ -35,15 +35,11 @@ def _first_blocks(df: DataFrame, policy: Policy, models: Models) -> DataFrame:
                         F.concat(F.lit("Blocked Input: "), F.col("f.reason")).alias("reason"))
 
 
-def _extents(df: DataFrame) -> DataFrame:
-    """Length of every conversation; reads two narrow columns."""
-    return df.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.max("turn").alias("last_turn"))
-
-
 def gate_conversations(df: DataFrame, policy: Policy, models: Models = Models()) -> DataFrame:
     """One row per conversation: the first block, in turn order, rejects it."""
-    return _extents(df).join(_first_blocks(df, policy, models), "conv_id", "left").select(
-        "conv_id", "n_turns", "last_turn", F.col("blocked_turn").isNotNull().alias("blocked"),
+    lengths = df.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
+    return lengths.join(_first_blocks(df, policy, models), "conv_id", "left").select(
+        "conv_id", "n_turns", F.col("blocked_turn").isNotNull().alias("blocked"),
         "blocked_turn", "reason")
 
 
@@ -52,13 +48,12 @@ def conversation_gate(df: DataFrame, policy: Policy, models: Models = Models())
 
     Only rejected conversations are joined back. The join key holds a block of
     turns besides the conversation, so a very long conversation is spread over
-    many tasks; its verdict is repeated once per block.
+    many tasks; its verdict is repeated once per block it has.
     """
     block = F.floor(F.col("turn") / PART_TURNS)
-    verdicts = _extents(df).join(_first_blocks(df, policy, models), "conv_id")
-    verdicts = verdicts.select(
-        "conv_id", F.col("reason").alias("gate_reason"),
-        F.explode(F.sequence(F.lit(0), F.floor(F.col("last_turn") / PART_TURNS))).alias("__block"))
+    blocks = df.select("conv_id", block.alias("__block")).distinct()
+    verdicts = blocks.join(_first_blocks(df, policy, models), "conv_id").select(
+        "conv_id", "__block", F.col("reason").alias("gate_reason"))
     turns = scan(df, policy, models=models).withColumn("__block", block)
     joined = turns.join(verdicts, ["conv_id", "__block"], "left")
     rejected = F.col("gate_reason").isNotNull()

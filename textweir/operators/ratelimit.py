@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_folder
+from ..session import checked_broadcast, materialize
 
 SLOTS_PER_WINDOW = 8
 GROUP_ROWS = 20_000_000  # most requests of one client replayed by one task in one go
@@ -27,6 +27,11 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def client_key(client: str) -> Column:
+    """Requests without a client count as one client."""
+    return F.coalesce(F.col(client).cast("string"), F.lit("unknown"))
+
+
 def admit(times: np.ndarray, max_requests: int, window_us: int, state: list[int] | None = None) -> np.ndarray:
     """Which of the ascending ``times`` are admitted, given the admitted ``state``.
 
@@ -61,23 +66,23 @@ def request_rate(df: DataFrame, client: str, ts: str, window_seconds: float) ->
     us = int(window_seconds * 1e6)
     slot_us = us // gcd(us, 64)  # slots divide the window, so a whole slot expires at once
     columns = df.columns
-    arrive = df.withColumns({"__us": micros(F.col(ts)), "__d": F.lit(1)})
+    arrive = df.withColumns({"__c": client_key(client), "__us": micros(F.col(ts)), "__d": F.lit(1)})
     slot = (F.col("__us") - F.pmod("__us", F.lit(slot_us))).alias("__slot")
-    arrived = arrive.groupBy(client, slot).agg(F.count(F.lit(1)).alias("__n"))
-    moves = arrived.unionByName(arrived.select(client, (F.col("__slot") + us).alias("__slot"), (-F.col("__n")).alias("__n")))
-    before = Window.partitionBy(client).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (moves.groupBy(client, "__slot").agg(F.sum("__n").alias("__n"))
-               .select(client, "__slot", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__carry")))
+    arrived = arrive.groupBy("__c", slot).agg(F.count(F.lit(1)).alias("__n"))
+    moves = arrived.unionByName(arrived.select("__c", (F.col("__slot") + us).alias("__slot"), (-F.col("__n")).alias("__n")))
+    before = Window.partitionBy("__c").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (moves.groupBy("__c", "__slot").agg(F.sum("__n").alias("__n"))
+               .select("__c", "__slot", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__carry")))
 
-    expire = arrive.select(client, (F.col("__us") + us).alias("__us"), F.lit(-1).alias("__d"))
+    expire = arrive.select("__c", (F.col("__us") + us).alias("__us"), F.lit(-1).alias("__d"))
     both = arrive.unionByName(expire, allowMissingColumns=True).withColumn("__slot", slot)
-    within = Window.partitionBy(client, "__slot").orderBy("__us").rangeBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("__c", "__slot").orderBy("__us").rangeBetween(Window.unboundedPreceding, 0)
     return (both.withColumn("__run", F.sum("__d").over(within))
-            .filter("__d = 1").join(carried, [client, "__slot"])
+            .filter("__d = 1").join(carried, ["__c", "__slot"])
             .select(*columns, (F.col("__run") + F.col("__carry")).alias("rate")))
 
 
-def _slots(df: DataFrame, client: str, max_requests: int, us: int, slot_us: int, group_rows: int) -> DataFrame:
+def _slots(df: DataFrame, max_requests: int, us: int, slot_us: int, group_rows: int) -> DataFrame:
     """Per client and slot: ``__run`` (the stretch to replay it in, else NULL) and ``__seg``.
 
     A slot is *calm* if it and the W before it hold at most N requests: all of
@@ -86,8 +91,8 @@ def _slots(df: DataFrame, client: str, max_requests: int, us: int, slot_us: int,
     requests make up the limiter's state, are replayed along with it.
     """
     reach = us if us % slot_us == 0 else us + slot_us  # slots that the W before a slot touches
-    by_time = Window.partitionBy(client).orderBy("__slot")
-    slots = df.groupBy(client, "__slot").agg(F.count(F.lit(1)).alias("__n"))
+    by_time = Window.partitionBy("__c").orderBy("__slot")
+    slots = df.groupBy("__c", "__slot").agg(F.count(F.lit(1)).alias("__n"))
     busy = F.when(F.sum("__n").over(by_time.rangeBetween(-reach, 0)) > max_requests, 1).otherwise(0)
     slots = slots.withColumn("__busy", busy)
     busy_before = F.coalesce(F.max("__busy").over(by_time.rangeBetween(-reach, -1)), F.lit(0))
@@ -99,14 +104,23 @@ def _slots(df: DataFrame, client: str, max_requests: int, us: int, slot_us: int,
     ahead = by_time.rangeBetween(1, reach)
     run = F.coalesce("__busy_run", F.first("__busy_run", ignorenulls=True).over(ahead))
     slots = slots.withColumn("__run", run)
-    in_run = Window.partitionBy(client, "__run").orderBy("__slot")
+    in_run = Window.partitionBy("__c", "__run").orderBy("__slot")
     seen = F.coalesce(F.sum("__n").over(in_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slots = slots.withColumn("__seg", F.when(F.col("__run").isNotNull(), F.floor(seen / group_rows)))
-    dense = F.dense_rank().over(Window.partitionBy(client, "__run").orderBy("__seg")) - 1
-    return slots.select(client, "__slot", "__run", F.when(F.col("__run").isNotNull(), dense).alias("__seg"))
+    dense = F.dense_rank().over(Window.partitionBy("__c", "__run").orderBy("__seg")) - 1
+    return slots.select("__c", "__slot", "__run", F.when(F.col("__run").isNotNull(), dense).alias("__seg"))
+
 
+def _suspects(df: DataFrame, max_requests: int, us: int) -> DataFrame:
+    """Clients that may ever be limited. With at most N/2 requests in every aligned
+    window, no W holds more than N; nearly all clients are ruled out so, by two
+    partial aggregations."""
+    window = (F.col("__us") - F.pmod("__us", F.lit(us))).alias("__w")
+    most = df.groupBy("__c", window).agg(F.count(F.lit(1)).alias("__n")).groupBy("__c").agg(F.max("__n").alias("__n"))
+    return most.filter(F.col("__n") * 2 > max_requests).select("__c")
 
-def _replay(max_requests: int, us: int, client: str):
+
+def _replay(max_requests: int, us: int):
     """``mapInArrow`` body over rows sorted by client, stretch, time and order.
 
     Stretches stream through, batch by batch; only the log of the current one is
@@ -120,7 +134,7 @@ def _replay(max_requests: int, us: int, client: str):
             times = batch.column("__us").to_numpy(zero_copy_only=False)
             runs = batch.column("__run").to_numpy(zero_copy_only=False)
             seeds = batch.column("__seed").to_numpy(zero_copy_only=False)
-            who = batch.column(client)
+            who = batch.column("__c")
             codes = who.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             turns = np.flatnonzero((codes[1:] != codes[:-1]) | (runs[1:] != runs[:-1])) + 1
             out = np.zeros(len(batch), dtype=bool)
@@ -154,46 +168,50 @@ def rate_limit(df: DataFrame, client: str, ts: str, order: str, max_requests: in
     us = int(window_seconds * 1e6)
     slot_us = max(us // slots_per_window, 1)
     columns = df.columns
-    timed = df.withColumn("__us", micros(F.col(ts)))
+    timed = df.withColumns({"__c": client_key(client), "__us": micros(F.col(ts))})
     timed = timed.withColumn("__slot", F.col("__us") - F.pmod("__us", F.lit(slot_us)))
     counted = timed if path is None else timed.filter(F.col(path).startswith("/v1/"))
-    # one row per client and slot, read three times below
-    shared_folder(df.sparkSession)
-    slots = _slots(counted, client, max_requests, us, slot_us, group_rows).checkpoint()
+
+    # small tables that are read several times
+    suspects = checked_broadcast(materialize(_suspects(counted, max_requests, us), "suspects"))
+    free = counted.join(suspects, "__c", "left_anti")
+    counted = counted.join(suspects, "__c", "left_semi")
+    slots = materialize(_slots(counted, max_requests, us, slot_us, group_rows), "slots")
     rounds = slots.agg(F.max("__seg")).first()[0]  # one number
-    placed = counted.join(slots, [client, "__slot"])
+    placed = counted.join(slots, ["__c", "__slot"])
 
-    result = placed.filter(F.col("__run").isNull()).select(*columns, F.lit(True).alias("admitted"))
+    result = free.select(*columns).unionByName(placed.filter(F.col("__run").isNull()).select(*columns))
     if path is not None:
-        exempt = timed.filter(~F.coalesce(F.col(path).startswith("/v1/"), F.lit(False)))
-        result = result.unionByName(exempt.select(*columns, F.lit(True).alias("admitted")))
+        result = result.unionByName(timed.filter(~F.coalesce(F.col(path).startswith("/v1/"), F.lit(False))).select(*columns))
+    result = result.withColumn("admitted", F.lit(True))
     if rounds is None:
         return result
 
-    keys = [client, "__run"]
+    keys = ["__c", "__run"]
     busy = placed.filter(F.col("__run").isNotNull()).withColumn("__seed", F.lit(False))
-    busy = busy.select(*columns, "__us", "__run", "__seg", "__seed")
+    busy = busy.select(*columns, "__c", "__us", "__run", "__seg", "__seed")
     out_schema = T.StructType([*busy.drop("__seg", "__seed").schema.fields, T.StructField("admitted", T.BooleanType())])
 
     def replay(rows: DataFrame) -> DataFrame:
         ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "__us", F.desc("__seed"), order)
-        return ordered.mapInArrow(_replay(max_requests, us, client), out_schema)
+        return ordered.mapInArrow(_replay(max_requests, us), out_schema)
 
     done = replay(busy.filter("__seg = 0").drop("__seg"))
     if rounds == 0:
         return result.unionByName(done.select(*columns, "admitted"))
 
     # rounds build on one another, so each is cut off from its lineage
-    done = done.checkpoint()
+    done = materialize(done, "round")
     result = result.unionByName(done.select(*columns, "admitted"))
     log = done.filter("admitted").select(*keys, "__us")
     for seg in range(1, rounds + 1):
         # found by an aggregate, so that no long round is gathered for it
         ends = done.groupBy(*keys).agg(F.max("__us").alias("__end"))
-        log = log.join(ends, keys).filter(F.col("__us") > F.col("__end") - us).select(*keys, "__us").checkpoint()
+        log = log.join(ends, keys).filter(F.col("__us") > F.col("__end") - us).select(*keys, "__us")
+        log = materialize(log, "log")
         rows = busy.filter(F.col("__seg") == seg).drop("__seg")
         seeds = log.withColumn("__seed", F.lit(True))
-        done = replay(rows.unionByName(seeds, allowMissingColumns=True)).checkpoint()
+        done = materialize(replay(rows.unionByName(seeds, allowMissingColumns=True)), "round")
         result = result.unionByName(done.select(*columns, "admitted"))
         log = log.union(done.filter("admitted").select(*keys, "__us"))
     return result

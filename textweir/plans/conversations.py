@@ -27,7 +27,7 @@ _GATE = f"""{_SCANNED}, g AS (SELECT conv_id, count(*)::BIGINT AS n_turns, bool_
 
 @query("conversation_gate", f"WITH {_GATE} SELECT conv_id, n_turns, blocked, blocked_turn, reason FROM g")
 def conversation_gate(spark, sf_dir):
-    return chat.gate_conversations(_turns(spark, sf_dir), HOUSE).drop("last_turn")
+    return chat.gate_conversations(_turns(spark, sf_dir), HOUSE)
 
 
 @query("conversation_gate_turns", f"WITH {_GATE} SELECT s.conv_id, turn, role, CASE WHEN NOT g.blocked THEN "

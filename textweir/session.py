@@ -48,6 +48,14 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts its lineage, and
+    later reads of it survive the loss of executors."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance a *scan* with fewer splits than cores; a no-op on large inputs.
 
