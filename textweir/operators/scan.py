@@ -17,9 +17,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.guards import Plugin, external_message, score_message
+from ..functions.guards import Plugin, external_message, injection_guard, score_message
 from ..functions.keywords import has_keyword, joined_matches
-from ..functions.redaction import custom_rules, guard_columns, labels, no_labels, strict_rules
+from ..functions.redaction import (custom_rules, guard_columns, labels, loose_rules, no_labels,
+                                   strict_rules)
 from ..functions.rules import INJECTION_LABEL
 from ..functions.similarity import Embedder, best_intent, embed, intent_label
 from ..functions.entities import entity_rules
@@ -29,8 +30,6 @@ from ..policy import Policy, PolicyWarning
 State = dict[str, Column]
 Stage = Callable[[State], State]
 
-RESULT_COLUMNS = ("sanitized_text", "triggered", "semantic_score", "valid", "reason", "action")
-
 
 @dataclass(frozen=True)
 class Models:
@@ -270,9 +269,6 @@ def legacy_gateway_validate(df: DataFrame, text_col: str = "text",
                             keywords: Sequence[str] = ()) -> DataFrame:
     """Older order: an injection substring blocks and leaves the text as it is;
     otherwise the loose patterns are redacted and the action is always ``allowed``."""
-    from ..functions.guards import injection_guard
-    from ..functions.redaction import loose_rules
-
     keep = df.columns
     out = redact(df, loose_rules(), text_col)
     passed = injection_guard(F.col(text_col), keywords)["valid"]

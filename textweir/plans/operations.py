@@ -10,7 +10,7 @@ from ..sources import readers, sinks
 from . import oracle as o
 from .policies import HOUSE, PII_ONLY, SHADOW
 from .registry import query
-from .tables import events, load, work_path, write_out
+from .tables import events, load, work_path
 
 _DAY = 86400
 _DAY_US = _DAY * 1_000_000
