@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from textweir import scan
 from textweir.operators import corpus
-from textweir.plans.policies import HOUSE, TOPICS_ONLY
+from textweir.plans.policies import HOUSE, SHADOW, TOPICS_ONLY
 
 sys.path.insert(0, "tools")
 from check import TABLES, rows_of  # noqa: E402
@@ -67,7 +67,15 @@ def test_filters_do_not_copy_the_patterns(docs):
 
 
 def test_sentence_sanitizing_has_no_shuffle(docs):
-    assert "Exchange" not in plan(corpus.sanitize_by_sentence(docs.select("doc_id", "text"), TOPICS_ONLY), "executedPlan")
+    out = corpus.sanitize_by_sentence(docs.select("doc_id", "text"), TOPICS_ONLY)
+    assert "Exchange" not in plan(out, "executedPlan")
+    # nor does a filter on its result copy the work: one matching step, with or without
+    assert plan(out).count("license") == plan(out.filter("n_blocked > 0")).count("license") > 0
+
+
+def test_policies_that_redact_alike_share_the_text(docs):
+    text = plan(corpus.multi_policy_scan(docs.select("doc_id", "text"), [HOUSE, SHADOW, TOPICS_ONLY]))
+    assert text.count("<EMAIL_REDACTED>") == 2 and text.count("Relation") == 1
 
 
 def test_latest_rows_are_a_top_k(spark, sf_dir):

@@ -11,7 +11,7 @@ from ..functions.sentences import sentence_body, sentence_pieces, sentence_separ
 from ..functions.textual import route_provider
 from ..policy import Policy
 from .scan import (Models, as_source, detector_stages, lower_stage, redaction_key, redaction_stages,
-                   result_columns, run_parallel, scan, scan_array, verdict_stage)
+                   result_columns, run_parallel, scan, scan_array, seal, verdict_stage)
 
 POLICIES_PER_PASS = 8
 
@@ -65,8 +65,8 @@ def sanitize_by_sentence(df: DataFrame, policy: Policy, text_col: str = "text",
     done = scan_array(cut, "__body", policy, "__v", models)
     shown = F.zip_with("__v", "__sep", lambda v, sep: F.concat(
         emit_text(v["valid"], v["text"], v["reason"]), sep))
-    return done.select(*keep, F.array_join(shown, "").alias("sanitized_text"),
-                       F.size(F.filter("__v", lambda v: ~v["valid"])).alias("n_blocked"))
+    return seal(done, keep, {"sanitized_text": F.array_join(shown, ""),
+                             "n_blocked": F.size(F.filter("__v", lambda v: ~v["valid"]))})
 
 
 def multi_policy_scan(df: DataFrame, policies: Sequence[Policy], text_col: str = "text",
