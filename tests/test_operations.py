@@ -118,6 +118,14 @@ def test_blocklist_equals_the_alternation(texts, spark, monkeypatch):
     assert got == want
 
 
+def test_blocklist_of_single_words(texts, spark):
+    df = texts(["Tip, tip and STOCK", "tipping", None, ""])
+    terms = spark.createDataFrame([("tip",), ("stock",), ("TIP",)], "term string")
+    got = [tuple(r) for r in blocklist.blocklist_hits(df, "i", terms).collect()]
+    assert got == [(0, "Topic:STOCK,Tip,tip", 3)]
+    assert blocklist.blocklist_hits(df, "i", terms.limit(0)).count() == 0
+
+
 def test_effective_rules(spark):
     listed = spark.createDataFrame([("a", "x"), ("a", "d1"), ("b", "y"), ("b", "y")], "policy string, rule string")
     got = {tuple(r) for r in audit.effective_rules(listed, ["d1", "d2"], "policy", "rule").collect()}

@@ -18,9 +18,6 @@ def _ngrams(runs: Column, n_words: int) -> Column:
 
     ``pos`` is the index among the runs; words stand at every second run.
     """
-    if n_words == 1:
-        spans = F.transform(runs, lambda run, i: F.struct((i + 1).alias("pos"), run.alias("span")))
-        return F.filter(spans, lambda s: s["span"].rlike(r"^[\p{L}\p{N}_]"))
     width = 2 * n_words - 1
     starts = F.when(F.size(runs) >= width, F.sequence(F.lit(1), F.size(runs) - (width - 1)))
     starts = F.coalesce(starts, F.array().cast("array<int>"))
@@ -45,11 +42,15 @@ def blocklist_hits(df: DataFrame, key_col: str, terms: DataFrame, text_col: str
               .groupBy("__term").agg(F.min("__rank").alias("__rank")))
     # the distinct word counts of the terms: a handful of numbers
     n_words = F.size(F.regexp_extract_all(F.col("__term"), F.lit(_WORDS), F.lit(0)))
-    lengths = sorted(r[0] for r in listed.select(n_words.alias("n")).distinct().collect() if r[0])
+    lengths = sorted(r[0] for r in listed.select(n_words.alias("n")).distinct().collect() if r[0]) or [1]
 
-    runs = df.select(F.col(key_col).alias("__key"),
-                     F.regexp_extract_all(F.col(text_col), F.lit(_RUNS), F.lit(0)).alias("__runs"))
-    grams = runs.select("__key", F.inline(F.flatten(F.array(*[_ngrams(F.col("__runs"), n) for n in lengths]))))
+    if lengths == [1]:
+        words = F.regexp_extract_all(F.col(text_col), F.lit(_WORDS), F.lit(0))
+        grams = df.select(F.col(key_col).alias("__key"), F.posexplode(words).alias("pos", "span"))
+    else:
+        runs = df.select(F.col(key_col).alias("__key"),
+                         F.regexp_extract_all(F.col(text_col), F.lit(_RUNS), F.lit(0)).alias("__runs"))
+        grams = runs.select("__key", F.inline(F.flatten(F.array(*[_ngrams(F.col("__runs"), n) for n in lengths]))))
     grams = grams.withColumn("__term", F.lower("span"))
     if small_enough(listed):
         hits = grams.join(F.broadcast(listed), "__term")
@@ -58,11 +59,11 @@ def blocklist_hits(df: DataFrame, key_col: str, terms: DataFrame, text_col: str
         grams = grams.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(_SALTS)).cast("int"))
         hits = grams.join(salted, ["__term", "__salt"])
 
-    words = F.size(F.regexp_extract_all(F.col("span"), F.lit(_WORDS), F.lit(0)))
+    n_span = F.size(F.regexp_extract_all(F.col("span"), F.lit(_WORDS), F.lit(0)))
     hits = hits.select("__key", F.struct(
-        "pos", "__rank", (F.col("pos") + words * 2 - 1).alias("end"), "span").alias("hit"))
+        "pos", "__rank", (F.col("pos") + n_span * 2 - 1).alias("end"), "span").alias("hit"))
     per_text = hits.groupBy("__key").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
-    if max(lengths, default=1) > 1:  # single words cannot overlap
+    if lengths != [1]:  # single words cannot overlap
         empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("spans"))
         kept = F.aggregate("hits", empty, lambda acc, h: F.when(h["pos"] < acc["end"], acc).otherwise(
             F.struct(h["end"].alias("end"), F.array_append(acc["spans"], h["span"]).alias("spans"))),
