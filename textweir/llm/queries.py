@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, sketch
+from . import quality, secrets, sketch, toxicity, urlrules, warc
 from .decontaminate import overlaps
 from .neardup import near_duplicates
 from .packing import pack
 from .pii import pseudonymize
+from .shared import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +137,61 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                        text("edited_sketch").alias("edited_fingerprint"),
                        sketch.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
                        sketch.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+
+
+#: (host, path, verdict) of the registered query.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
+             ("org", "/fr/", "allow")]
+
+
+@_query
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(_table(spark, sf_dir, "pages"), rules)
+
+
+ORACLES["op7_url_rules"] = """
+WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']) AS p FROM pages),
+v AS (SELECT page_id, translate(p.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, p.path AS path FROM u),
+r(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
+                            ('org', '/fr/', 'allow')),
+f AS (SELECT page_id, h || p AS rule, verdict,
+             row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, length(h) DESC, h || p) AS n
+      FROM v JOIN r ON ('.' || host) LIKE ('%.' || h) AND starts_with(path, p))
+SELECT v.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM v LEFT JOIN f ON v.page_id = f.page_id AND n = 1"""
+
+
+@_query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    got = warc.read(spark, path)
+    revisit = F.col("type") == "revisit"
+    # a revisit repeats size and digest of the payload it stands for
+    return got.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.when(revisit, F.col("http_length")).otherwise(F.octet_length("payload").cast("bigint")).alias("payload_bytes"),
+        F.when(revisit, F.substring_index("digest", ":", -1)).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+        F.col("type").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+ORACLES["op8_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d"""
+
+
+@_query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = quality.classify(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.round("posterior", 6).alias("posterior"), F.round("score", 6).alias("score"), "kept")
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return made.select("doc_id", *(F.round(c, 6).alias(c) for c in (*toxicity.SEEDS, "toxic")), "rejected")
