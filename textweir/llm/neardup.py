@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .shared import drop_saved, saved, small
 from .wordscan import NON_SPACE, Words, combine, slices
@@ -121,7 +122,7 @@ def _alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype=bool)
 
