@@ -25,6 +25,21 @@ def test_attack_csv(spark, tmp_path):
     assert [tuple(r) for r in got] == [('say "hi", now', "passed"), ("two\nlines", "redacted_or_blocked"), ("no label", "blocked")]
     got = readers.read_attack_csv(spark, write("b.csv", rows[1:])).collect()
     assert len(got) == 3
+    # one folder: a header in one file and none in the other
+    got = {r.prompt for r in readers.read_attack_csv(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {'say "hi", now', "two\nlines", "no label"}
+    write("c.csv", [["gamma", "passed"], ["prompt", "passed"]])
+    got = [r.prompt for r in readers.read_attack_csv(spark, str(tmp_path / "*.csv")).collect()]
+    assert sorted(got)[:2] == ["gamma", "no label"] and got.count("prompt") == 1 and len(got) == 8
+
+
+def test_chat_requests_keep_every_line(spark, tmp_path):
+    same = '{"model":"m","messages":[{"role":"user","content":"a","name":"n"}],"top_p":0.5}'
+    (tmp_path / "r.jsonl").write_text("\n".join([same, same, '{"model":"m","messages":[]}', "broken"]) + "\n")
+    got = readers.read_chat_requests(spark, str(tmp_path)).collect()
+    assert len(got) == 4 and len({r.conv_id for r in got}) == 4
+    assert sorted((r.text or "", r.name or "", r.top_p or 0.0, r.corrupt) for r in got) == [
+        ("", "", 0.0, False), ("", "", 0.0, True), ("a", "n", 0.5, False), ("a", "n", 0.5, False)]
 
 
 def test_text_files(spark, tmp_path):
@@ -59,9 +74,10 @@ def test_log_rows(texts):
     logs = audit.gateway_rows(scanned(texts), "i", F.lit("PASSED"), F.lit(0.1), keep_original=True).withColumn(
         "id", F.col("client_ip").cast("int"))
     assert [r.id for r in audit.audit_latest(logs, n=2).collect()] == [3, 2]
-    fresh = audit.new_audit_rows(logs, -1).orderBy("id").collect()
+    fresh = audit.new_audit_rows(logs, (-1,)).orderBy("id").collect()
     assert [r.notice for r in fresh] == [True, False, False, False]
-    assert audit.high_water_mark(logs) == 3
+    assert audit.high_water_mark(logs) == (3,) and audit.high_water_mark(logs.limit(0)) is None
+    assert audit.new_audit_rows(logs, None).count() == 4
 
 
 def test_sinks(texts, spark, tmp_path, capsys):
@@ -73,14 +89,28 @@ def test_sinks(texts, spark, tmp_path, capsys):
     assert len(lines) == 8 and lines[0]["timestamp"].endswith("Z") and "latency_ms" in lines[0]
     rows = audit.gateway_rows(scanned(texts), "i", F.lit("PASSED"), F.lit(0.1))
     for batch in (0, 1, 1):  # the retried batch replaces itself
-        sinks.table_sink(f"{tmp_path}/t", batch)(rows)
+        sinks.table_sink(f"{tmp_path}/t")(rows, batch)
     table = spark.read.parquet(f"{tmp_path}/t")
     assert table.count() == 8 and table.select("batch_id", "id").distinct().count() == 8
     sinks.result_json_sink(f"{tmp_path}/r")(scanned(texts))
     got = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/r").collect()]
     assert {"valid", "action", "reason", "sanitized_text"} == set(got[0]) and len(got) == 4
     sinks.null_sink()(events)
-    sinks.console_sink()(events)
+    capsys.readouterr()
+    many = events.crossJoin(spark.range(15).select())
+    sinks.console_sink()(many)
+    assert capsys.readouterr().out.count("[Audit] ") == 60
+    # marks go over batches, whose ids start again
+    mark = audit.high_water_mark(table)
+    sinks.table_sink(f"{tmp_path}/t")(rows, 2)
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert {r.batch_id for r in audit.new_audit_rows(table, mark).collect()} == {2}
+    assert audit.new_audit_rows(table, mark).count() == 4
+    assert [r.batch_id for r in audit.audit_latest(table, n=5).collect()] == [2, 2, 2, 2, 1]
+    for sink in (sinks.jsonl_sink(f"{tmp_path}/b"), sinks.result_json_sink(f"{tmp_path}/c"), sinks.null_sink()):
+        for _ in range(2):  # a retried batch
+            sink(scanned(texts), 5)
+    assert spark.read.json(f"{tmp_path}/b").count() == 4 and spark.read.text(f"{tmp_path}/c").count() == 4
 
 
 def test_compliance(spark, tmp_path):

@@ -57,20 +57,30 @@ def rule_frequency(scanned: DataFrame) -> DataFrame:
             .withColumn("detector", F.substring_index("label", ":", 1)))
 
 
-def audit_latest(rows: DataFrame, id_col: str = "id", n: int = 20) -> DataFrame:
-    """The newest ``n`` rows (a top-k, not a full sort)."""
-    return rows.orderBy(F.desc(id_col)).limit(n)
+def _arrival(rows: DataFrame) -> list[str]:
+    """The columns that order audit rows: ids start again in every batch of an audit table."""
+    return [c for c in ("batch_id", "id") if c in rows.columns]
 
 
-def new_audit_rows(rows: DataFrame, high_water: int, id_col: str = "id") -> DataFrame:
-    """Rows past the mark, with ``notice``: passed, but the text was changed."""
+def audit_latest(rows: DataFrame, n: int = 20) -> DataFrame:
+    """The newest ``n`` rows by batch and id (a top-k, not a full sort)."""
+    return rows.orderBy(*[F.desc(c) for c in _arrival(rows)]).limit(n)
+
+
+def new_audit_rows(rows: DataFrame, mark: tuple[int, ...] | None) -> DataFrame:
+    """Rows past a mark of ``high_water_mark`` (None: all), with ``notice``: passed, but the text was changed."""
     changed = F.col("original_prompt") != F.col("sanitized_prompt")
-    return rows.filter(F.col(id_col) > high_water).withColumn(
-        "notice", changed & (F.col("verdict") == "PASSED"))
+    if mark is not None:
+        place = F.struct(*[F.col(c).cast("bigint").alias(c) for c in _arrival(rows)])
+        reached = F.struct(*[F.lit(int(v)).cast("bigint").alias(c) for c, v in zip(_arrival(rows), mark, strict=True)])
+        rows = rows.filter(place > reached)
+    return rows.withColumn("notice", changed & (F.col("verdict") == "PASSED"))
 
 
-def high_water_mark(rows: DataFrame, id_col: str = "id") -> int | None:
-    return rows.agg(F.max(id_col)).first()[0]
+def high_water_mark(rows: DataFrame) -> tuple[int, ...] | None:
+    """The place of the newest row, one number for each of batch and id; None for an empty table."""
+    last = rows.agg(F.max(F.struct(*_arrival(rows)))).first()[0]
+    return None if last is None else tuple(last)
 
 
 def effective_rules(listed: DataFrame, defaults: list[str], policy_col: str, rule_col: str) -> DataFrame:

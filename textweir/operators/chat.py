@@ -75,23 +75,26 @@ REQUEST_SCHEMA = (
     "model string, messages array<struct<role:string, content:string, name:string>>, "
     "temperature double, top_p double, n int, stream boolean, stop array<string>, "
     "max_tokens int, presence_penalty double, frequency_penalty double, "
-    "logit_bias map<string,double>, user string"
+    "logit_bias map<string,double>, user string, _corrupt string"
 )
+_PARAMETERS = ("model", "temperature", "top_p", "n", "stream", "stop", "max_tokens", "presence_penalty",
+               "frequency_penalty", "logit_bias", "user")
 
 
 def parse_requests(df: DataFrame, json_col: str = "request") -> DataFrame:
-    """Nested chat requests -> long form ``(…, model, turn, role, text)``.
+    """Nested chat requests -> long form ``(…, turn, role, text, name)`` and the request's parameters.
 
-    ``stop`` may be one string or a list; a single string is read as a list of one.
+    ``stop`` may be one string or a list; a single string is read as a list of one. A request
+    without messages is one row with a NULL turn; ``corrupt`` marks what is not a JSON object.
     """
     single_stop = F.regexp_replace(F.col(json_col), r'"stop"\s*:\s*("[^"\\]*+(?:\\.[^"\\]*+)*+")', r'"stop":[$1]')
     keep = [c for c in df.columns if c != json_col]
-    req = df.select(*keep, F.from_json(single_stop, REQUEST_SCHEMA).alias("__r"))
-    return (req.select(*keep, "__r", F.posexplode("__r.messages").alias("turn", "__m"))
-            .select(*keep, F.col("__r.model").alias("model"), "turn",
-                    F.col("__m.role").alias("role"), F.col("__m.content").alias("text"),
-                    F.col("__r.temperature").alias("temperature"),
-                    F.col("__r.max_tokens").alias("max_tokens"), F.col("__r.stop").alias("stop")))
+    parsed = F.from_json(single_stop, REQUEST_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})
+    req = df.select(*keep, parsed.alias("__r"))
+    return (req.select(*keep, "__r", F.posexplode_outer("__r.messages").alias("turn", "__m"))
+            .select(*keep, "turn", F.col("__m.role").alias("role"), F.col("__m.content").alias("text"),
+                    F.col("__m.name").alias("name"), *(F.col(f"__r.{p}").alias(p) for p in _PARAMETERS),
+                    (F.col("__r").isNull() | F.col("__r._corrupt").isNotNull()).alias("corrupt")))
 
 
 def _json_string(col: Column) -> Column:

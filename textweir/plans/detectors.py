@@ -216,7 +216,7 @@ def external_guard(spark, sf_dir):
 
 @query("custom_guard", """SELECT doc_id, NOT contains(text, 'jo.') AS valid,
   CASE WHEN contains(text, 'jo.') THEN text ELSE replace(text, ' the ', ' THE ') END AS sanitized_text,
-  CASE WHEN contains(text, 'jo.') THEN 'Custom logic triggered block' ELSE 'Passed custom checks' END AS reason,
+  CASE WHEN contains(text, 'jo.') THEN 'Marker found' ELSE 'No marker found' END AS reason,
   CASE WHEN contains(text, 'jo.') THEN 'blocked' ELSE 'allowed' END AS action FROM documents""")
 def custom_guard(spark, sf_dir):
     result = guards.substitution_guard(F.col("text"), "jo.", {" the ": " THE "})
@@ -445,14 +445,14 @@ def multi_policy_scan(spark, sf_dir):
 _TERM_SQL = r"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS term FROM benchmark"
 
 
-@query("large_blocklist_match", rf"""WITH terms AS (SELECT term FROM ({_TERM_SQL}) WHERE length(term) >= 6),
+@query("large_blocklist_match", rf"""WITH terms AS (SELECT term FROM ({_TERM_SQL})),
 w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\pL\pN_]+')) AS span FROM documents),
 h AS (SELECT doc_id, span FROM w JOIN terms ON lower(span) = term)
 SELECT doc_id, 'Topic:' || array_to_string(list_sort(list_distinct(list(span))), ',') AS label,
   count(*)::BIGINT AS n_hits FROM h GROUP BY doc_id""")
 def large_blocklist_match(spark, sf_dir):
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    terms = load(spark, sf_dir, "benchmark").select(words.alias("term")).filter(F.length("term") >= 6).distinct()
+    terms = load(spark, sf_dir, "benchmark").select(words.alias("term")).distinct()
     return blocklist.blocklist_hits(_docs(spark, sf_dir), "doc_id", terms).withColumn(
         "n_hits", F.col("n_hits").cast("bigint"))
 

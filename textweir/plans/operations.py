@@ -42,8 +42,29 @@ def rate_limit_batch(spark, sf_dir):
 def rate_limit_rounds(spark, sf_dir):
     """The same result with the long stretches replayed in several rounds."""
     log = events(spark, sf_dir).select("event_id", "user_id", "ts")
-    most = max(log.count() // 500, 20)
-    return ratelimit.rate_limit(log, "user_id", "ts", "event_id", 3, _DAY, group_rows=most).drop("ts")
+    return ratelimit.rate_limit(log, "user_id", "ts", "event_id", 3, _DAY, group_rows=50).drop("ts")
+
+
+_TIMELESS = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS ts"
+
+
+def _with_gaps(spark, sf_dir):
+    log = events(spark, sf_dir).select("event_id", "user_id", "ts")
+    return log.withColumn("ts", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
+
+
+@query("rate_limit_untimed", LIMIT_SQL.replace("FROM events)", "FROM events WHERE event_id % 7 <> 0)")
+       + " UNION ALL SELECT event_id, user_id, true FROM events WHERE event_id % 7 = 0")
+def rate_limit_untimed(spark, sf_dir):
+    """A log in which every seventh request has no time."""
+    return ratelimit.rate_limit(_with_gaps(spark, sf_dir), "user_id", "ts", "event_id", 3, _DAY).drop("ts")
+
+
+@query("request_rate_untimed", f"""SELECT event_id, user_id, CASE WHEN ts IS NOT NULL THEN count(*) OVER (
+  PARTITION BY user_id, ts IS NULL ORDER BY epoch_us(ts) RANGE BETWEEN {_DAY_US - 1} PRECEDING AND CURRENT ROW)::BIGINT END AS rate
+  FROM (SELECT event_id, user_id, {_TIMELESS} FROM events)""")
+def request_rate_untimed(spark, sf_dir):
+    return ratelimit.request_rate(_with_gaps(spark, sf_dir), "user_id", "ts", _DAY).drop("ts")
 
 
 @query("request_rate", f"""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts)
@@ -80,7 +101,10 @@ def sink_audit_jsonl(spark, sf_dir):
 @query("sink_audit_console", f"WITH {o.scan_ctes('documents', SHADOW)} SELECT doc_id, '[Audit] ' || CASE WHEN valid THEN "
        "'ALLOWED' ELSE 'BLOCKED' END || ' (SHADOW) | Rule: ' || reason || ' | Latency: n/ams' AS line FROM s")
 def sink_audit_console(spark, sf_dir):
-    return _audit(spark, sf_dir, SHADOW).select("doc_id", audit.console_line().alias("line"))
+    """The lines go to the console through the sink, and are returned."""
+    out = _audit(spark, sf_dir, SHADOW)
+    sinks.console_sink(lambda line: None)(out)
+    return out.select("doc_id", audit.console_line().alias("line"))
 
 
 @query("sink_audit_null", "SELECT count(*)::BIGINT AS n FROM documents")
@@ -104,14 +128,38 @@ def _gateway(spark, sf_dir):
        "'{\"action\":\"' || action || '\"}' AS metadata, 7::BIGINT AS batch_id FROM s")
 def sink_audit_table(spark, sf_dir):
     path = work_path(spark, "audit-table")
-    sink = sinks.table_sink(path, batch_id=7)
-    rows = _gateway(spark, sf_dir)
-    sink(rows)
+    sinks.table_sink(path)(_gateway(spark, sf_dir), 7)
     back = spark.read.option("mergeSchema", "false").parquet(path)
     return back.select("client_ip", "original_prompt", "sanitized_prompt", "verdict", "latency", "metadata",
                        F.col("batch_id").cast("bigint").alias("batch_id"))
 
 
+def _two_batches(spark, sf_dir):
+    """An audit table of two batches (even documents, then odd ones), and the mark after the first."""
+    path = work_path(spark, "audit-batches")
+    sink, rows = sinks.table_sink(path), _gateway(spark, sf_dir)
+    odd = F.col("client_ip").cast("bigint") % 2
+    sink(rows.filter(odd == 0), 1)
+    mark = audit.high_water_mark(spark.read.parquet(path))
+    sink(rows.filter(odd == 1), 2)
+    return spark.read.parquet(path), mark
+
+
+@query("audit_table_marks", f"WITH {_EVENTS_SQL} SELECT doc_id::VARCHAR AS client_ip, {_VERDICT_SQL} AS verdict, 2::BIGINT AS batch_id "
+       "FROM s WHERE doc_id % 2 = 1")
+def audit_table_marks(spark, sf_dir):
+    """What a second batch adds to an audit table, seen from the mark after the first."""
+    table, mark = _two_batches(spark, sf_dir)
+    return audit.new_audit_rows(table, mark).select("client_ip", "verdict", F.col("batch_id").cast("bigint").alias("batch_id"))
+
+
+@query("audit_table_latest", "SELECT 2::BIGINT AS batch_id, least(20, count(*) FILTER (doc_id % 2 = 1))::BIGINT AS n FROM documents")
+def audit_table_latest(spark, sf_dir):
+    """The newest twenty rows are of the last batch."""
+    table, _ = _two_batches(spark, sf_dir)
+    return audit.audit_latest(table).groupBy(F.col("batch_id").cast("bigint").alias("batch_id")).agg(F.count("*").alias("n"))
+
+
 @query("sink_result_json", f"WITH {_EVENTS_SQL} SELECT valid, action, reason, sanitized_text FROM s")
 def sink_result_json(spark, sf_dir):
     path = work_path(spark, "result-json")
@@ -152,7 +200,7 @@ def audit_latest(spark, sf_dir):
 
 @query("new_audit_rows", f"{_LOG_SQL} SELECT id, verdict, original_prompt <> sanitized_prompt AS notice FROM g WHERE id > 100")
 def new_audit_rows(spark, sf_dir):
-    return audit.new_audit_rows(_log_rows(spark, sf_dir), 100).select("id", "verdict", "notice")
+    return audit.new_audit_rows(_log_rows(spark, sf_dir), (100,)).select("id", "verdict", "notice")
 
 
 # --- compliance ----------------------------------------------------------------
@@ -210,23 +258,27 @@ def sink_compliance_report(spark, sf_dir):
 @query("src_attack_csv", "SELECT text AS prompt, CASE WHEN role = 'user' THEN 'passed' ELSE 'blocked' END AS expected "
        "FROM conversations")
 def src_attack_csv(spark, sf_dir):
+    """Files with a header (even conversations) and without one in one folder."""
     turns = load(spark, sf_dir, "conversations")
-    rows = turns.select(F.col("text").alias("prompt"), F.when(F.col("role") == "user", "passed").alias("expected"))
     path = work_path(spark, "attacks")
-    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option(
-        "nullValue", "").option("emptyValue", "").csv(path)
-    out = readers.read_attack_csv(spark, path)
-    return out.withColumn("expected", F.coalesce(F.nullif("expected", F.lit("")), F.lit("blocked")))
+    for odd, header in ((0, True), (1, False)):
+        rows = turns.filter(F.col("conv_id") % 2 == odd).select(
+            F.col("text").alias("prompt"), F.when(F.col("role") == "user", "passed").alias("expected"))
+        rows.write.mode("append").option("header", header).option("escape", '"').option("quoteAll", True).option(
+            "nullValue", "").option("emptyValue", "").csv(path)
+    return readers.read_attack_csv(spark, path)
 
 
 @query("src_text_files", "SELECT item_id, text FROM benchmark")
 def src_text_files(spark, sf_dir):
-    """One file per benchmark text, read back whole."""
-    path = work_path(spark, "texts")
-    load(spark, sf_dir, "benchmark").select("text", "item_id").write.partitionBy("item_id").text(path)
+    """Sixteen files of benchmark texts, read back whole and cut at their marks."""
+    path, mark = work_path(spark, "texts"), chr(1)
+    rows = load(spark, sf_dir, "benchmark").select(F.concat_ws(mark, "item_id", "text").alias("value"))
+    rows.repartition(16).write.option("lineSep", chr(2)).text(path)
     files = readers.read_text_files(spark, path)
-    item = F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint")
-    return files.select(item.alias("item_id"), F.regexp_replace("text", r"\n\z", "").alias("text"))
+    rows = files.select(F.explode(F.split("text", chr(2))).alias("r")).filter("r <> ''")
+    return rows.select(F.substring_index("r", mark, 1).cast("bigint").alias("item_id"),
+                       F.regexp_replace("r", f"^[0-9]+{mark}", "").alias("text"))
 
 
 @query("src_documents", "SELECT doc_id, length(text)::BIGINT AS n FROM documents")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import sinks
 from ..sources.readers import chunk_texts, read_chunk_stream
 from ..streaming import live, sanitize
 from . import oracle as o
@@ -107,10 +108,12 @@ def rate_limit_stream(spark, sf_dir):
        "'input' AS source, valid, action, reason, length(text)::BIGINT AS input_len FROM s")
 def audit_stream(spark, sf_dir):
     verdicts, log = work_path(spark, "verdicts"), work_path(spark, "audit")
-    body = live.audit_batch(lambda: HOUSE, [live.batch_parquet_sink(verdicts), live.batch_parquet_sink(log)],
+    body = live.audit_batch(lambda: HOUSE, [live.batch_parquet_sink(verdicts), sinks.jsonl_sink(log), sinks.null_sink()],
                             keys=("conv_id", "turn"))
     finish(stream(spark, sf_dir, "conversations").writeStream.foreachBatch(body), spark, "audit")
-    return spark.read.parquet(log).select("conv_id", "turn", "profile", "source", "valid", "action", "reason",
+    stored = ("conv_id bigint, turn bigint, profile string, source string, valid boolean, action string, reason string, "
+              "input_len int")
+    return spark.read.schema(stored).json(f"{log}/batch_id=*").select("conv_id", "turn", "profile", "source", "valid", "action", "reason",
                                           F.col("input_len").cast("bigint").alias("input_len"))
 
 

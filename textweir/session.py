@@ -30,16 +30,13 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "textweir") -> S
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder.
+    Only a ``local[n]`` session without that setting gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "textweir-" + spark.sparkContext.applicationId)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -48,24 +45,14 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts its lineage, and
-    later reads of it survive the loss of executors."""
+def materialize(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """``df`` written once to the shared folder (in folders ``by`` columns) and read back:
+    cuts its lineage, and later reads of it survive the loss of executors."""
     path = work_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a *scan* with fewer splits than cores; a no-op on large inputs.
-
-    A table in one small file would otherwise keep a CPU-heavy scan on one core.
-    Inputs of more splits than cores are left alone, so no large text is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; stops counting beyond that."""
     return df.limit(rows + 1).count() <= rows

@@ -13,16 +13,18 @@ CHUNK_SCHEMA = "stream_id string, seq bigint, ts timestamp, chunk string, eos bo
 def read_attack_csv(spark: SparkSession, path: str) -> DataFrame:
     """``prompt, expected`` of a labelled prompt file.
 
-    The first row is a header if its first cell is ``prompt`` in any case; a missing
-    label means ``blocked``. Quoted cells may span lines. Blank rows are skipped.
+    The first row of each file is a header if its first cell is ``prompt`` in any case; a
+    missing or empty label means ``blocked``. Quoted cells may span lines. Blank rows are skipped.
     """
     schema = "prompt string, expected string"
     options = {"quote": '"', "escape": '"', "multiLine": True, "enforceSchema": True, "mode": "PERMISSIVE"}
-    first = spark.read.schema(schema).options(**options).csv(path).first()
-    header = first is not None and (first["prompt"] or "").lower() == "prompt"
-    rows = spark.read.schema(schema).options(header=header, **options).csv(path)
-    return rows.filter(F.col("prompt").isNotNull()).withColumn(
-        "expected", F.coalesce("expected", F.lit("blocked")))
+    # places rise within a file, since a file whose cells span lines is read in one piece
+    rows = spark.read.schema(schema).options(**options).csv(path).select(
+        "prompt", "expected", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    firsts = rows.groupBy("__file").agg(F.min(F.struct("__at", F.lower("prompt").alias("cell"))).alias("f"))
+    headers = firsts.filter("f.cell = 'prompt'").select("__file", F.col("f.__at").alias("__at"))
+    return rows.join(headers, ["__file", "__at"], "left_anti").filter(F.col("prompt").isNotNull()).select(
+        "prompt", F.coalesce(F.nullif("expected", F.lit("")), F.lit("blocked")).alias("expected"))
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -32,9 +34,14 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chat_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Chat requests, one JSON object per line, in long form."""
-    lines = spark.read.text(path).withColumnRenamed("value", "request")
-    return parse_requests(lines.withColumn("conv_id", F.xxhash64("request")))
+    """Chat requests, one JSON object per line, in long form.
+
+    ``conv_id`` is the file and the row's place, so equal requests stay apart.
+    """
+    lines = spark.read.text(path).select(
+        F.col("value").alias("request"),
+        F.concat_ws("#", "_metadata.file_path", F.monotonically_increasing_id().cast("string")).alias("conv_id"))
+    return parse_requests(lines)
 
 
 def read_documents(spark: SparkSession, path: str, text_col: str = "text") -> DataFrame:

@@ -1,7 +1,7 @@
 """Sinks: audit files, console lines, audit tables, result and report files.
 
-A sink is any ``Callable[[DataFrame], None]``; the same one serves a batch job
-and a stream's ``foreachBatch``.
+A sink is called with the rows and a batch id, which a stream's ``foreachBatch``
+hands over and a batch job may leave out.
 """
 
 from __future__ import annotations
@@ -14,43 +14,48 @@ from pyspark.sql import functions as F
 from ..operators.audit import console_line
 from ..operators.compliance import compliance_summary, report_details
 
-Sink = Callable[[DataFrame], None]
+Sink = Callable[..., None]
+
+
+def _batch_folder(path: str, batch_id: int | None) -> tuple[str, str]:
+    """Where a batch goes, and how: with an id it replaces what an earlier try of it wrote."""
+    return (path, "append") if batch_id is None else (f"{path}/batch_id={batch_id}", "overwrite")
 
 
 def jsonl_sink(path: str) -> Sink:
     """Append events as JSON lines, NULL fields included, times in ISO form with ``Z``."""
-    def write(events: DataFrame) -> None:
-        (events.write.mode("append").option("ignoreNullFields", "false")
-         .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path))
+    def write(events: DataFrame, batch_id: int | None = None) -> None:
+        folder, mode = _batch_folder(path, batch_id)
+        (events.write.mode(mode).option("ignoreNullFields", "false").option("timeZone", "UTC")
+         .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder))
     return write
 
 
-def console_sink(rows: int = 20) -> Sink:
-    """Print the audit lines of the first rows of each batch."""
-    def write(events: DataFrame) -> None:
-        events.select(console_line().alias("line")).show(rows, truncate=False)
+def console_sink(show: Callable[[str], None] = print) -> Sink:
+    """Print the audit line of every row; the driver holds one partition of lines at a time."""
+    def write(events: DataFrame, batch_id: int | None = None) -> None:
+        for row in events.select(console_line().alias("line")).toLocalIterator():
+            show(row["line"])
     return write
 
 
 def null_sink() -> Sink:
     """Run the plan and discard its rows."""
-    def write(events: DataFrame) -> None:
+    def write(events: DataFrame, batch_id: int | None = None) -> None:
         events.write.format("noop").mode("overwrite").save()
     return write
 
 
-def table_sink(path: str, batch_id: int = 0, time_col: str = "timestamp") -> Sink:
-    """Append gateway audit rows to a Parquet table by date.
+def table_sink(path: str, time_col: str = "timestamp") -> Sink:
+    """Append gateway audit rows to a Parquet table, one folder for each batch.
 
-    Rows are numbered within a batch, so ``(batch_id, id)`` orders them by arrival; a
-    batch that is retried replaces its own files, so nothing is written twice.
+    Rows are numbered within a batch, so ``(batch_id, id)`` orders them by arrival. Every batch
+    needs an id of its own; one that is retried, on whatever day, replaces its own files.
     """
-    def write(rows: DataFrame) -> None:
-        n = F.monotonically_increasing_id()
-        (rows.withColumns({"id": n, "batch_id": F.lit(batch_id).cast("bigint"),
-                           "date": F.to_date(time_col)})
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id", "date").parquet(path))
+    def write(rows: DataFrame, batch_id: int) -> None:
+        folder, mode = _batch_folder(path, batch_id)
+        (rows.withColumns({"id": F.monotonically_increasing_id(), "date": F.to_date(time_col)})
+         .write.mode(mode).parquet(folder))
     return write
 
 
@@ -60,17 +65,23 @@ def result_json(valid: Column, action: Column, reason: Column, text: Column) ->
 
 
 def result_json_sink(path: str) -> Sink:
-    def write(scanned: DataFrame) -> None:
+    def write(scanned: DataFrame, batch_id: int | None = None) -> None:
+        folder, mode = _batch_folder(path, batch_id)
         cols = [F.col(c) for c in ("valid", "action", "reason", "sanitized_text")]
-        scanned.select(result_json(*cols).alias("value")).write.mode("append").text(path)
+        scanned.select(result_json(*cols).alias("value")).write.mode(mode).text(folder)
     return write
 
 
 def compliance_report_sink(path: str, keys: tuple[str, ...] = ()) -> Sink:
-    """``summary`` (one row) and ``details`` (a row per prompt) below ``path``."""
-    def write(details: DataFrame) -> None:
-        (compliance_summary(details).withColumn("timestamp", F.current_timestamp())
-         .write.mode("overwrite").json(f"{path}/summary"))
+    """``summary`` (one row) and ``details`` (a row per prompt) below ``path``.
+
+    The prompts are scanned once: the summary counts the details as written.
+    """
+    def write(details: DataFrame, batch_id: int | None = None) -> None:
+        folder = path if batch_id is None else f"{path}/batch_id={batch_id}"
         rows = report_details(details, keys=keys)
-        rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/details")
+        rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/details")
+        written = details.sparkSession.read.schema(rows.schema).json(f"{folder}/details")
+        (compliance_summary(written).withColumn("timestamp", F.current_timestamp())
+         .write.mode("overwrite").json(f"{folder}/summary"))
     return write
