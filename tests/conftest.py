@@ -37,3 +37,15 @@ def texts(spark):
     def make(rows):
         return spark.createDataFrame(list(enumerate(rows)), "i int, text string")
     return make
+
+
+def iter_admit(times, max_requests: int, window_us: int):
+    """The limiter's rule, one request at a time."""
+    log: list[int] = []
+    for now in times:
+        log = [t for t in log if now - t < window_us]
+        if len(log) < max_requests:
+            log.append(now)
+            yield True
+        else:
+            yield False

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import iter_admit
 from textweir.operators import ratelimit
 
 
@@ -15,7 +16,7 @@ def by_rule(rows, n, w):
     for client in {r[1] for r in rows}:
         mine = sorted((r for r in rows if r[1] == client), key=lambda r: (r[2], r[0]))
         times = [round(r[2] * 1e6) for r in mine]
-        for r, ok in zip(mine, ratelimit.iter_admit(iter(times), n, int(w * 1e6))):
+        for r, ok in zip(mine, iter_admit(iter(times), n, int(w * 1e6))):
             out[r[0]] = ok
     return out
 
@@ -78,3 +79,12 @@ def test_no_task_holds_a_whole_client(spark):
     plan = ratelimit.request_rate(log(spark, requests(1)), "client", "ts", 60)._jdf.queryExecution().optimizedPlan().toString()
     over_requests = [line for line in plan.splitlines() if "Window" in line and "__d" in line]
     assert over_requests and all("__slot" in line.split("], [")[1] for line in over_requests)
+
+
+def test_requests_without_a_time_pass(spark):
+    rows = [(i, "c", float(t)) for i, t in enumerate([0, 10, 20, 30])]
+    df = log(spark, rows).withColumn("ts", F.when(F.col("id") != 1, F.col("ts")))
+    got = ratelimit.rate_limit(df, "client", "ts", "id", 2, 60).orderBy("id").collect()
+    assert [r.admitted for r in got] == [True, True, True, False]
+    rates = ratelimit.request_rate(df, "client", "ts", 60).orderBy("id").collect()
+    assert [r.rate for r in rates] == [1, None, 2, 3]

@@ -61,8 +61,11 @@ def request_rate(df: DataFrame, client: str, ts: str, window_seconds: float) ->
 
     A request counts +1 at its time and -1 when it expires; the rate is the running
     sum. Sums per time slot carry the total over, so no window holds more than one
-    client's requests of one short slot.
+    client's requests of one short slot. A request without a time has a NULL rate and is
+    in no other's.
     """
+    timeless = df.filter(F.col(ts).isNull()).withColumn("rate", F.lit(None).cast("bigint"))
+    df = df.filter(F.col(ts).isNotNull())
     us = int(window_seconds * 1e6)
     slot_us = us // gcd(us, 64)  # slots divide the window, so a whole slot expires at once
     columns = df.columns
@@ -79,7 +82,8 @@ def request_rate(df: DataFrame, client: str, ts: str, window_seconds: float) ->
     within = Window.partitionBy("__c", "__slot").orderBy("__us").rangeBetween(Window.unboundedPreceding, 0)
     return (both.withColumn("__run", F.sum("__d").over(within))
             .filter("__d = 1").join(carried, ["__c", "__slot"])
-            .select(*columns, (F.col("__run") + F.col("__carry")).alias("rate")))
+            .select(*columns, (F.col("__run") + F.col("__carry")).alias("rate"))
+            .unionByName(timeless))
 
 
 def _slots(df: DataFrame, max_requests: int, us: int, slot_us: int, group_rows: int) -> DataFrame:
@@ -163,11 +167,13 @@ def rate_limit(df: DataFrame, client: str, ts: str, order: str, max_requests: in
     ``group_rows`` requests are replayed in one pass; longer ones in rounds, each
     starting from the requests that were still in the log when the round before
     ended (at most N), so no task replays more than about ``group_rows`` of one
-    client's requests at a time.
+    client's requests at a time. A request without a time is in no window: it passes
+    uncounted.
     """
     us = int(window_seconds * 1e6)
     slot_us = max(us // slots_per_window, 1)
     columns = df.columns
+    timeless, df = df.filter(F.col(ts).isNull()), df.filter(F.col(ts).isNotNull())
     timed = df.withColumns({"__c": client_key(client), "__us": micros(F.col(ts))})
     timed = timed.withColumn("__slot", F.col("__us") - F.pmod("__us", F.lit(slot_us)))
     counted = timed if path is None else timed.filter(F.col(path).startswith("/v1/"))
@@ -183,13 +189,15 @@ def rate_limit(df: DataFrame, client: str, ts: str, order: str, max_requests: in
     result = free.select(*columns).unionByName(placed.filter(F.col("__run").isNull()).select(*columns))
     if path is not None:
         result = result.unionByName(timed.filter(~F.coalesce(F.col(path).startswith("/v1/"), F.lit(False))).select(*columns))
-    result = result.withColumn("admitted", F.lit(True))
+    result = result.unionByName(timeless).withColumn("admitted", F.lit(True))
     if rounds is None:
         return result
 
     keys = ["__c", "__run"]
     busy = placed.filter(F.col("__run").isNotNull()).withColumn("__seed", F.lit(False))
     busy = busy.select(*columns, "__c", "__us", "__run", "__seg", "__seed")
+    if rounds:  # read once for each round, by round
+        busy = materialize(busy, "busy", "__seg")
     out_schema = T.StructType([*busy.drop("__seg", "__seed").schema.fields, T.StructField("admitted", T.BooleanType())])
 
     def replay(rows: DataFrame) -> DataFrame:
@@ -216,14 +224,3 @@ def rate_limit(df: DataFrame, client: str, ts: str, order: str, max_requests: in
         log = log.union(done.filter("admitted").select(*keys, "__us"))
     return result
 
-
-def iter_admit(times: Iterator[int], max_requests: int, window_us: int) -> Iterator[bool]:
-    """The rule, one request at a time; the statement the tests compare with."""
-    log: list[int] = []
-    for now in times:
-        log = [t for t in log if now - t < window_us]
-        if len(log) < max_requests:
-            log.append(now)
-            yield True
-        else:
-            yield False
