@@ -1,6 +1,7 @@
 import dataclasses
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,7 +135,8 @@ def test_semantic(spark):
     df = spark.createDataFrame([(1, "x", [2.0, 0.1]), (2, "y", [1.0, 1.0]), (3, "z", None), (4, "w", [0.0, 0.0])],
                                "i int, text string, v array<double>")
     for best in (similarity.best_intent, similarity.native_best_intent):
-        rows = df.filter("i < 3").select(best(F.col("v"), intents).alias("b")).select("b.*").collect()
+        rows = df.orderBy("i").select(best(F.col("v"), intents).alias("b")).select("b.*").collect()
+        assert rows[3].score == 0.0 and rows[2].score is None  # a zero vector, no vector
         assert rows[0].intent == "a" and abs(rows[0].score - 0.998752) < 1e-5  # the first of a tie
         assert rows[1].intent == "a" and abs(rows[1].score - 0.5 ** 0.5) < 1e-9
     policy = Policy(name="s", semantic_enabled=True, semantic_threshold=0.9, forbidden_intents=("a", "b"))
@@ -218,3 +220,32 @@ def test_policies(tmp_path):
     (tmp_path / "mine.yaml").write_text("profile_name: Mine\nshadow_mode: true\n")
     assert load_policy("mine", search=(str(tmp_path),)).shadow_mode
     assert os.path.exists(bad)
+
+
+def test_embedder_sees_input_texts_only(spark):
+    class Strict:
+        def encode(self, rows):
+            assert all(isinstance(t, str) and t != "answer" for t in rows)
+            return np.array([[float(len(t)), 1.0] for t in rows])
+
+    policy = Policy(name="s", semantic_enabled=True, semantic_threshold=0.99, forbidden_intents=("abc",))
+    df = spark.createDataFrame([(1, "abc", "input"), (2, None, "input"), (3, "answer", "output")], "i int, text string, source string")
+    out = scan(df, policy, source=F.col("source"), models=Models(embedder=Strict)).orderBy("i").collect()
+    assert [r.action for r in out] == ["blocked", "allowed", "allowed"]
+
+
+def test_score_model_checks_every_sentence(spark):
+    from textweir.operators.corpus import sanitize_by_sentence, sanitize_sentence_rows
+    from textweir.operators.scan import scan_array
+
+    policy = Policy(name="t", toxicity_enabled=True, toxicity_threshold=0.5)
+    model = lambda: lambda batch: [float("bad" in (t or "")) for t in batch]
+    models = Models(score=lambda t: similarity.model_score(t, model))
+    df = spark.createDataFrame([(1, "This is bad. Fine."), (2, "Fine."), (3, ""), (4, None)], "i int, text string")
+    got = {r.i: (r.sanitized_text, r.n_blocked) for r in sanitize_by_sentence(df, policy, models=models).collect()}
+    assert got[1][0].startswith("[BLOCKED: Plugin:") and got[1][0].endswith(" Fine.") and got[1][1] == 1
+    assert got[2] == ("Fine.", 0) and got[3] == ("", 0) and got[4][1] == 0
+    rows = sanitize_sentence_rows(df.filter("i = 1"), policy, models=models).orderBy("pos").collect()
+    assert "".join(r.emitted for r in rows) == got[1][0]
+    with pytest.raises(ValueError):
+        scan_array(df.selectExpr("array(text) AS a"), "a", policy, "v", models)

@@ -92,8 +92,8 @@ def substitution_guard(text: Column, blocked_marker: str, replacements: Mapping[
         out = F.replace(out, F.lit(old), F.lit(new))
     hit = F.coalesce(text.contains(blocked_marker), F.lit(False))
     return guard_result(~hit, F.when(hit, text).otherwise(out),
-                        F.when(hit, F.lit("Custom logic triggered block"))
-                        .otherwise(F.lit("Passed custom checks")),
+                        F.when(hit, F.lit("Marker found"))
+                        .otherwise(F.lit("No marker found")),
                         F.when(hit, F.lit("blocked")).otherwise(F.lit(_ALLOWED)))
 
 

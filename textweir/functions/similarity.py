@@ -47,16 +47,19 @@ class HashingEmbedder:
 
 
 def embed(text: Column, load: Callable[[], Embedder]) -> Column:
-    """Vector column from a model that is loaded once per task."""
+    """Vector column from a model that is loaded once per task; NULL texts have no vector
+    and never reach the model."""
     holder: dict[str, Embedder] = {}
 
     @F.arrow_udf("array<double>")
     def encode(batch: pa.Array) -> pa.Array:
         if "model" not in holder:
             holder["model"] = load()
-        vectors = np.asarray(holder["model"].encode(batch.to_pylist()), dtype=np.float64)
-        offsets = np.arange(len(vectors) + 1, dtype=np.int32) * (vectors.shape[1] if len(vectors) else 0)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.reshape(-1)))
+        known = np.asarray(batch.is_valid())
+        texts = batch.drop_null().to_pylist()
+        vectors = np.asarray(holder["model"].encode(texts), dtype=np.float64) if texts else np.zeros((0, 0))
+        offsets = np.concatenate(([0], np.cumsum(known * (vectors.shape[1] if texts else 0)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(vectors.reshape(-1)), mask=pa.array(~known))
 
     return encode(text)
 
@@ -117,7 +120,8 @@ def native_best_intent(vector: Column, intents: Mapping[str, Sequence[float]]) -
     rows = []
     for order, (name, vec) in enumerate(intents.items()):
         unit = _unit(np.asarray([vec], dtype=np.float64))[0]
-        score = dot(vector, F.lit(unit.tolist())) / F.sqrt(dot(vector, vector))
+        score = F.try_divide(dot(vector, F.lit(unit.tolist())), F.sqrt(dot(vector, vector)))
+        score = F.when(vector.isNotNull(), F.coalesce(score, F.lit(0.0)))  # a zero vector is like nothing
         rows.append(F.struct(score.alias("score"), F.lit(-order).alias("rank"), F.lit(name).alias("intent")))
     best = F.array_max(F.array(*rows))
     return F.struct(best["intent"].alias("intent"), best["score"].alias("score"))

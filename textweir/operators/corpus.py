@@ -55,9 +55,12 @@ def sanitize_by_sentence(df: DataFrame, policy: Policy, text_col: str = "text",
                          models: Models = Models()) -> DataFrame:
     """Texts with every sentence validated on its own: ``sanitized_text, n_blocked``.
 
-    The sentences of a text stay an array in its row, so re-assembly needs no shuffle.
+    The sentences of a text stay an array in its row, so re-assembly needs no shuffle. Only a
+    policy with a scoring model has them as rows, which a shuffle brings together again.
     """
     keep = df.columns
+    if policy.toxicity_enabled and models.score is not None:
+        return _by_sentence_rows(df, policy, text_col, models)
     cut = df.withColumn("__pieces", sentence_pieces(F.col(text_col)))
     cut = cut.withColumns({
         "__body": F.transform("__pieces", sentence_body),
@@ -69,6 +72,24 @@ def sanitize_by_sentence(df: DataFrame, policy: Policy, text_col: str = "text",
                              "n_blocked": F.size(F.filter("__v", lambda v: ~v["valid"]))})
 
 
+def _by_sentence_rows(df: DataFrame, policy: Policy, text_col: str, models: Models) -> DataFrame:
+    keep = df.columns
+    named = df.select(F.struct(*keep).alias("__row"), F.col(text_col).alias("__text"),
+                      F.monotonically_increasing_id().alias("__id"))
+    rows = named.select("__id", "__row", F.posexplode_outer(sentence_pieces(F.col("__text"))).alias("__pos", "__piece"))
+    rows = rows.select(  # the row goes along with its first sentence only
+        "__id", "__pos", F.when(F.coalesce("__pos", F.lit(0)) == 0, F.col("__row")).alias("__row"),
+        sentence_body(F.col("__piece")).alias("__body"), sentence_separator(F.col("__piece")).alias("__sep"))
+    done = scan(rows, policy, "__body", "output", models)
+    shown = F.concat(emit_text(F.col("valid"), F.col("sanitized_text"), F.col("reason")), F.col("__sep"))
+    whole = done.groupBy("__id").agg(
+        F.first("__row", ignorenulls=True).alias("__row"),
+        F.sort_array(F.collect_list(F.when(F.col("__pos").isNotNull(), F.struct("__pos", shown.alias("t"))))).alias("__s"),
+        F.count_if(~F.col("valid")).cast("int").alias("n_blocked"))
+    text = F.when(F.col(f"__row.`{text_col}`").isNotNull(), F.array_join(F.transform("__s", lambda s: s["t"]), ""))
+    return whole.select("__row.*", text.alias("sanitized_text"), "n_blocked")
+
+
 def multi_policy_scan(df: DataFrame, policies: Sequence[Policy], text_col: str = "text",
                       source: str | Column = "input", models: Models = Models()) -> DataFrame:
     """Every text under every policy: one row per text and policy.

@@ -107,7 +107,8 @@ def detector_stages(policy: Policy, source: Column, models: Models) -> list[Stag
     intents = _intent_vectors(policy, models) if policy.semantic_enabled else None
     if intents:
         if models.vector is None:
-            stages.append(lambda s: {"vector": F.when(is_input, embed(s["text"], models.embedder))})
+            # the condition is on the argument: a UDF runs for every row that it is given
+            stages.append(lambda s: {"vector": embed(F.when(is_input, s["text"]), models.embedder)})
         stages.append(lambda s: {"best": F.when(is_input, best_intent(
             s["vector"] if models.vector is None else F.col(models.vector), intents))})
         detectors["label_semantic"] = lambda s: intent_label(s["best"], policy.semantic_threshold)
@@ -284,9 +285,12 @@ def scan_array(df: DataFrame, array_col: str, policy: Policy, out_col: str,
     """Validate every element of a string array as *output*, row by row, no shuffle.
 
     ``out_col`` becomes an array of structs ``(original, text, triggered, valid,
-    reason, action)``. Every stage is one ``transform`` over the array.
+    reason, action)``. Every stage is one ``transform`` over the array, so a scoring model,
+    which need not be a built-in expression, cannot take part.
     """
-    if policy.semantic_enabled or models.score is not None or models.vector:
+    if policy.toxicity_enabled and models.score is not None:
+        raise ValueError("a scoring model needs one row per text: use scan on the exploded array")
+    if policy.semantic_enabled or models.vector:  # output skips it
         models = Models(plugins=models.plugins, entities=models.entities, persons=models.persons,
                         locations=models.locations, secrets=models.secrets)
     stages = all_stages(policy, F.lit("output"), models)
