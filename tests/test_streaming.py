@@ -3,9 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import iter_admit
 from textweir import Policy
 from textweir.operators.corpus import sanitize_by_sentence, sanitize_sentence_rows
-from textweir.operators.ratelimit import iter_admit
 from textweir.sources.readers import CHUNK_SCHEMA, read_chunk_stream
 from textweir.streaming import live, sanitize
 
@@ -164,3 +164,39 @@ def test_late_rows_are_dropped_from_windows(spark, tmp_path):
     run([(0.0, "blocked"), (10.0, "blocked"), (1000.0, "allowed")])
     run([(5.0, "blocked"), (1001.0, "allowed")])
     assert sorted(got.values()) == [2, 2]
+
+
+def test_cutting_is_linear():
+    import time
+
+    cutter, start = sanitize.Cutter(), time.perf_counter()
+    for _ in range(8_000):
+        assert cutter.feed("x" * 40, "text") == []
+    assert time.perf_counter() - start < 1.0 and len(cutter.rest()) == 320_000
+
+
+def test_cutter_equals_the_sentence_pattern():
+    import re
+
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", ".", "? ", "!", " ", "\n", "b. "]) for _ in range(rng.randint(0, 30)))
+        want = [(m.group(1), m.group(2)) for m in re.finditer(r"(.*?[.?!])(\s+)(?=\S)", text, re.DOTALL)]
+        cutter, got, at = sanitize.Cutter(), [], 0
+        while at < len(text):
+            step = rng.randint(1, 5)
+            got += cutter.feed(text[at:at + step], "text")
+            cutter = sanitize.Cutter(cutter.rest())  # as from a checkpoint
+            at += step
+        assert got == want and "".join(a + b for a, b in got) + cutter.rest() == text
+
+
+def test_parked_chunks_beyond_the_bound_are_dead_letters(feed):
+    chunks_ = [("s", n, 0.0, f"c{n}. ", False) for n in range(1, 6)]
+    feed.put(chunks_)
+    source = read_chunk_stream(feed.spark, f"{feed.folder}/in", max_files=1)
+    q = (sanitize.sentence_stream(source, parked_most=3).writeStream.format("parquet").option("path", f"{feed.folder}/out")
+         .option("checkpointLocation", f"{feed.folder}/state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = feed.spark.read.parquet(f"{feed.folder}/out").collect()
+    assert sorted((r.kind, r.sentence) for r in got) == [("dead_letter", "c4. "), ("dead_letter", "c5. ")]

@@ -17,9 +17,12 @@ from ..policy import Policy
 
 
 def rate_limit_stream(requests: DataFrame, client: str, ts: str, order: str, max_requests: int = 60,
-                      window_seconds: int = 60, late: str = "10 seconds") -> DataFrame:
+                      window_seconds: int = 60, late: str = "10 seconds", path: str | None = None) -> DataFrame:
     """``requests`` plus ``admitted``, decided in (time, order) within a micro-batch.
 
+    With ``path``, requests outside ``/v1/`` pass uncounted. A micro-batch's requests of one
+    client are ordered in one task; the source's rate option bounds them.
+
     State per client: its admitted times of the last W, at most N of them. Requests
     that come after later ones were decided are judged by the state as it then is.
     A client silent for W is forgotten.
@@ -44,8 +47,12 @@ def rate_limit_stream(requests: DataFrame, client: str, ts: str, order: str, max
         yield rows[[*columns, "admitted"]]
 
     timed = requests.withWatermark(ts, late).withColumn("__us", micros(F.col(ts)))
-    return timed.groupBy(client).applyInPandasWithState(
+    limited = F.lit(True) if path is None else F.coalesce(F.col(path).startswith("/v1/"), F.lit(False))
+    judged = timed.filter(limited).groupBy(client).applyInPandasWithState(
         step, schema, "log array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    if path is None:
+        return judged
+    return judged.unionByName(timed.filter(~limited).select(*columns, F.lit(True).alias("admitted")))
 
 
 def audit_batch(policy_source: Callable[[], Policy], sinks: Sequence[Callable[[DataFrame, int], None]],

@@ -24,23 +24,44 @@ OUT_SCHEMA = ("stream_id string, ord bigint, seq bigint, kind string, sentence s
 STATE_SCHEMA = ("buffer string, next_seq bigint, ord bigint, "
                 "parked array<struct<seq:bigint, chunk:string, eos:boolean>>, latest bigint")
 
-_CHUNK_END = re.compile(SENTENCE_END, re.DOTALL)
+# the end of a sentence: what follows the lazy part of the sentence pattern
+_CHUNK_END = re.compile(SENTENCE_END.replace("(.*?[.?!])", "[.?!]"))
 # as above, but the white space must be complete: a following character is seen
-_TEXT_END = re.compile(r"(.*?[.?!])(\s+)(?=\S)", re.DOTALL)
+_TEXT_END = re.compile(r"[.?!](\s+)(?=\S)")
 
 
-def cut(buffer: str, mode: str) -> tuple[list[tuple[str, str]], str]:
-    """Complete sentences ``(body, separator)`` at the start of the buffer, and the rest.
+class Cutter:
+    """Text without a sentence end yet. ``head`` has been searched; only ``tail`` is searched again.
 
-    ``chunk`` also cuts at a final ``.?!`` of the buffer; ``text`` waits for what
-    follows it, so its sentences do not depend on where the chunks were cut.
+    ``chunk`` also cuts at a final ``.?!`` of what has come; ``text`` waits for what follows
+    it, so its sentences do not depend on where the chunks were cut.
     """
-    ends = _CHUNK_END if mode == "chunk" else _TEXT_END
-    found, at = [], 0
-    while (m := ends.match(buffer, at)) is not None:
-        found.append((m.group(1), m.group(2)))
-        at = m.end()
-    return found, buffer[at:]
+
+    def __init__(self, held: str = ""):
+        self.head: list[str] = []
+        self.tail = ""
+        self._settle(held)
+
+    def _settle(self, rest: str) -> None:
+        """Put away what no sentence end can begin in: all before a mark at the end."""
+        bare = rest.rstrip()
+        at = len(bare) - 1 if bare and bare[-1] in ".?!" else len(rest)
+        if at:
+            self.head.append(rest[:at])
+        self.tail = rest[at:]
+
+    def feed(self, chunk: str, mode: str) -> list[tuple[str, str]]:
+        """Complete sentences ``(body, separator)`` once ``chunk`` has come."""
+        ends = _CHUNK_END if mode == "chunk" else _TEXT_END
+        text, found, at = self.tail + chunk, [], 0
+        while (m := ends.search(text, at)) is not None:
+            found.append(("".join(self.head) + text[at:m.start() + 1], m.group(1)))
+            self.head, at = [], m.end()
+        self._settle(text[at:])
+        return found
+
+    def rest(self) -> str:
+        return "".join(self.head) + self.tail
 
 
 class _Buffer:
@@ -49,7 +70,7 @@ class _Buffer:
     def __init__(self, state: GroupState, mode: str):
         self.mode, self.rows = mode, []
         held = state.get if state.exists else ("", 0, 0, [], 0)
-        self.text, self.next_seq, self.ord, self.latest = held[0], held[1], held[2], held[4]
+        self.text, self.next_seq, self.ord, self.latest = Cutter(held[0]), held[1], held[2], held[4]
         self.parked = {p[0]: (p[1], p[2]) for p in held[3]}
         self.done = False
 
@@ -59,9 +80,7 @@ class _Buffer:
 
     def feed(self, seq: int, chunk: str | None, eos: bool) -> None:
         if chunk:
-            self.text += chunk
-            found, self.text = cut(self.text, self.mode)
-            for body, separator in found:
+            for body, separator in self.text.feed(chunk, self.mode):
                 self.emit(seq, "sentence", body, separator)
         elif not eos:
             self.emit(seq, "pass", chunk)
@@ -70,12 +89,12 @@ class _Buffer:
 
     def flush(self, seq: int) -> None:
         # what text mode held back is now final
-        found, rest = cut(self.text, "chunk") if self.mode == "text" else ([], self.text)
-        for body, separator in found:
-            self.emit(seq, "sentence", body, separator)
-        if rest:
+        if self.mode == "text":
+            for body, separator in self.text.feed("", "chunk"):
+                self.emit(seq, "sentence", body, separator)
+        if rest := self.text.rest():
             self.emit(seq, "tail", rest)
-        self.text, self.done = "", True
+        self.text, self.done = Cutter(), True
 
     def advance(self) -> None:
         """Feed parked chunks as long as they come without a gap."""
@@ -84,6 +103,12 @@ class _Buffer:
             self.feed(self.next_seq, chunk, eos)
             self.next_seq += 1
 
+    def spill(self, most: int) -> None:
+        """Hand out parked chunks beyond ``most``, those farthest ahead first, as dead letters."""
+        while len(self.parked) > most:
+            seq = max(self.parked)
+            self.emit(seq, "dead_letter", self.parked.pop(seq)[0])
+
     def give_up(self) -> None:
         """The stream went idle: feed what is parked in order, over its gaps, and flush."""
         for seq in sorted(self.parked):
@@ -101,13 +126,18 @@ class _Buffer:
         return out
 
 
-def sentence_stream(chunks: DataFrame, mode: str = "text", idle: str = "10 minutes") -> DataFrame:
+#: Chunks of one stream that wait beyond a gap; see ``sentence_stream``.
+PARKED = 10_000
+
+
+def sentence_stream(chunks: DataFrame, mode: str = "text", idle: str = "10 minutes", parked_most: int = PARKED) -> DataFrame:
     """Chunks ``(stream_id, seq, ts, chunk, eos)`` -> sentences, in ``ord`` per stream.
 
     Chunks may arrive in any order; those beyond a gap are parked. An ``eos`` chunk
     flushes a stream. So does silence: after ``idle`` of event time without a chunk
     it is flushed over any gap and forgotten; a chunk that comes later than that is
-    dropped by the watermark. Empty chunks pass through.
+    dropped by the watermark. Empty chunks pass through. More than ``parked_most`` parked
+    chunks do not wait: those farthest ahead come out as rows of kind ``dead_letter``.
     State per stream is one unfinished sentence plus parked chunks; what one call
     reads is bounded by the micro-batch, which the source's rate option bounds.
     """
@@ -128,13 +158,14 @@ def sentence_stream(chunks: DataFrame, mode: str = "text", idle: str = "10 minut
                     stream.parked[seq] = (chunk, bool(eos))
             stream.latest = max(stream.latest, int(batch["ts"].max().timestamp() * 1000))
             stream.advance()
+            stream.spill(parked_most)
             if stream.rows:
                 yield stream.frame(key[0])
         if stream.done:
             state.remove()
             return
         parked = [(seq, chunk, eos) for seq, (chunk, eos) in sorted(stream.parked.items())]
-        state.update((stream.text, stream.next_seq, stream.ord, parked, stream.latest))
+        state.update((stream.text.rest(), stream.next_seq, stream.ord, parked, stream.latest))
         state.setTimeoutTimestamp(max(stream.latest + idle_ms, state.getCurrentWatermarkMs() + 1))
 
     return (chunks.withWatermark("ts", idle).groupBy("stream_id")
