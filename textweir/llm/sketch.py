@@ -101,19 +101,22 @@ def fingerprint_pairs(docs: DataFrame, size: int = SIZE) -> DataFrame:
     doc_id each is fingerprinted, and the smallest text counts as the "next" one; a row
     without a doc_id is followed by nothing. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sizes = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n"))
-    sizes = saved(sizes, "sizes")
+    ids = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("bigint").alias("doc_id")
+    docs = docs.select(ids, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known, nameless = docs.filter("doc_id is not null"), docs.filter("doc_id is null")
+    sizes = saved(known.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n")), "sizes")
     follows = saved(neighbours(sizes).join(sizes, "doc_id").select(
         F.col("next_id").alias("doc_id"), F.col("doc_id").alias("of"), F.floor(F.col("n") / 2).cast("int").alias("need")), "follows")
-    given = (docs.join(follows, "doc_id")
+    # both joins read the texts dealt by doc_id, so Spark shuffles them once
+    given = (known.hint("shuffle_merge").join(follows, "doc_id")
              .select("of", F.struct(F.substr("text", F.lit(1), "need").alias("head"), sketch(F.col("text"), size).alias("sketch")).alias("next")))
     given = given.groupBy("of").agg(F.min("next").alias("next")).withColumnRenamed("of", "doc_id")
+    pairs = known.hint("shuffle_merge").join(given, "doc_id", "left")
+    pairs = pairs.unionByName(nameless, allowMissingColumns=True)
     half = F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.char_length("text") - half),
                       F.coalesce(F.substr(F.col("next.head"), F.lit(1), half), F.lit("")))
-    return (docs.join(given, "doc_id", "left")
-            .select("doc_id", "text", edited.alias("edited"), F.coalesce("next.sketch", F.array().cast("array<bigint>")).alias("next_sketch"))
+    return (pairs.select("doc_id", "text", edited.alias("edited"),
+                         F.coalesce("next.sketch", F.array().cast("array<bigint>")).alias("next_sketch"))
             .select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"), "edited",
                     sketch(F.col("text"), size).alias("sketch"), sketch(F.col("edited"), size).alias("edited_sketch"), "next_sketch"))
