@@ -45,9 +45,12 @@ class WordTokens:
         self.bounds = np.zeros(REMEMBERED + 1, np.int64)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())), sizes
+        sizes, flat = [], [np.zeros(0, np.uint32)]
+        for low in range(0, len(words), 8_192):  # encodings are large objects
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[low:low + 8_192], add_special_tokens=False)]
+            sizes += map(len, ids)
+            flat.append(np.fromiter((i for x in ids for i in x), np.uint32))
+        return np.concatenate(flat), np.array(sizes, np.int64)
 
     def _table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, and start and size in them for each of the distinct ``words``."""
@@ -101,7 +104,7 @@ def _pieces(path: str, capacity: int):
             _TOKENS[path] = WordTokens(path)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", 4 << 20):
                 ids, bounds = _TOKENS[path](batch.column("text"))
                 total = np.diff(bounds)
                 n = -(-total // capacity)

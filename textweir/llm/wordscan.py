@@ -16,7 +16,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _LANE = np.array([0] + [(1 << (8 * n)) - 1 for n in range(1, 9)], dtype=np.uint64)
-SLICE_BYTES = 4 << 20
+#: Text that a worker has in its hands at once; its arrays take some 30 times as much.
+SLICE_BYTES = 1 << 20
 
 
 def byte_class(keep: bytes) -> np.ndarray:
