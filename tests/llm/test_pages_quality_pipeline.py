@@ -65,7 +65,7 @@ def test_archives_come_back(spark):
 
 
 def test_broken_messages_have_no_payload(spark):
-    whole = list(warc._records(7, "u", "y" * 40_000, "d", None, 40_000))
+    whole = list(warc._records(7, "u", "y" * 160_000, "d", None, 160_000))
     assert len(whole) == 3
     for kept in ([0, 1, 2], [0, 2], [0, 1], [2, 0, 1]):
         path = fresh_path(spark, "warc")
@@ -73,7 +73,7 @@ def test_broken_messages_have_no_payload(spark):
         records.write.option("lineSep", "\r\n\r\n").text(path)
         payload = warc.read(spark, path).first().payload
         assert (payload is not None) == (len(kept) == 3)
-        assert payload is None or bytes(payload) == b"y" * 40_000
+        assert payload is None or bytes(payload) == b"y" * 160_000
     assert warc.unchunk(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nab\r\n0\r\n\r\n")[1] is None
 
 

@@ -24,9 +24,9 @@ from .shared import saved
 
 REPEAT_BYTES = 100
 #: Characters of a message in one record, and of one chunk of the transfer coding.
-SEGMENT_CHARS, CHUNK_CHARS = 16_384, 4_096
+SEGMENT_CHARS, CHUNK_CHARS = 65_536, 4_096
 #: Records in one file; with the segment size it bounds what one task reads at once.
-FILE_RECORDS = 1_000
+FILE_RECORDS = 500
 _DATE = "2024-01-01T00:00:00Z"
 _URN = "urn:textweir:page:"
 
@@ -91,7 +91,8 @@ def write(pages: DataFrame, path: str) -> None:
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     digest = F.sha2(F.col("html"), 256)
     sized = saved(pages.select("page_id", digest.alias("digest"), F.octet_length("html").cast("bigint").alias("size"))
-                  .groupBy("page_id").agg(F.min(F.struct("digest", "size")).alias("d")).select("page_id", "d.*"), "digests")
+                  .groupBy("page_id").agg(F.min(F.struct("digest", "size")).alias("d"), F.count("*").alias("n"))
+                  .select("page_id", "d.*", "n"), "digests")
     firsts = saved(sized.filter(F.col("size") >= REPEAT_BYTES).groupBy("digest")
                    .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
     facts = sized.join(firsts, "digest", "left").select(
@@ -99,8 +100,10 @@ def write(pages: DataFrame, path: str) -> None:
     rows = (pages.join(facts, "page_id").filter(digest == F.col("digest"))
             .withColumn("html", F.when(F.col("refers").isNull(), F.col("html")))
             .select("page_id", "url", "html", "digest", "refers", "size"))
+    if not sized.filter("n > 1").isEmpty():  # a shuffle of the pages, for tables that repeat an id
+        rows = rows.dropDuplicates(["page_id"])
     # two line ends close a record
-    (rows.dropDuplicates(["page_id"]).mapInArrow(_archive, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+    (rows.mapInArrow(_archive, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
      .option("maxRecordsPerFile", FILE_RECORDS).text(path))
 
 
