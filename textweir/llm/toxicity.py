@@ -143,20 +143,22 @@ def _scorer(chain: Chain):
                 ids, of, n_words = word_features(batch.column("text"), BUCKETS)
                 hit = flag[ids]
                 ids, of = marks(ids[hit], of[hit], n_words, BUCKETS)
-                p = chain.probabilities(_present(ids, of, batch.num_rows, chain.buckets))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(p[:, c]) for c in range(p.shape[1]))],
-                                                 names=["doc_id", *chain.categories])
+                present = _present(ids, of, batch.num_rows, chain.buckets)
+                p = chain.probabilities(present)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(present.sum(1).astype(np.int32)), *(pa.array(p[:, c]) for c in range(p.shape[1]))],
+                    names=["doc_id", "evidence", *chain.categories])
     return run
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id and the probability of each category.
+    """One row per row of ``docs`` (doc_id, text): doc_id, evidence (features found) and the probability of each category.
 
     Null and empty texts have no features and get the probabilities of such a text. Repeated rows are scored
     each, rows without a doc_id too; an empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_scorer(chain), "doc_id bigint, " + ", ".join(f"{c} double" for c in chain.categories))
+    return docs.mapInArrow(_scorer(chain), "doc_id bigint, evidence int, " + ", ".join(f"{c} double" for c in chain.categories))
 
 
 #: Words that tell categories apart among rows labelled toxic.
@@ -182,6 +184,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """``score`` of ``docs`` by a chain fitted on ``labels`` (texts from ``texts``, or ``docs``), and ``rejected``."""
+    """``score`` of ``docs`` by a chain fitted on ``labels`` (texts from ``texts``, or ``docs``), and ``rejected``.
+
+    A document without any feature of the chain shows no sign of toxicity and is never rejected,
+    however frequent toxic rows were in training.
+    """
     chain = fit(training_rows(docs if texts is None else texts, labels), (*SEEDS, "toxic"))
-    return score(docs, chain).withColumn("rejected", F.col("toxic") >= REJECT)
+    return score(docs, chain).withColumn("rejected", (F.col("evidence") > 0) & (F.col("toxic") >= REJECT))
