@@ -40,7 +40,7 @@ class WordTokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())  # a Python string each would take ten times the memory
         self.flat = np.zeros(1 << 20, np.uint32)
         self.bounds = np.zeros(REMEMBERED + 1, np.int64)
 
@@ -52,14 +52,15 @@ class WordTokens:
             flat.append(np.fromiter((i for x in ids for i in x), np.uint32))
         return np.concatenate(flat), np.array(sizes, np.int64)
 
-    def _table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, and start and size in them for each of the distinct ``words``."""
-        code = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        code = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False)
         missing = np.flatnonzero(code < 0)
         start, size = self.bounds[code], self.bounds[code + 1] - self.bounds[code]
         if not len(missing):
             return self.flat, start, size
-        ids, sizes = self._encode([words[i] for i in missing])
+        new = words.take(pa.array(missing))
+        ids, sizes = self._encode(new.to_pylist())
         ends = np.cumsum(sizes)
         used = self.bounds[len(self.known)]
         start[missing], size[missing] = used + ends - sizes, sizes
@@ -67,7 +68,7 @@ class WordTokens:
         room = min(len(missing), REMEMBERED - len(self.known))
         n = len(self.known)
         if room > 0:
-            self.known.update(zip((words[i] for i in missing[:room]), range(n, n + room)))
+            self.known = pa.concat_arrays([self.known, new.slice(0, room)])
             self.bounds[n + 1:n + room + 1] = used + ends[:room]
             total = self.bounds[n + room]
             if total > len(self.flat):
@@ -81,7 +82,7 @@ class WordTokens:
         bounds = lists.offsets.to_numpy()
         words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds = bounds - bounds[0]
-        flat, start, size = self._table(words.dictionary.to_pylist())
+        flat, start, size = self._table(words.dictionary)
         code = words.indices.to_numpy()
         sizes = size[code]
         reached = np.concatenate(([0], np.cumsum(sizes)))
