@@ -16,6 +16,9 @@ phone      7 to 15 digits that begin with +, or an area code in parentheses
 =========  ====================================================================  =====================
 
 Mail addresses are neither numbers nor dates: they become a keyed hash at ``mail.invalid``.
+
+Every place where a kind may begin is tried, each with all ends at a boundary of its groups, so a number is
+found whatever words or numbers stand beside it. What is `sure` (see ``_forms``) goes before what is not.
 """
 
 from __future__ import annotations
@@ -32,10 +35,23 @@ PHONE = (r"(?<![A-Za-z0-9+(.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4}
          r"[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])")
 IP = r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
+DATE = (r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})"
+        r"(?!(?![Tt][0-9]{2}:?[0-9]{2})[0-9A-Za-z]|[./-][0-9])")
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 #: Earlier kinds win where two begin at the same place.
 ANY = "|".join((MAIL, IBAN, PHONE, IP, SSN, DATE, CARD))
+#: Each place where one may begin, without taking its text; group 1 is what decides about it (no number is longer).
+START = rf"(?=(?:{ANY}))(?=({MAIL}|[^\n]{{1,100}}))"
+#: Groupings in which cards are written.
+CARD_SHAPE = (r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$")
+#: Numbers of the North American plan, whose length is known.
+PHONE_SHAPE = r"^(?:\+1(?:[^0-9]*[0-9]){10}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4})$"
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {code: n for n, codes in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for code in codes.split()}
 
 DAYS = 146_097  # of 400 Gregorian years; 189 * 773
 _FIRST_DAY = "1800-01-01"
@@ -116,11 +132,24 @@ def _mod97(chars: Column) -> Column:
     return F.aggregate(F.split(chars, ""), F.lit(0), step)
 
 
-def _card(x: Column, key: str, back: bool) -> Column:
+def _right_card(digits: Column) -> Column:
+    return _let(digits, lambda d: _luhn(F.substr(d, F.lit(1), F.char_length(d) - 1)) == F.right(d, F.lit(1)))
+
+
+def _card(x: Column, key: str, back: bool, refused: Column) -> Column:
+    """``refused``: digits of the forms that were tried before ``x`` at its place. They must stay wrong, or the
+    inversion would take them: the permutation is repeated until they are, which keeps it one."""
     def change(d: Column) -> Column:
-        body = F.substr(d, F.lit(1), F.char_length(d) - 1)
-        return F.when(_luhn(body) == F.right(d, F.lit(1)), _refill(x, _let(
-            permute_digits(body, key, "card", back), lambda b: F.concat(b, _luhn(b)))))
+        def swap(v: Column) -> Column:
+            return _let(permute_digits(F.substr(v, F.lit(1), F.char_length(v) - 1), key, "card", back),
+                        lambda b: F.concat(b, _luhn(b)))
+
+        def fits(v: Column) -> Column:
+            return F.forall(refused, lambda o: ~_right_card(
+                F.concat(F.left(v, F.char_length(o)), F.substr(o, F.char_length(v) + 1, F.lit(19)))))
+
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(60)), swap(d), lambda v, _: F.when(fits(v), v).otherwise(swap(v)))
+        return _refill(x, walked)
 
     return _let(_digits(x), change)
 
@@ -191,39 +220,141 @@ def _mail(x: Column, key: str) -> Column:
                     F.lit("@mail.invalid"))
 
 
-def pseudonym(x: Column, key: str, back: bool = False) -> Column:
-    """struct(kind, value) of one match of ``ANY``; kind is null for what fails its validation."""
-    full = lambda p: x.rlike(f"^(?:{p})$")
-    # what one kind's validation refuses may still be another's
-    tried = [("mail", F.contains(x, F.lit("@")), F.when(F.lit(back), x).otherwise(_mail(x, key)))]
-    tried += [(name, full(p), f(x, key, back)) for name, p, f in (
-        ("iban", IBAN, _iban), ("phone", PHONE, _phone), ("ip", IP, _ip), ("ssn", SSN, _ssn), ("date", DATE, _date),
-        ("card", CARD, _card))]
-    made = F.coalesce(*(_struct(name, F.when(fits, value)) for name, fits, value in tried))
-    return F.coalesce(made, F.struct(F.lit(None).cast("string").alias("kind"), x.alias("value")))
+def _prefixes(form: Column, group: str) -> Column:
+    """``form`` cut after each of its groups, the longest first."""
+    def cut(parts: Column) -> Column:
+        return F.transform(F.reverse(F.sequence(F.lit(1), F.size(parts))), lambda n: F.array_join(F.slice(parts, 1, n), ""))
+
+    return F.when(form != "", _let(F.regexp_extract_all(form, F.lit(group), F.lit(0)), cut)).otherwise(
+        F.array().cast("array<string>"))
+
+
+def _form(kind: str, raw: Column, sure: Column, refused: Column | None = None) -> Column:
+    refused = F.array().cast("array<string>") if refused is None else refused
+    return F.struct(F.lit(kind).alias("kind"), raw.alias("raw"), sure.alias("sure"), refused.alias("refused"))
+
+
+def _forms(x: Column, key: str) -> Column:
+    """What may be meant at the beginning of ``x``, best first: array of struct(kind, raw, sure, refused).
+
+    Sure is what has a fixed form, or a right checksum in a usual length or grouping.
+    """
+    def at(pattern: str) -> Column:
+        return F.regexp_extract(x, f"^(?:{pattern})", 0)
+
+    def iban(raw: Column) -> Column:
+        plain = F.replace(raw, F.lit(" "), F.lit(""))
+        own = F.element_at(F.create_map(*(F.lit(v) for pair in IBAN_LENGTH.items() for v in pair)), F.left(plain, F.lit(2)))
+        return _form("iban", raw, F.coalesce(own == F.char_length(plain), F.lit(True)))
+
+    def right_iban(raw: Column) -> Column:
+        plain = F.replace(raw, F.lit(" "), F.lit(""))
+        return F.char_length(plain).between(15, 34) & (F.char_length(_digits(F.substr(plain, F.lit(5)))) >= 2) & (
+            _mod97(F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4)))) == 1)
+
+    def ordered(forms: Column) -> Column:
+        return F.concat(F.filter(forms, lambda f: f["sure"]), F.filter(forms, lambda f: ~f["sure"]))
+
+    def cards(tried: Column) -> Column:
+        return F.transform(
+            F.filter(F.transform(tried, lambda f, i: F.struct(f.alias("f"), i.alias("i"))), lambda t: _right_card(_digits(t["f"]["raw"]))),
+            lambda t: _form("card", t["f"]["raw"], t["f"]["sure"], F.transform(
+                F.filter(tried, lambda o, i: (i < t["i"]) & ~_right_card(_digits(o["raw"]))), lambda o: _digits(o["raw"]))))
+
+    def fixed(kind: str, pattern: str, good: Callable[[Column], Column]) -> Column:
+        return F.filter(F.array(_form(kind, at(pattern), F.lit(True))), lambda f: (f["raw"] != "") & good(f["raw"]))
+
+    def numbers(pattern: str, group: str, good: Callable[[Column], Column]) -> Column:
+        return F.filter(_prefixes(at(pattern), group), good)
+
+    def phone(raw: Column) -> Column:
+        return raw.rlike(f"^(?:{PHONE})$") & F.char_length(_digits(raw)).between(7, 15)
+
+    phones = numbers(PHONE, r"[ .-]?(?:\+[0-9]+|\([0-9]+\)|[0-9]+)", phone)
+    usual = lambda raw: raw.rlike(PHONE_SHAPE)
+    kinds = F.concat(
+        ordered(F.transform(numbers(IBAN, " ?[A-Z0-9]+", right_iban), iban)),
+        F.transform(F.concat(F.filter(phones, usual), F.filter(phones, lambda r: ~usual(r))), lambda r: _form("phone", r, F.lit(False))),
+        fixed("ip", IP, lambda r: F.lit(True)),
+        fixed("ssn", SSN, lambda r: _ssn(r, key, False).isNotNull()),
+        fixed("date", DATE, lambda r: _date(r, key, False).isNotNull()),
+        _let(ordered(F.transform(numbers(CARD, "[ -]?[0-9]+", lambda r: F.char_length(_digits(r)).between(13, 19)),
+                                 lambda r: _form("card", r, r.rlike(CARD_SHAPE)))), cards))
+    return F.when(F.contains(x, F.lit("@")) & x.rlike(f"^(?:{MAIL})$"), F.array(_form("mail", x, F.lit(True)))).otherwise(kinds)
+
+
+def _overlaps(sure: Column, at: Column, form: Column) -> Column:
+    """Whether a form at ``at`` takes from a sure one that begins in it. A phone number may hold one, not cut it."""
+    end = at + F.char_length(form["raw"])
+    return F.exists(sure, lambda s: (s["at"] > at) & (s["at"] < end) & ((form["kind"] != "phone") | (s["end"] > end)))
+
+
+def _hits(line: Column, key: str) -> Column:
+    """What is to be replaced in a line, in order: array of struct(at, end, form), places counted from 0."""
+    marked = F.concat(F.lit("\n"), line)  # no kind begins at the first character: pieces and places correspond
+    pieces = F.split(marked, START, -1)
+    places = F.aggregate(pieces, F.array(F.lit(-1)), lambda ends, p: F.concat(ends, F.array(F.element_at(ends, -1) + F.char_length(p))))
+    forms = F.transform(F.regexp_extract_all(marked, F.lit(START), F.lit(1)), lambda x: _forms(x, key))
+    spots = _let(places, lambda at: F.filter(
+        F.transform(forms, lambda f, i: F.struct(at[i + 1].alias("at"), f.alias("forms"))), lambda s: F.size(s["forms"]) > 0))
+
+    def span(at: Column, form: Column) -> Column:
+        return F.struct(at.alias("at"), (at + F.char_length(form["raw"])).alias("end"), form.alias("form"))
+
+    def leftmost(spans: Column) -> Column:
+        return _let(spans, lambda all_: F.aggregate(all_, F.slice(all_, 1, 0), lambda got, s: F.when(
+            (F.size(got) == 0) | (F.try_element_at(got, F.lit(-1))["end"] <= s["at"]), F.concat(got, F.array(s))).otherwise(got)))
+
+    def choose(s: Column) -> Column:
+        sure = leftmost(F.transform(F.filter(s, lambda p: p["forms"][0]["sure"]), lambda p: span(p["at"], p["forms"][0])))
+
+        def best(p: Column, known: Column) -> Column:
+            fit = F.filter(p["forms"], lambda f: f["sure"] | ~_overlaps(known, p["at"], f))
+            return F.transform(F.slice(fit, 1, 1), lambda f: span(p["at"], f))
+
+        return _let(sure, lambda known: leftmost(F.flatten(F.transform(s, lambda p: best(p, known)))))
+
+    return _let(spots, choose)
+
+
+def pseudonym(form: Column, key: str, back: bool = False) -> Column:
+    """The pseudonym of one of ``_forms``."""
+    x = form["raw"]
+    made = F.when(form["kind"] == "mail", F.when(F.lit(back), x).otherwise(_mail(x, key)))
+    for name, f in (("iban", _iban), ("phone", _phone), ("ip", _ip), ("ssn", _ssn), ("date", _date)):
+        made = made.when(form["kind"] == name, f(x, key, back))
+    return made.otherwise(_card(x, key, back, form["refused"]))
+
 
+def _line(line: Column, key: str, back: bool) -> Column:
+    """struct(text, kinds) of a line."""
+    def build(hits: Column) -> Column:
+        last = F.coalesce(F.try_element_at(hits, F.lit(-1))["end"], F.lit(0))
+        parts = F.transform(hits, lambda h, i: _let(F.when(i == 0, F.lit(0)).otherwise(hits[F.greatest(i - 1, F.lit(0))]["end"]), lambda end: F.concat(
+            F.substr(line, end + 1, h["at"] - end), pseudonym(h["form"], key, back))))
+        return F.struct(F.concat(F.array_join(parts, ""), F.substr(line, last + 1)).alias("text"),
+                        F.transform(hits, lambda h: h["form"]["kind"]).alias("kinds"))
 
-def _struct(kind: str, value: Column) -> Column:
-    return _let(value, lambda v: F.when(v.isNotNull(), F.struct(F.lit(kind).alias("kind"), v.alias("value"))))
+    plain = F.struct(line.alias("text"), F.array().cast("array<string>").alias("kinds"))
+    return F.when(line.rlike(ANY), _let(_hits(line, key), build)).otherwise(plain)
 
 
 def pseudonymize(docs: DataFrame, key: str, column: str = "text", back: bool = False) -> DataFrame:
     """``docs`` with ``column`` pseudonymised and ``kinds``, the kinds found in order (array of strings).
 
     The key must be secret and the same for all runs whose values shall stay linked. ``back``
-    inverts everything but mail addresses. Null stays null with no kinds; empty texts stay
-    empty; what only looks like a number but fails its check stays as it is. All other
+    inverts everything but mail addresses; where several numbers touch and can be read in more than
+    one way, the changed digits may by chance be read differently, and then it does not. Null stays null with no
+    kinds; empty texts stay empty; what only looks like a number but fails its check stays as it is. All other
     columns stay (one called ``kinds`` is replaced) and so do rows that repeat. One narrow
     stage: no row moves.
     """
     text = F.col(f"`{column}`").cast("string")
 
     def change(t: Column) -> Column:
-        fixed = F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda x: pseudonym(x, key, back))
-        return _let(fixed, lambda f: F.struct(
-            F.array_join(F.flatten(F.transform(F.arrays_zip(F.split(t, ANY, -1).alias("gap"), f.alias("hit")),
-                                               lambda p: F.array(p["gap"], p["hit"]["value"]))), "").alias("text"),
-            F.filter(F.transform(f, lambda h: h["kind"]), lambda k: k.isNotNull()).alias("kinds")))
+        # no kind goes over a line end
+        return _let(F.transform(F.split(t, "\n", -1), lambda line: _line(line, key, back)), lambda f: F.struct(
+            F.array_join(f["text"], "\n").alias("text"), F.flatten(f["kinds"]).alias("kinds")))
 
     nothing = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
     made = docs.withColumn("__made", F.when(text.rlike("@|[0-9][^\\n]{0,6}[0-9]") & text.rlike(ANY), _let(text, change)).otherwise(nothing))
