@@ -200,3 +200,31 @@ def test_parked_chunks_beyond_the_bound_are_dead_letters(feed):
     q.awaitTermination()
     got = feed.spark.read.parquet(f"{feed.folder}/out").collect()
     assert sorted((r.kind, r.sentence) for r in got) == [("dead_letter", "c4. "), ("dead_letter", "c5. ")]
+
+
+def test_many_chunks_out_of_order_come_out_whole(feed):
+    # more than several Arrow batches, backwards, in one micro-batch
+    parts = [f"c{n}. " for n in range(25_000)]
+    feed.put(chunks(parts)[::-1]).run()
+    assert feed.text() == "".join(parts)
+    assert {r.kind for r in feed.rows()} == {"sentence"}
+
+
+def test_a_gap_closed_by_a_later_micro_batch_loses_nothing(feed):
+    parts = [f"c{n}. " for n in range(11_000)]
+    rows = [("s", n, 0.0, part, n == len(parts) - 1) for n, part in enumerate(parts)]
+    feed.put(rows[1:]).run()
+    feed.put(rows[:1]).run()
+    assert feed.text() == "".join(parts)
+
+
+def test_a_stream_goes_on_after_dead_letters_and_ends_with_them(feed):
+    for rows in ([("s", n, 0.0, f"c{n}. ", n == 5) for n in range(1, 6)], [("s", 0, 1.0, "c0. ", False)]):
+        feed.put(rows)
+        source = read_chunk_stream(feed.spark, f"{feed.folder}/in", max_files=1)
+        q = (sanitize.sentence_stream(source, parked_most=3).writeStream.format("parquet").option("path", f"{feed.folder}/out")
+             .option("checkpointLocation", f"{feed.folder}/state").trigger(availableNow=True).start())
+        q.awaitTermination()
+    got = feed.rows()
+    assert [r.seq for r in got if r.kind == "dead_letter"] == [5, 4]
+    assert "".join(r.sentence + r.separator for r in got if r.kind != "dead_letter") == "c0. c1. c2. c3. "

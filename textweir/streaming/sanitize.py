@@ -20,7 +20,8 @@ from ..operators.scan import Models, scan
 from ..policy import Policy
 
 OUT_SCHEMA = ("stream_id string, ord bigint, seq bigint, kind string, sentence string, separator string")
-# text held back, next seq expected, next output number, parked chunks, latest event time (ms)
+# text held back, next seq expected, next output number, parked chunks, latest event time (ms);
+# a chunk that was handed out as a dead letter stays among the parked ones as -1 - seq, without its text
 STATE_SCHEMA = ("buffer string, next_seq bigint, ord bigint, "
                 "parked array<struct<seq:bigint, chunk:string, eos:boolean>>, latest bigint")
 
@@ -71,7 +72,8 @@ class _Buffer:
         self.mode, self.rows = mode, []
         held = state.get if state.exists else ("", 0, 0, [], 0)
         self.text, self.next_seq, self.ord, self.latest = Cutter(held[0]), held[1], held[2], held[4]
-        self.parked = {p[0]: (p[1], p[2]) for p in held[3]}
+        self.parked = {p[0]: (p[1], p[2]) for p in held[3] if p[0] >= 0}
+        self.gone = {-1 - p[0]: p[2] for p in held[3] if p[0] < 0}
         self.done = False
 
     def emit(self, seq: int, kind: str, sentence: str | None, separator: str = "") -> None:
@@ -97,17 +99,23 @@ class _Buffer:
         self.text, self.done = Cutter(), True
 
     def advance(self) -> None:
-        """Feed parked chunks as long as they come without a gap."""
-        while self.next_seq in self.parked:
-            chunk, eos = self.parked.pop(self.next_seq)
-            self.feed(self.next_seq, chunk, eos)
+        """Feed parked chunks as long as they come without a gap; dead letters are none."""
+        while True:
+            if self.next_seq in self.parked:
+                chunk, eos = self.parked.pop(self.next_seq)
+                self.feed(self.next_seq, chunk, eos)
+            elif self.next_seq in self.gone:
+                if self.gone.pop(self.next_seq):
+                    self.flush(self.next_seq)
+            else:
+                return
             self.next_seq += 1
 
     def spill(self, most: int) -> None:
         """Hand out parked chunks beyond ``most``, those farthest ahead first, as dead letters."""
-        while len(self.parked) > most:
-            seq = max(self.parked)
-            self.emit(seq, "dead_letter", self.parked.pop(seq)[0])
+        for seq in sorted(self.parked)[most:][::-1]:
+            chunk, self.gone[seq] = self.parked.pop(seq)
+            self.emit(seq, "dead_letter", chunk)
 
     def give_up(self) -> None:
         """The stream went idle: feed what is parked in order, over its gaps, and flush."""
@@ -126,20 +134,17 @@ class _Buffer:
         return out
 
 
-#: Chunks of one stream that wait beyond a gap; see ``sentence_stream``.
-PARKED = 10_000
-
-
-def sentence_stream(chunks: DataFrame, mode: str = "text", idle: str = "10 minutes", parked_most: int = PARKED) -> DataFrame:
+def sentence_stream(chunks: DataFrame, mode: str = "text", idle: str = "10 minutes", parked_most: int | None = None) -> DataFrame:
     """Chunks ``(stream_id, seq, ts, chunk, eos)`` -> sentences, in ``ord`` per stream.
 
     Chunks may arrive in any order; those beyond a gap are parked. An ``eos`` chunk
     flushes a stream. So does silence: after ``idle`` of event time without a chunk
     it is flushed over any gap and forgotten; a chunk that comes later than that is
-    dropped by the watermark. Empty chunks pass through. More than ``parked_most`` parked
-    chunks do not wait: those farthest ahead come out as rows of kind ``dead_letter``.
-    State per stream is one unfinished sentence plus parked chunks; what one call
-    reads is bounded by the micro-batch, which the source's rate option bounds.
+    dropped by the watermark. Empty chunks pass through. State per stream is one unfinished
+    sentence plus all parked chunks; what one call reads is bounded by the micro-batch, which
+    the source's rate option bounds. ``parked_most`` bounds the parked chunks that outlast a
+    call, at the price of text: those farthest ahead come out at once as rows of kind
+    ``dead_letter``, and the stream later goes on after them, or ends if one had ``eos``.
     """
     if mode not in ("text", "chunk"):
         raise ValueError("mode is 'text' or 'chunk'")
@@ -154,17 +159,23 @@ def sentence_stream(chunks: DataFrame, mode: str = "text", idle: str = "10 minut
             return
         for batch in batches:  # one Arrow batch at a time, not the whole group
             for seq, chunk, eos in zip(batch["seq"].tolist(), batch["chunk"].tolist(), batch["eos"].tolist()):
-                if seq >= stream.next_seq:  # an older one is a repeat
+                if seq >= stream.next_seq and seq not in stream.gone:  # another one is a repeat
                     stream.parked[seq] = (chunk, bool(eos))
             stream.latest = max(stream.latest, int(batch["ts"].max().timestamp() * 1000))
             stream.advance()
+            if stream.rows:
+                yield stream.frame(key[0])
+        # only now: what fills a gap may be in a later Arrow batch
+        if parked_most is not None and not stream.done:
             stream.spill(parked_most)
+            stream.advance()
             if stream.rows:
                 yield stream.frame(key[0])
         if stream.done:
             state.remove()
             return
         parked = [(seq, chunk, eos) for seq, (chunk, eos) in sorted(stream.parked.items())]
+        parked += [(-1 - seq, None, eos) for seq, eos in sorted(stream.gone.items())]
         state.update((stream.text.rest(), stream.next_seq, stream.ord, parked, stream.latest))
         state.setTimeoutTimestamp(max(stream.latest + idle_ms, state.getCurrentWatermarkMs() + 1))
 
@@ -174,9 +185,9 @@ def sentence_stream(chunks: DataFrame, mode: str = "text", idle: str = "10 minut
 
 
 def sanitize_stream(chunks: DataFrame, policy: Policy, mode: str = "text", idle: str = "10 minutes",
-                    models: Models = Models()) -> DataFrame:
+                    models: Models = Models(), parked_most: int | None = None) -> DataFrame:
     """Sentences with their verdict and ``emitted``, the text to show."""
-    sentences = sentence_stream(chunks, mode, idle)
+    sentences = sentence_stream(chunks, mode, idle, parked_most)
     out = scan(sentences, policy, "sentence", "output", models)
     shown = emit_text(F.col("valid"), F.col("sanitized_text"), F.col("reason"))
     return out.withColumn("emitted", F.concat(shown, F.col("separator")))
