@@ -21,6 +21,8 @@ from textweir.llm.shared import fresh_path
 from textweir.llm.toxicity import toxic_documents
 
 TOKENIZER = "word_bpe_49k.json"
+#: Percent of common shingles from which the near-duplicate stage links documents.
+ALIKE = 85
 #: A user passes a secret one.
 KEY = "textweir"
 
@@ -38,7 +40,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-copies; one of rows that repeat it."""
-    kept = _without(docs, near_duplicates(docs).filter("not kept"))
+    kept = _without(docs, near_duplicates(docs, ALIKE).filter("not kept"))
     known = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
     return known.unionByName(kept.filter("doc_id is null"))
 

@@ -443,3 +443,12 @@ def test_pseudonyms_of_numbers_beside_words_and_numbers(spark):
             assert alone[kind, value] in got[i].text, (cases[i], got[i])
     back = {r.doc_id: r.text for r in pii.pseudonymize(out.drop("kinds"), "k", back=True).collect()}
     assert all(back[i] == a + v + b for i, (_, v, a, b) in enumerate(cases))
+
+
+def test_near_duplicates_from_a_given_similarity(spark):
+    a = [f"w{i}" for i in range(104)]
+    b = a[:94] + [f"v{i}" for i in range(10)]  # 90 of 110 shingles in common: 0.82
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id bigint, text string")
+    for percent, kept in ((80, [True, False]), (85, [True, True])):
+        assert [r.kept for r in neardup.near_duplicates(df, percent).orderBy("doc_id").collect()] == kept
+    assert [r.kept for r in neardup.near_duplicates(df, 80, 48).orderBy("doc_id").collect()] == [True, False]

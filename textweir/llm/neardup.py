@@ -28,7 +28,7 @@ from .wordscan import NON_SPACE, Words, combine, slices
 
 SHINGLE = 5
 PERCENT = 85
-#: 36 bands of 7 minima: a pair at 0.85 shares none with probability 9e-7, and pairs above with less.
+#: 36 bands of 7 minima: a pair at 0.85 shares none with probability 9e-7, one at 0.80 with 2e-4, and pairs above with less.
 BANDS, ROWS = 36, 7
 #: Classes compared in one task of an unresolved bucket; larger buckets are split into block pairs.
 BLOCK = 256
@@ -75,28 +75,28 @@ def _minima(sets: list[np.ndarray], factor: np.ndarray, term: np.ndarray) -> np.
     return out
 
 
-def _band_keys(minima: np.ndarray) -> np.ndarray:
+def _band_keys(minima: np.ndarray, bands: int) -> np.ndarray:
     """A 64-bit key for each band, different for equal minima of other bands."""
-    grouped = minima.astype(np.uint64).reshape(len(minima) * BANDS, ROWS)
-    band = np.tile(np.arange(BANDS, dtype=np.uint64), len(minima))
+    grouped = minima.astype(np.uint64).reshape(len(minima) * bands, ROWS)
+    band = np.tile(np.arange(bands, dtype=np.uint64), len(minima))
     flat = np.concatenate((band[:, None], grouped), axis=1).reshape(-1)
-    at = np.arange(len(minima) * BANDS) * (ROWS + 1)
-    return combine(flat, at, ROWS + 1).reshape(len(minima), BANDS)
+    at = np.arange(len(minima) * bands) * (ROWS + 1)
+    return combine(flat, at, ROWS + 1).reshape(len(minima), bands)
 
 
 def _list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    factor, term = _hash_family(BANDS * ROWS)
+def _describe(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
+    factor, term = _hash_family(bands * ROWS)
     for whole in batches:
         for batch in slices(whole, "text"):
             sets = list(_sets(Words(batch.column("text"), NON_SPACE)))
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys = _band_keys(_minima([sets[i] for i in full], factor, term)) if full else np.zeros((0, BANDS), np.uint64)
+            keys = _band_keys(_minima([sets[i] for i in full], factor, term), bands) if full else np.zeros((0, bands), np.uint64)
             counts = np.zeros(len(sets), np.int64)
-            counts[full] = BANDS
+            counts[full] = bands
             digest = [_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()),
@@ -117,17 +117,16 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["node", "set"]).filter(pa.array(same, pa.bool_()))
 
 
-def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-@F.pandas_udf(BooleanType())
-def _confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], dtype=bool)
+def _confirmed(a: pd.Series, b: pd.Series, percent: int) -> pd.Series:
+    return pd.Series([_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b)], dtype=bool)
 
 
-def _forest(part: pd.DataFrame) -> list[tuple[int, int]]:
+def _forest(part: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links between different components among the members of one block (pair), as a spanning forest."""
     nodes, comps = part["node"].to_numpy(), part["comp"].to_numpy()
     sets = [np.frombuffer(s, np.uint64) for s in part["set"]]
@@ -146,7 +145,7 @@ def _forest(part: pd.DataFrame) -> list[tuple[int, int]]:
         cells[row[i:j], column[i:j] - low] = 1
         both += cells @ cells.T
     union = sizes[:, None] + sizes[None] - both
-    linked = (100 * both >= PERCENT * union) & (comps[:, None] != comps[None])
+    linked = (100 * both >= percent * union) & (comps[:, None] != comps[None])
     root = {c: c for c in comps.tolist()}
 
     def find(c: int) -> int:
@@ -164,8 +163,8 @@ def _forest(part: pd.DataFrame) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(part: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame(_forest(part), columns=["a", "b"], dtype="int64")
+def _compare(part: pd.DataFrame, percent: int) -> pd.DataFrame:
+    return pd.DataFrame(_forest(part, percent), columns=["a", "b"], dtype="int64")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,20 +197,32 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are what ASCII white space separates, A-Z folded; a set holds the distinct
     five-word shingles, or the whole sequence of a shorter text. Documents link at
-    100 * intersection >= 85 * union; ``component_id`` is the smallest reachable doc_id.
+    100 * intersection >= ``percent`` * union if they share one of ``bands`` bands of minima;
+    ``component_id`` is the smallest reachable doc_id.
 
     Null or empty texts, and texts of white space, have no shingles and form components of
     their own. Rows that repeat a doc_id are one document, linked by the set with the smallest
     digest if their texts differ, and share the verdict. A row without a doc_id has a null
     component and is kept. Other columns of ``docs`` are ignored.
     """
+    # closures only: the module imports without a session
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _describe(batches, bands)
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        return _compare(part, percent)
+
+    @F.pandas_udf(BooleanType())
+    def confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
+        return _confirmed(a, b, percent)
+
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = saved(docs.mapInArrow(_describe, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"),
+    seen = saved(docs.mapInArrow(describe, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"),
                  "sets")
     known = seen.filter("digest is not null and doc_id is not null")
     # one class for each distinct set, called by its smallest document
@@ -230,7 +241,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = shared.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     links = saved(hubs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left")), "a")
                   .join(sets.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
-                  .filter(_confirmed("left", "right")).select("a", "b"), "links")
+                  .filter(confirmed("left", "right")).select("a", "b"), "links")
     comps = components(links)
     # buckets of several components, compared member against member
     placed = saved(shared.join(comps, "node", "left")
@@ -245,7 +256,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = (placed.join(open_, "band", "left_semi").join(sets, "node")
              .withColumn("blocks", blocks).withColumn("mine", mine)
              .withColumn("pair", F.explode(paired)).select("band", "pair.i", "pair.j", "node", "comp", "set"))
-    more = dealt.groupBy("band", "i", "j").applyInPandas(_compare, "a bigint, b bigint")
+    more = dealt.groupBy("band", "i", "j").applyInPandas(compare, "a bigint, b bigint")
     comps = components(links.union(more))
     for table in (links, open_, placed, sets, shared, buckets):
         drop_saved(table)
