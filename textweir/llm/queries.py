@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, sketch, toxicity, urlrules, warc
+from . import pieces, quality, secrets, sketch, toxicity, urlrules, warc
 from .decontaminate import overlaps
 from .neardup import near_duplicates
 from .packing import pack
@@ -195,3 +195,15 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return made.select("doc_id", *(F.round(c, 6).alias(c) for c in (*toxicity.SEEDS, "toxic")), "rejected")
+
+
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+@_query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PIECE_MODEL)
+    made = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), path), path)
+    return made.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                       F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
