@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, quality, secrets, sketch, toxicity, urlrules, warc
+from . import pieces, quality, secrets, sketch, toxicity, urlrules, warc, whitening
 from .decontaminate import overlaps
 from .neardup import near_duplicates
 from .packing import pack
@@ -207,3 +207,11 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@_query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whiten(_table(spark, sf_dir, "embeddings"), 8)
+    return made.select("vec_id", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"), "n", "deviation",
+                       "identity_error").select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
