@@ -13,6 +13,7 @@ from .decontaminate import overlaps
 from .neardup import near_duplicates
 from .packing import pack
 from .pii import pseudonymize
+from .prefixtrie import prefix_trie
 from .shared import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +216,39 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("vec_id", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"), "n", "deviation",
                        "identity_error").select(
         "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = prefix_trie(_table(spark, sf_dir, "conversations"))
+    return made.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+# crc32: a byte is taken in, then eight bits go out (-1)
+ORACLES["op11_prefix_trie"] = """
+WITH t AS (SELECT conv_id, bytes, g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS p
+    FROM (SELECT conv_id, turn, octet_length(encode(coalesce(text, ''))) AS bytes,
+        sha256(CAST(octet_length(encode(coalesce(role, ''))) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS g
+        FROM conversations WHERE conv_id IS NOT NULL)),
+n AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295, flatten(
+        list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END),
+        4294967295) % 9 AS h FROM t GROUP BY conv_id),
+c AS (SELECT n.*, least(n.h, coalesce(b.n, 0)) AS k FROM n LEFT JOIN n b ON b.conv_id = n.base),
+built AS (SELECT c.conv_id, p AS depth, bytes, g FROM c JOIN t ON t.conv_id = c.base AND p <= h
+    UNION ALL SELECT c.conv_id, k + p - h, bytes, g FROM c JOIN t ON t.conv_id = c.conv_id AND p > h),
+path AS (SELECT conv_id, depth, bytes, sha256(string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS f FROM built
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+node AS (SELECT depth, f, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM path GROUP BY depth, f),
+up AS (SELECT DISTINCT x.depth, x.f, y.f AS above FROM path x JOIN path y ON x.conv_id = y.conv_id AND y.depth = x.depth - 1),
+kids AS (SELECT depth - 1 AS depth, above AS f, count(*) AS n_children FROM up GROUP BY 1, 2),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (depth, f)),
+below AS (SELECT path.depth, path.f, sum((n_convs - 1) * x.bytes) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+    FROM full_node x JOIN path ON path.conv_id = x.conv_id AND path.depth <= x.depth GROUP BY 1, 2),
+longest AS (SELECT conv_id, max(depth) AS depth FROM path GROUP BY conv_id),
+ends AS (SELECT depth, f, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+    FROM path JOIN longest USING (conv_id, depth) GROUP BY 1, 2)
+SELECT x.conv_id, x.depth, y.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+       coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM full_node x JOIN below USING (depth, f) LEFT JOIN ends USING (depth, f) LEFT JOIN up USING (depth, f)
+LEFT JOIN node y ON y.depth = x.depth - 1 AND y.f = above"""
