@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,19 +21,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import saved, small
-from .wordscan import slices
+from .wordscan import slices, text_bytes
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers; others are tokenized again where they occur.
+#: Pieces whose ids a worker remembers; beyond, those met least are forgotten and tokenized again where they occur.
 REMEMBERED = 400_000
 
 
+#: Whether a byte is white space, a letter, a digit, another ASCII character, or one that keeps its word as it is
+#: (an apostrophe, a part of a character beyond ASCII, or what begins a special token). U+00C0 to U+024F count as letters.
+_BLANK, _LETTER, _DIGIT, _OTHER, _WHOLE = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = _BLANK
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[0x27, *range(0x80, 0x100)]] = _WHOLE
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+
+
 class WordTokens:
-    """Ids of texts, tokenized word by word.
+    """Ids of texts, tokenized piece by piece.
 
-    Exact for tokenizers whose normalizer and pre-tokenizer treat what ASCII white space
-    separates independently, and drop the white space. Distinct words of a slice are
-    tokenized once.
+    A piece is a word between ASCII white space; a word of ASCII and Latin letters without an apostrophe is
+    folded (A-Z) and cut further into runs of letters, single digits and runs of other characters, if the tokenizer does so.
+    Exact for tokenizers whose normalizer and pre-tokenizer treat such pieces independently, and drop
+    the white space. Distinct pieces of a slice are tokenized once; those met again are remembered.
     """
 
     def __init__(self, path: str):
@@ -40,53 +54,131 @@ class WordTokens:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = pa.array([], pa.large_string())  # a Python string each would take ten times the memory
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.bounds = np.zeros(REMEMBERED + 1, np.int64)
-
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        sizes, flat = [], [np.zeros(0, np.uint32)]
-        for low in range(0, len(words), 8_192):  # encodings are large objects
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[low:low + 8_192], add_special_tokens=False)]
-            sizes += map(len, ids)
-            flat.append(np.fromiter((i for x in ids for i in x), np.uint32))
-        return np.concatenate(flat), np.array(sizes, np.int64)
+        pre, norm = self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        self.cuts = pre is not None and [t for t, _ in pre.pre_tokenize_str("ab12(.c-d")] == ["ab", "1", "2", "(.", "c", "-", "d"]
+        self.folds = norm is not None and norm.normalize_str("AZ") == "az"
+        self.kind = _KIND.copy()
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            self.kind[token.content.encode()[0]] = _WHOLE
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            names = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(names.values()) + 1, bool)
+            self.ends[[i for name, i in names.items() if name.endswith(suffix)]] = True
+        self.known = pa.array([], pa.large_binary())  # a Python string each would take ten times the memory
+        self.flat = np.zeros(0, np.uint32)
+        self.bounds = np.zeros(1, np.int64)
+        self.hits = np.zeros(0, np.int32)
+
+    def _kinds(self, raw: np.ndarray) -> np.ndarray:
+        kind = self.kind[raw]
+        lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC9))
+        if len(lead):
+            # but for the signs of times and division, and the dotted capital I, of which folding makes two characters
+            lead = lead[((raw[lead] != 0xC3) | (raw[lead + 1] & 0xDF != 0x97)) & ((raw[lead] != 0xC4) | (raw[lead + 1] != 0xB0))]
+            kind[lead] = kind[lead + 1] = _LETTER
+        return kind
+
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of ``words``, none of them empty, and the number of each word's."""
+        raw, offsets = text_bytes(words)
+        kind = self._kinds(raw)
+        first = offsets[:-1]
+        low, high = np.minimum.reduceat(kind, first), np.maximum.reduceat(kind, first)
+        single = self.cuts & (low == high) & ((low == _LETTER) | (low == _OTHER) | (low == _DIGIT) & (np.diff(offsets) == 1))
+        single &= self.ends is not None
+        sizes, parts = np.zeros(len(words), np.int64), [np.zeros(0, np.uint32)]
+        order = [np.flatnonzero(single), np.flatnonzero(~single & (high != _BLANK))]
+        names = words.cast(pa.large_string())
+        for low in range(0, len(order[0]), 200_000):  # as many to a text: each ends in a token that says so
+            at = order[0][low:low + 200_000]
+            some = names.take(pa.array(at)).to_pylist()
+            ids = self._flat([" ".join(some[i:i + 500]) for i in range(0, len(some), 500)])[0]
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(at):
+                raise ValueError("the tokenizer does not end each piece in a token of its own")
+            sizes[at] = np.diff(ends, prepend=0)
+            parts.append(ids)
+        for low in range(0, len(order[1]), 8_192):  # encodings are large objects
+            at = order[1][low:low + 8_192]
+            ids, sizes[at] = self._flat(names.take(pa.array(at)).to_pylist())
+            parts.append(ids)
+        flat = np.concatenate(parts)
+        taken = np.concatenate(order)  # the words in the order of ``flat``
+        begin = np.zeros(len(words), np.int64)
+        begin[taken] = np.cumsum(sizes[taken]) - sizes[taken]
+        ends = np.cumsum(sizes)
+        return flat[np.arange(len(flat)) + np.repeat(begin - (ends - sizes), sizes)], sizes
+
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), [len(i) for i in ids]
 
     def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, and start and size in them for each of the distinct ``words``."""
         code = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False)
         missing = np.flatnonzero(code < 0)
-        start, size = self.bounds[code], self.bounds[code + 1] - self.bounds[code]
+        self.hits[code[code >= 0]] += 1
+        start = np.zeros(len(code), np.int64)
+        size = np.zeros(len(code), np.int64)
+        old = code >= 0
+        start[old], size[old] = self.bounds[code[old]], np.diff(self.bounds)[code[old]]
         if not len(missing):
             return self.flat, start, size
         new = words.take(pa.array(missing))
-        ids, sizes = self._encode(new.to_pylist())
+        ids, sizes = self._encode(new)
         ends = np.cumsum(sizes)
-        used = self.bounds[len(self.known)]
-        start[missing], size[missing] = used + ends - sizes, sizes
-        flat = np.concatenate((self.flat[:used], ids))
-        room = min(len(missing), REMEMBERED - len(self.known))
-        n = len(self.known)
-        if room > 0:
-            self.known = pa.concat_arrays([self.known, new.slice(0, room)])
-            self.bounds[n + 1:n + room + 1] = used + ends[:room]
-            total = self.bounds[n + room]
-            if total > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), int(total)), np.uint32)))
-            self.flat[used:total] = flat[used:total]
+        start[missing], size[missing] = len(self.flat) + ends - sizes, sizes
+        flat = np.concatenate((self.flat, ids))
+        self.known = pa.concat_arrays([self.known, new])
+        self.bounds = np.concatenate((self.bounds, self.bounds[-1] + ends))
+        self.hits = np.concatenate((self.hits, np.zeros(len(new), np.int32)))
+        self.flat = flat
+        if len(self.known) > REMEMBERED:
+            self._forget()
         return flat, start, size
 
+    def _forget(self) -> None:
+        """Keep the half that was met most often, its counts halved."""
+        kept = np.sort(np.argsort(-self.hits, kind="stable")[:REMEMBERED // 2])
+        sizes = np.diff(self.bounds)[kept]
+        ends = np.cumsum(sizes)
+        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.bounds[kept] - (ends - sizes), sizes)]
+        self.known = self.known.take(pa.array(kept))
+        self.bounds = np.concatenate(([0], ends))
+        self.hits = self.hits[kept] // 2
+
+    def _cut(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes, plain words folded, and where pieces begin; runs of white space are pieces too."""
+        kind = self._kinds(raw)
+        begins = np.zeros(len(raw) + 1, bool)
+        blank = kind == _BLANK
+        begins[1:-1] = blank[1:] != blank[:-1]
+        begins[offsets] = True
+        words = np.flatnonzero(begins[:-1])
+        kept = np.unique(np.searchsorted(words, np.flatnonzero(kind == _WHOLE), side="right") - 1)
+        marks = np.zeros(len(raw) + 1, np.int8)
+        marks[words[kept]] = 1
+        marks[np.append(words, len(raw))[kept + 1]] -= 1
+        plain = np.cumsum(marks, dtype=np.int8) == 0
+        if self.folds:
+            raw = np.where(plain[:-1], _LOWER[raw], raw)
+        if self.cuts:
+            begins[1:-1] |= ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) & plain[1:-1]
+        return raw, np.flatnonzero(begins[:-1])
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, a 0 after each text, and the bounds of the texts in them."""
-        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        bounds = lists.offsets.to_numpy()
-        words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        bounds = bounds - bounds[0]
+        raw, offsets = text_bytes(texts)
+        raw, starts = self._cut(raw, offsets)
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)]).dictionary_encode()
         flat, start, size = self._table(words.dictionary)
         code = words.indices.to_numpy()
         sizes = size[code]
         reached = np.concatenate(([0], np.cumsum(sizes)))
-        tokens = reached[bounds]
+        tokens = reached[np.searchsorted(starts, offsets)]
         place = np.arange(reached[-1]) + np.repeat(start[code] - reached[:-1], sizes)
         ends = tokens + np.arange(len(tokens))
         out = np.zeros(ends[-1], np.uint32)
