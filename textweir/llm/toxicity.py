@@ -133,7 +133,7 @@ def fit(rows: DataFrame, categories: Sequence[str], key: str = "doc_id") -> Chai
     return Chain(categories, kept, weights)
 
 
-def _scorer(chain: Chain):
+def _scorer(chain: Chain, keep: Sequence[str] = ("doc_id",)):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flag = np.zeros(BUCKETS, bool)
         flag[chain.buckets] = True
@@ -146,19 +146,25 @@ def _scorer(chain: Chain):
                 present = _present(ids, of, batch.num_rows, chain.buckets)
                 p = chain.probabilities(present)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(present.sum(1).astype(np.int32)), *(pa.array(p[:, c]) for c in range(p.shape[1]))],
-                    names=["doc_id", "evidence", *chain.categories])
+                    [*(batch.column(c) for c in keep), pa.array(present.sum(1).astype(np.int32)), *(pa.array(p[:, c]) for c in range(p.shape[1]))],
+                    names=[*keep, "evidence", *chain.categories])
     return run
 
 
-def score(docs: DataFrame, chain: Chain) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, keep: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, evidence (features found) and the probability of each category.
 
     Null and empty texts have no features and get the probabilities of such a text. Repeated rows are scored
     each, rows without a doc_id too; an empty table gives no rows. Other columns are ignored.
+
+    With ``keep``, the rows have these columns of ``docs`` (text among them) in place of doc_id, as they
+    are; none may be called like a category or evidence.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_scorer(chain), "doc_id bigint, evidence int, " + ", ".join(f"{c} double" for c in chain.categories))
+    docs = docs.select(*keep) if keep else docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = list(keep) or ["doc_id"]
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.mapInArrow(_scorer(chain, names), f"{kinds}, evidence int, " + ", ".join(f"{c} double" for c in chain.categories))
 
 
 #: Words that tell categories apart among rows labelled toxic.
@@ -183,11 +189,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
         (F.col("toxic") & folded.rlike(r"\b(" + "|".join(words) + r")\b")).alias(name) for name, words in SEEDS.items()))
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """``score`` of ``docs`` by a chain fitted on ``labels`` (texts from ``texts``, or ``docs``), and ``rejected``.
+def toxic_documents(docs: DataFrame, labels: DataFrame, texts: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """``score`` of ``docs`` (with ``keep``, if given) by a chain fitted on ``labels`` (texts from ``texts``, or ``docs``), and ``rejected``.
 
     A document without any feature of the chain shows no sign of toxicity and is never rejected,
     however frequent toxic rows were in training.
     """
     chain = fit(training_rows(docs if texts is None else texts, labels), (*SEEDS, "toxic"))
-    return score(docs, chain).withColumn("rejected", (F.col("evidence") > 0) & (F.col("toxic") >= REJECT))
+    return score(docs, chain, keep).withColumn("rejected", (F.col("evidence") > 0) & (F.col("toxic") >= REJECT))
