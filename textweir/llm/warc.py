@@ -17,10 +17,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import drop_saved, saved, small
 
 REPEAT_BYTES = 100
 #: Characters of a message in one record, and of one chunk of the transfer coding.
@@ -29,6 +30,8 @@ SEGMENT_CHARS, CHUNK_CHARS = 65_536, 4_096
 FILE_RECORDS = 500
 _DATE = "2024-01-01T00:00:00Z"
 _URN = "urn:textweir:page:"
+#: Bytes unzipped at a time.
+_STEP = 1 << 20
 
 
 #: Columns of a record as read; ``body`` is a segment's bytes, or the payload if the message is whole.
@@ -43,8 +46,8 @@ def _record(kind: str, ident: str, body: str, fields: list[tuple[str, str]]) ->
     return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n" + body
 
 
-def _records(page: int, url: str, html: str, digest: str, refers: int | None, size: int) -> Iterator[str]:
-    ident = f"{_URN}{page}"
+def _records(page: int | None, url: str, html: str, digest: str, refers: int | None, size: int, row: str = "0") -> Iterator[str]:
+    ident = f"{_URN}{'' if page is None else page}:{row}"
     target = ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     stamp = ("WARC-Payload-Digest", f"sha256:{digest}")
     form = ("Content-Type", "application/http;msgtype=response")
@@ -68,10 +71,12 @@ def _records(page: int, url: str, html: str, digest: str, refers: int | None, si
 
 
 def _archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, n = TaskContext.get().partitionId(), 0
     for batch in batches:
         out: list[str] = []
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            out.extend(_records(*row))
+            out.extend(_records(*row, f"{part}.{n}"))
+            n += 1
             if len(out) >= 256:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
                 out = []
@@ -81,51 +86,69 @@ def _archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(pages: DataFrame, path: str) -> None:
     """Archive ``pages`` (page_id, url, html), one record per row, as gzip files below ``path``.
 
-    Of equal payloads of ``REPEAT_BYTES`` or more the smallest page_id is the response, and the
-    others revisit it. Null html is an empty payload, a null url an empty one. Rows without a
-    page_id cannot be named and are left out; of rows that repeat a page_id one is written
-    (the one with the smallest digest). An empty table writes no record.
+    Of equal payloads of ``REPEAT_BYTES`` or more those with the smallest page_id are responses, and the
+    others revisit it. A row without a page_id is never the smallest, and without one that has an id a response.
+    A record's identifier names its page_id (or none) and its row, so page_ids may repeat. Null html is
+    an empty payload, a null url an empty one. An empty table writes no record.
     """
-    pages = pages.filter("page_id is not null").select(
+    pages = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    digest = F.sha2(F.col("html"), 256)
-    sized = saved(pages.select("page_id", digest.alias("digest"), F.octet_length("html").cast("bigint").alias("size"))
-                  .groupBy("page_id").agg(F.min(F.struct("digest", "size")).alias("d"), F.count("*").alias("n"))
-                  .select("page_id", "d.*", "n"), "digests")
-    firsts = saved(sized.filter(F.col("size") >= REPEAT_BYTES).groupBy("digest")
-                   .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
-    facts = sized.join(firsts, "digest", "left").select(
-        "page_id", "digest", "size", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers"))
-    rows = (pages.join(facts, "page_id").filter(digest == F.col("digest"))
+    pages = pages.select("*", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("bigint").alias("size"))
+    sized = saved(pages.filter(F.col("size") >= REPEAT_BYTES).select("page_id", "digest"), "digests")
+    firsts = saved(sized.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+                   .filter("n > 1 and first is not null").drop("n"), "firsts")
+    revisits = saved(sized.join(firsts, "digest").filter("page_id is null or page_id != first")
+                     .select(F.col("page_id").alias("again"), F.col("digest").alias("same"), F.col("first").alias("refers"))
+                     .distinct(), "revisits")
+    rows = (pages.join(small(revisits), F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("same")), "left")
             .withColumn("html", F.when(F.col("refers").isNull(), F.col("html")))
             .select("page_id", "url", "html", "digest", "refers", "size"))
-    if not sized.filter("n > 1").isEmpty():  # a shuffle of the pages, for tables that repeat an id
-        rows = rows.dropDuplicates(["page_id"])
     # two line ends close a record
     (rows.mapInArrow(_archive, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
      .option("maxRecordsPerFile", FILE_RECORDS).text(path))
+    for table in (sized, firsts, revisits):
+        drop_saved(table)
 
 
 def _gunzip(content: bytes) -> bytes:
-    """All members of a gzip file, or the content itself if it is none."""
-    out = []
-    while content[:2] == b"\x1f\x8b":
+    """All members of a gzip file, or the content itself if it is none; of a broken one, what comes before the break."""
+    out, view, at = [], memoryview(content), 0
+    while view[at:at + 2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        out.append(member.decompress(content))
-        content = member.unused_data
+        try:
+            while at < len(view) and not member.eof:
+                piece = view[at:at + _STEP]
+                out.append(member.decompress(piece))
+                at += len(piece) - len(member.unused_data)
+        except zlib.error:
+            break
     return b"".join(out) if out else content
 
 
-def _parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of an archive."""
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) < 19 else None
+
+
+def _parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Header fields (names in lower case) and block of each record of an archive.
+
+    The block is None where the header or the block is cut off, or the header gives no length; after
+    such a header the next record is looked for.
+    """
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")[1:]
+        end = data.find(b"\r\n\r\n", at)
+        whole = end >= 0
+        lines = data[at:end if whole else len(data)].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        size = int(fields["content-length"])
-        yield fields, data[end + 4:end + 4 + size]
+        size = _number(fields.get("content-length")) if whole else None
+        if size is None:
+            yield fields, None
+            at = end + 4 if whole else len(data)
+            continue
+        block = data[end + 4:end + 4 + size]
+        yield fields, block if len(block) == size else None
         at = end + 4 + size
 
 
@@ -164,14 +187,12 @@ def _reader(segmented: bool):
                 for fields, block in _parse(_gunzip(content.as_buffer().to_pybytes())):
                     if ("warc-segment-number" in fields) != segmented:
                         continue
-                    ident, kind = _name(fields["warc-record-id"]), fields["warc-type"]
-                    http, body = ({}, block) if segmented else unchunk(block)
-                    size = http.get("content-length")
-                    total = fields.get("warc-segment-total-length")
+                    ident, kind = _name(fields.get("warc-record-id")), fields.get("warc-type")
+                    http, body = ({}, block) if segmented or block is None else unchunk(block)
                     rows.append((ident, kind, fields.get("warc-target-uri"), fields.get("warc-payload-digest"),
-                                 _name(fields.get("warc-refers-to")), int(size) if size else None,
+                                 _name(fields.get("warc-refers-to")), _number(http.get("content-length")),
                                  _name(fields.get("warc-segment-origin-id")) or ident,
-                                 int(fields.get("warc-segment-number", 1)), int(total) if total else None,
+                                 _number(fields.get("warc-segment-number")), _number(fields.get("warc-segment-total-length")),
                                  None if kind == "revisit" else body))
                 columns = list(zip(*rows)) or [()] * 10
                 kinds = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
@@ -185,8 +206,9 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for origin, parts in zip(*(batch.column(c).to_pylist() for c in ("origin", "parts"))):
             first, last = parts[0], parts[-1]
-            message = b"".join(p["body"] for p in parts)
-            whole = [p["number"] for p in parts] == list(range(1, len(parts) + 1)) and last["total"] == len(message)
+            message = b"".join(p["body"] or b"" for p in parts)
+            whole = ([p["number"] for p in parts] == list(range(1, len(parts) + 1)) and last["total"] == len(message)
+                     and all(p["body"] is not None for p in parts))
             http, payload = unchunk(message) if whole else ({}, None)
             out.append((origin, first["type"], first["uri"], first["digest"], None, None, payload))
         columns = list(zip(*out)) or [()] * 7
@@ -199,10 +221,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """The records below ``path``, one row per message: record_id, type, uri, digest, refers_to,
     http_length (of a Content-Length field), payload.
 
-    The payload is null for revisits, and where segments are missing, repeated, or do not
-    add up to the total length, or chunks do not add up.
+    All files are read (but those that Spark hides), gzipped or not. The payload is null for revisits, and where
+    segments are missing, repeated, or do not add up to the total length, chunks do not add up, or a record is cut
+    off. What a cut header does not tell is null.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     whole = files.mapInArrow(_reader(False), _PARSED).select(
         "record_id", "type", "uri", "digest", "refers_to", "http_length", F.col("body").alias("payload"))
     parts = files.mapInArrow(_reader(True), _PARSED)
@@ -212,5 +235,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_of(record_id: Column) -> Column:
-    """The page_id in a record identifier of ``write``."""
-    return F.substring(record_id, len(_URN) + 1, 32).cast("bigint")
+    """The page_id in a record identifier of ``write``; null for a row that had none."""
+    ident = F.regexp_extract(record_id, f"^{_URN}(-?[0-9]+)", 1)
+    return F.when(ident != "", ident).cast("bigint")
