@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .models import refilled
 from .textual import two_decimals
 
 INTENT_BLOCK = 4096  # intents per matrix product; more intents take more products
@@ -65,14 +66,18 @@ def embed(text: Column, load: Callable[[], Embedder]) -> Column:
 
 
 def model_score(text: Column, load: Callable[[], Callable[[Sequence[str]], Sequence[float]]]) -> Column:
-    """Score column from a model that is loaded once per task."""
+    """Score column from a model that is loaded once per task; NULL texts have no score
+    and never reach the model. A model that fails ends the job: ``models.model_result`` says why and goes on."""
     holder: dict[str, Callable] = {}
 
     @F.arrow_udf("double")
     def score(batch: pa.Array) -> pa.Array:
         if "model" not in holder:
             holder["model"] = load()
-        return pa.array(np.asarray(holder["model"](batch.to_pylist()), dtype=np.float64))
+        known = np.asarray(batch.is_valid())
+        texts = batch.drop_null().to_pylist()
+        scores = np.asarray(holder["model"](texts) if texts else [], dtype=np.float64)
+        return refilled(pa.array(scores), known)
 
     return score(text)
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.sentences import sentence_body, sentence_pieces, sentence_separator
 from ..functions.textual import route_provider
 from ..policy import Policy
-from .scan import (Models, as_source, detector_stages, lower_stage, redaction_key, redaction_stages,
-                   result_columns, run_parallel, scan, scan_array, seal, verdict_stage)
+from ..session import materialize
+from .scan import (Models, as_source, detector_stages, lower_stage, needs_rows, redaction_key,
+                   redaction_stages, result_columns, run_parallel, scan, scan_array, seal, verdict_stage)
 
 POLICIES_PER_PASS = 8
 
@@ -56,10 +57,11 @@ def sanitize_by_sentence(df: DataFrame, policy: Policy, text_col: str = "text",
     """Texts with every sentence validated on its own: ``sanitized_text, n_blocked``.
 
     The sentences of a text stay an array in its row, so re-assembly needs no shuffle. Only a
-    policy with a scoring model has them as rows, which a shuffle brings together again.
+    policy with a model has them as rows, which a shuffle brings together again; the texts are stored
+    before, so that a row keeps its number when an executor is lost.
     """
     keep = df.columns
-    if policy.toxicity_enabled and models.score is not None:
+    if needs_rows(policy, models):
         return _by_sentence_rows(df, policy, text_col, models)
     cut = df.withColumn("__pieces", sentence_pieces(F.col(text_col)))
     cut = cut.withColumns({
@@ -74,8 +76,8 @@ def sanitize_by_sentence(df: DataFrame, policy: Policy, text_col: str = "text",
 
 def _by_sentence_rows(df: DataFrame, policy: Policy, text_col: str, models: Models) -> DataFrame:
     keep = df.columns
-    named = df.select(F.struct(*keep).alias("__row"), F.col(text_col).alias("__text"),
-                      F.monotonically_increasing_id().alias("__id"))
+    named = materialize(df.select(F.struct(*keep).alias("__row"), F.col(text_col).alias("__text"),
+                                  F.monotonically_increasing_id().alias("__id")), "sentences")
     rows = named.select("__id", "__row", F.posexplode_outer(sentence_pieces(F.col("__text"))).alias("__pos", "__piece"))
     rows = rows.select(  # the row goes along with its first sentence only
         "__id", "__pos", F.when(F.coalesce("__pos", F.lit(0)) == 0, F.col("__row")).alias("__row"),

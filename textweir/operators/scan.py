@@ -23,7 +23,9 @@ from ..functions.redaction import (custom_rules, guard_columns, labels, loose_ru
                                    strict_rules)
 from ..functions.rules import INJECTION_LABEL
 from ..functions.similarity import Embedder, best_intent, embed, intent_label
-from ..functions.entities import entity_rules
+from ..functions.entities import EntityRule, entity_rules
+from ..functions.models import model_message
+from ..functions.spans import Recognizer, no_spans, rewritten, rule_matches
 from ..functions.verdict import verdict_columns
 from ..policy import Policy, PolicyWarning
 
@@ -37,8 +39,11 @@ class Models:
 
     ``vector`` names a column of ready vectors, or ``embedder`` loads a model for
     the redacted text; ``intent_vectors`` holds the vectors of the intents (taken
-    from the embedder when left out). ``score`` gives the toxicity score of a text.
-    ``plugins`` return a message or NULL. ``secrets`` are opt-in extra patterns.
+    from the embedder when left out). ``score`` gives the toxicity score of a text, ``score_result`` a
+    struct of score and error (``model_result``), where ``on_error`` says what an error means: 'open' (no
+    finding), 'closed' (a finding) or 'raise'. ``plugins`` return a message or NULL.
+    ``secrets`` are opt-in extra patterns. ``recognizer`` adds a model's spans to those of the entity rules;
+    all spans are then resolved together.
     """
 
     vector: str | None = None
@@ -50,13 +55,40 @@ class Models:
     persons: Sequence[str] = ()
     locations: Sequence[str] = ()
     secrets: Mapping[str, str] = field(default_factory=dict)
+    score_result: Callable[[Column], Column] | None = None
+    on_error: str | Column = "raise"
+    recognizer: Recognizer | None = None
+
+
+def span_stages(rules: Sequence[EntityRule], recognizer: Recognizer | None) -> list[Stage]:
+    """Spans of the rules and the recognizer, found apart, resolved and replaced together."""
+    kinds = list(dict.fromkeys([*(r.name for r in rules), *(recognizer.kinds if recognizer else ())]))
+    on_error = recognizer.on_error if recognizer else "raise"
+    kinds += ["TEXT"] if on_error == "closed" else []
+
+    def find(state: State) -> State:
+        return {"matches": rule_matches(state["text"], rules),
+                "found": recognizer.find(state["text"]) if recognizer else no_spans()}
+
+    def resolve(state: State) -> State:
+        return {"spans": rewritten(state["text"], rules, state["matches"], state["found"], on_error)}
+
+    def replace(state: State) -> State:
+        hits = {f"hit_PII:{k}_{n}": F.coalesce(F.array_contains(state["spans"]["kinds"], k), F.lit(False))
+                for n, k in enumerate(kinds)}
+        return {"text": F.coalesce(state["spans"]["text"], state["text"]), **hits}
+
+    return [find, resolve, replace]
 
 
 def redaction_stages(policy: Policy, models: Models) -> list[Stage]:
     """One stage per redaction rule; without entity support the patterns are used."""
     rules: list[tuple[str, object]] = []  # (label, rule)
+    first: list[Stage] = []
     if policy.pii_enabled:
-        if policy.pii_engine == "entities" and models.entities:
+        if policy.pii_engine == "entities" and models.entities and models.recognizer:
+            first, found = span_stages(entity_rules(models.persons, models.locations), models.recognizer), []
+        elif policy.pii_engine == "entities" and models.entities:
             found = entity_rules(models.persons, models.locations)
         else:
             found = strict_rules(policy.pii_patterns)
@@ -71,7 +103,7 @@ def redaction_stages(policy: Policy, models: Models) -> list[Stage]:
             return {"text": after, key: rule.hit(state["text"], after)}
         return run
 
-    return [_guard_stage([r for _, r in rules]), *(stage(label, rule) for label, rule in rules)]
+    return [*first, _guard_stage([r for _, r in rules]), *(stage(label, rule) for label, rule in rules)]
 
 
 def _guard_stage(rules: Sequence) -> Stage:
@@ -117,7 +149,11 @@ def detector_stages(policy: Policy, source: Column, models: Models) -> list[Stag
             s["text"], policy.competitors, policy.toxicity_check, s["low"]))
     plugins: list[Plugin] = []
     if policy.toxicity_enabled:
-        if models.score is None:
+        if models.score_result is not None:
+            stages.append(lambda s: {"model": models.score_result(s["text"])})
+            detectors["label_model"] = lambda s: F.concat(
+                F.lit("Plugin:"), model_message(s["model"], policy.toxicity_threshold, models.on_error))
+        elif models.score is None:
             warnings.warn(f"{policy.name}: no scoring model given, toxicity score skipped",
                           PolicyWarning, stacklevel=3)
         else:
@@ -255,6 +291,15 @@ def redact(df: DataFrame, rules: Sequence, text_col: str = "text") -> DataFrame:
     return seal(out, keep, {"sanitized_text": state["text"], "redacted_types": names})
 
 
+def redact_entities(df: DataFrame, rules: Sequence[EntityRule], recognizer: Recognizer | None = None,
+                    text_col: str = "text") -> DataFrame:
+    """``df`` plus ``sanitized_text`` and ``redacted_types`` (kinds that were found, in order), spans resolved together."""
+    keep = df.columns
+    out, state = run_stages(df, {"text": F.col(text_col)}, span_stages(rules, recognizer))
+    names = labels((k[len("hit_PII:"):].rsplit("_", 1)[0], c) for k, c in state.items() if k.startswith("hit_PII:"))
+    return seal(out, keep, {"sanitized_text": state["text"], "redacted_types": names})
+
+
 def pii_guard(df: DataFrame, rules: Sequence, text_col: str = "text") -> DataFrame:
     """Stand-alone redaction guard: always valid; action ``redacted`` or ``none``."""
     out = redact(df, rules, text_col)
@@ -280,16 +325,22 @@ def legacy_gateway_validate(df: DataFrame, text_col: str = "text",
         F.when(F.col("__ok"), F.lit("allowed")).otherwise(F.lit("blocked")).alias("action"))
 
 
+def needs_rows(policy: Policy, models: Models) -> bool:
+    """Whether a policy runs a model, which needs one row per text and cannot work inside an array."""
+    return bool(policy.toxicity_enabled and (models.score or models.score_result)
+                or policy.pii_enabled and policy.pii_engine == "entities" and models.entities and models.recognizer)
+
+
 def scan_array(df: DataFrame, array_col: str, policy: Policy, out_col: str,
                models: Models = Models()) -> DataFrame:
     """Validate every element of a string array as *output*, row by row, no shuffle.
 
     ``out_col`` becomes an array of structs ``(original, text, triggered, valid,
-    reason, action)``. Every stage is one ``transform`` over the array, so a scoring model,
-    which need not be a built-in expression, cannot take part.
+    reason, action)``. Every stage is one ``transform`` over the array, so a scoring model or a
+    recognizer, which need not be a built-in expression, cannot take part.
     """
-    if policy.toxicity_enabled and models.score is not None:
-        raise ValueError("a scoring model needs one row per text: use scan on the exploded array")
+    if needs_rows(policy, models):
+        raise ValueError("a model needs one row per text: use scan on the exploded array")
     if policy.semantic_enabled or models.vector:  # output skips it
         models = Models(plugins=models.plugins, entities=models.entities, persons=models.persons,
                         locations=models.locations, secrets=models.secrets)
