@@ -41,20 +41,17 @@ def test_last_user_message(turns):
 
 
 def bodies(df):
-    rows = sorted((r.conv_id, r.part, r.payload, r.n_parts) for r in df.collect())
-    out = {}
-    for conv, _, text, _ in rows:
-        out[conv] = out.get(conv, "") + text
-    return {k: json.loads(v) for k, v in out.items()}, rows
+    rows = df.collect()
+    assert len({r.conv_id for r in rows}) == len(rows)
+    return {r.conv_id: json.loads(r.body) for r in rows}
 
 
 def expected(conv):
     return [t for t in TURNS if t[0] == conv]
 
 
-@pytest.mark.parametrize("part", [1, 2, 3, 1000])
-def test_messages_payload(turns, part):
-    got, rows = bodies(chat.payload_messages_api(turns, "claude-3", part_turns=part))
+def test_messages_payload(turns):
+    got = bodies(chat.payload_messages_api(turns, "claude-3"))
     for conv in range(1, 6):
         want = {"model": "claude-3", "messages": [{"role": r, "content": t} for _, _, r, t in expected(conv) if r != "system"],
                 "max_tokens": 1024}
@@ -62,15 +59,10 @@ def test_messages_payload(turns, part):
         if system:
             want["system"] = system[-1]
         assert got[conv] == want
-    if part == 1000:
-        assert len(rows) == 5 and all(n == 1 for *_, n in rows)
-    if part == 1:
-        assert len(rows) == len(TURNS)
 
 
-@pytest.mark.parametrize("part", [1, 2, 1000])
-def test_contents_payload(turns, part):
-    got, _ = bodies(chat.payload_contents_api(turns, max_tokens=5, part_turns=part))
+def test_contents_payload(turns):
+    got = bodies(chat.payload_contents_api(turns, max_tokens=5))
     for conv in range(1, 6):
         want = {"contents": [{"role": "user" if r == "user" else "model", "parts": [{"text": t}]}
                              for _, _, r, t in expected(conv) if r != "system"],
@@ -81,6 +73,35 @@ def test_contents_payload(turns, part):
         assert got[conv] == want
 
 
+def test_payloads_of_parsed_requests_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(chat, "_PIECE_CHARS", 700)
+    texts = ["a\nb\r\u2028c", 'quo"te\\', "", None, "é😀", "}\n{", "x" * 3_000]
+    requests = [
+        {"model": "m1", "messages": [{"role": "user", "content": t} for t in texts], "max_tokens": 7, "temperature": 0.1, "top_p": 0.2},
+        {"model": "m2", "messages": [{"role": "system", "content": "s1"}, {"role": "user", "content": "u", "name": "joe"},
+                                     {"role": "system", "content": ""}]},
+        {"messages": []},
+        {"model": "m4", "messages": [{"role": "assistant", "content": f"t{i}"} for i in range(2_500)], "top_p": 0.5},
+        {"model": "m5", "messages": [{"role": "user", "content": "q"}, {"role": "system", "content": "last"}], "max_tokens": 9}]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(requests)] + [(None, json.dumps(requests[0]))]
+    turns = chat.parse_requests(spark.createDataFrame(rows, "conv_id bigint, request string")).repartition(5)
+    got, other = bodies(chat.payload_messages_api(turns)), bodies(chat.payload_contents_api(turns, temperature=1.5))
+    assert set(got) == set(other) == set(range(5))
+    for i, r in enumerate(requests):
+        system = [m["content"] for m in r["messages"] if m["role"] == "system"]
+        want = {"model": r.get("model"), "messages": [m for m in r["messages"] if m["role"] != "system"], "max_tokens": r.get("max_tokens", 1024)}
+        if system and system[-1]:
+            want["system"] = system[-1]
+        assert got[i] == want
+        want = {"contents": [{"role": "user" if m["role"] == "user" else "model", "parts": [{"text": m["content"]}]}
+                             for m in r["messages"] if m["role"] != "system"],
+                "generationConfig": {"maxOutputTokens": r.get("max_tokens"), "temperature": r.get("temperature", 1.5), "topP": r.get("top_p")}}
+        if system:
+            want["systemInstruction"] = {"parts": [{"text": system[-1]}]}
+        assert other[i] == want
+    assert chat.payload_messages_api(turns.limit(0)).collect() == []
+
+
 def test_responses(spark):
     rows = ['{"id":"m","model":"c","content":[{"type":"text","text":"a"},{"type":"x"},{"type":"text","text":"b"}],'
             '"usage":{"input_tokens":3,"output_tokens":4}}', '{"id":"n","content":"text"}', "{}"]

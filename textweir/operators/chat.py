@@ -2,23 +2,27 @@
 
 Conversations come in long form ``(conv_id, turn, role, text)`` with ``turn`` a
 non-negative ordinal. A conversation may be of any length, so nothing gathers a
-whole conversation into one row or one task: per-conversation facts are partial
-aggregates, and payloads are built in parts of bounded length.
+whole conversation into one row: per-conversation facts are partial
+aggregates, and payloads are streamed into files, turn after turn.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.textual import coerce_text
 from ..policy import Policy
-from ..session import checked_broadcast
+from ..session import work_path
 from .scan import Models, scan
 
+#: Turns of a conversation that share a join key with its verdict.
 PART_TURNS = 1000
+#: Characters of one written piece of a body.
+_PIECE_CHARS = 1 << 20
 
 
 # --- gates ---------------------------------------------------------------------
@@ -97,87 +101,123 @@ def parse_requests(df: DataFrame, json_col: str = "request") -> DataFrame:
                     (F.col("__r").isNull() | F.col("__r._corrupt").isNotNull()).alias("corrupt")))
 
 
+# --- payloads ------------------------------------------------------------------
+# Field names of the two providers' request bodies.
+
 def _json_string(col: Column) -> Column:
     wrapped = F.to_json(F.struct(col.alias("v")))  # {"v":"..."}
-    return F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)
+    return F.when(col.isNull(), F.lit("null")).otherwise(F.substr(wrapped, F.lit(6), F.length(wrapped) - 6))
+
+
+def _field(df: DataFrame, name: str, kind: str, default: object) -> Column:
+    """A parameter of the request: its column, or the default where that is missing or NULL."""
+    given = F.lit(default).cast(kind)
+    return F.coalesce(F.col(name).cast(kind), given) if name in df.columns else given
+
+
+def _messages_parts(df: DataFrame, defaults: dict) -> tuple[Column, Column, Column, Column]:
+    name = [F.col("name").cast("string").alias("name")] if "name" in df.columns else []
+    plain = F.to_json(F.struct(F.col("role"), F.col("text").alias("content")), {"ignoreNullFields": "false"})
+    named = F.to_json(F.struct(F.col("role"), F.col("text").alias("content"), *name), {"ignoreNullFields": "false"})
+    message = F.when(F.col("name").isNotNull(), named).otherwise(plain) if name else plain
+    head = F.concat(F.lit('{"model":'), _json_string(_field(df, "model", "string", defaults.get("model"))), F.lit(',"messages":['))
+    limit = _field(df, "max_tokens", "int", defaults.get("max_tokens", 1024))
+    tail = F.concat(F.lit('],"max_tokens":'), F.coalesce(limit.cast("string"), F.lit("null")))
+    system = F.when(F.length("text") > 0, F.concat(F.lit(',"system":'), _json_string(F.col("text")))).otherwise(F.lit(""))
+    return head, message, tail, system
+
+
+def _contents_parts(df: DataFrame, defaults: dict) -> tuple[Column, Column, Column, Column]:
+    role = F.when(F.col("role") == "user", F.lit("user")).otherwise(F.lit("model"))
+    keep = {"ignoreNullFields": "false"}
+    message = F.to_json(F.struct(role.alias("role"), F.array(F.struct("text")).alias("parts")), keep)
+    options = F.to_json(F.struct(*(_field(df, name, kind, defaults.get(name)).alias(field) for name, kind, field in (
+        ("max_tokens", "int", "maxOutputTokens"), ("temperature", "double", "temperature"), ("top_p", "double", "topP")))), keep)
+    tail = F.concat(F.lit('],"generationConfig":'), options)
+    system = F.concat(F.lit(',"systemInstruction":'), F.to_json(F.struct(F.array(F.struct("text")).alias("parts")), keep))
+    return F.lit('{"contents":['), message, tail, system
+
+
+_APIS = {"messages": _messages_parts, "contents": _contents_parts}
+
+
+def _stream_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted turns to pieces of JSON lines ``{"conv_id":…,"body":…}``; a body is never held as a whole."""
+    key, system, tail, some = None, "", "", False
+    held: list[str] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(["".join(held)], pa.string())], names=["value"])
+        held.clear()
+        return out
+
+    for batch in batches:
+        for conv, head, message, end, given in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "head", "message", "tail", "system"))):
+            if conv != key:
+                if key is not None:
+                    held.append(f"{tail}{system}}}}}\n")
+                held.append(f'{{"conv_id":{conv},"body":{head}')
+                key, system, tail, some = conv, "", end, False
+            if given is not None:
+                system = given
+            elif message is not None:
+                held.append("," + message if some else message)
+                some = True
+            size += len(message or "") + len(given or "")
+            if size > _PIECE_CHARS:
+                yield flush()
+                size = 0
+    if key is not None:
+        held.append(f"{tail}{system}}}}}\n")
+    if held:
+        yield flush()
+
+
+def write_payloads(df: DataFrame, path: str, api: str = "messages", **defaults: object) -> None:
+    """Request bodies of conversations as JSON lines ``{"conv_id":…,"body":…}`` below ``path``.
+
+    ``df`` has conv_id (a whole number), turn, role, text, and may have name and each request's own parameters
+    (model, max_tokens, temperature, top_p; those of its first row count), as ``parse_requests`` gives them;
+    ``defaults`` stand for what is missing. ``api`` is 'messages' (system turns leave the list, the last
+    one becomes ``system`` unless it is empty; 1024 tokens by default) or 'contents' (every role but
+    ``user`` is ``model``, unset options are null). Rows without a turn hold parameters only; rows without a
+    conv_id belong to no request.
+
+    A conversation is one line whatever its length: turns are sorted within partitions and written in
+    pieces, between which Spark's text writer puts a blank.
+    """
+    head, message, tail, system = _APIS[api](df, defaults)
+    is_system = F.col("role").eqNullSafe("system") & F.col("turn").isNotNull()
+    rows = df.filter("conv_id is not null").select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), "turn", head.alias("head"),
+        F.when(~is_system & F.col("turn").isNotNull(), message).alias("message"), tail.alias("tail"), F.when(is_system, system).alias("system"))
+    order = ["conv_id", "turn", "system", "message"]
+    (rows.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(_stream_bodies, "value string")
+     .write.option("lineSep", " ").text(path))
 
 
-def _payloads(df: DataFrame, head: Column, message: Callable[[Column], Column],
-              tail: Callable[[Column], Column], part_turns: int) -> DataFrame:
-    """Request bodies ``(conv_id, part, n_parts, payload)``.
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """``(conv_id, body)`` of what ``write_payloads`` wrote; a body is JSON text."""
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    return lines.select(F.from_json("value", "conv_id bigint, body string").alias("r")).select("r.*")
 
-    A conversation of up to ``part_turns`` turns is one row. A longer one is cut
-    into parts; its body is the parts' texts concatenated in ``part`` order.
-    """
-    part = F.floor(F.col("turn") / part_turns)
-    parts = (df.groupBy("conv_id", part.alias("part"))
-             .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m")))
-    is_system = lambda m: m["role"] == "system"
-    listed = F.to_json(F.transform(F.filter("m", lambda m: ~is_system(m) | m["role"].isNull()), message),
-                       {"ignoreNullFields": "false"})
-    parts = parts.select(
-        "conv_id", "part", F.substr(listed, F.lit(2), F.length(listed) - 2).alias("body"),
-        F.try_element_at(F.filter("m", is_system), F.lit(-1))["text"].alias("system"))
-
-    long_ids = df.filter(F.col("turn") >= part_turns).select("conv_id").distinct()
-    if long_ids.isEmpty():
-        info_cols = {"n_parts": F.lit(1), "first": F.col("part"), "last": F.col("part"),
-                     "first_body": F.col("part"), "system": F.col("system")}
-        full = parts.withColumns(info_cols)
-    else:
-        in_system = F.col("role").eqNullSafe("system")
-        long_turns = df.join(checked_broadcast(long_ids), "conv_id", "left_semi")
-        per_part = long_turns.groupBy("conv_id", part.alias("part")).agg(
-            F.bool_or(~in_system).alias("body"), F.max(F.when(in_system, F.struct("turn", "text"))).alias("s"))
-        info = per_part.groupBy("conv_id").agg(
-            F.count(F.lit(1)).alias("n_parts"), F.min("part").alias("first"), F.max("part").alias("last"),
-            F.min(F.when(F.col("body"), F.col("part"))).alias("first_body"), F.max("s")["text"].alias("all_system"))
-        own = F.col("n_parts").isNull()
-        full = parts.join(info, "conv_id", "left").withColumns({
-            "n_parts": F.coalesce("n_parts", F.lit(1)),
-            "first": F.coalesce("first", "part"), "last": F.coalesce("last", "part"),
-            "first_body": F.when(own, F.col("part")).otherwise(F.col("first_body")),
-            "system": F.when(own, F.col("system")).otherwise(F.col("all_system"))})
-    comma = F.when((F.col("body") != "") & (F.col("part") > F.col("first_body")), F.lit(",")).otherwise(F.lit(""))
-    return full.select("conv_id", "part", "n_parts", F.concat(
-        F.when(F.col("part") == F.col("first"), head).otherwise(F.lit("")), comma, F.col("body"),
-        F.when(F.col("part") == F.col("last"), tail(F.col("system"))).otherwise(F.lit(""))).alias("payload"))
-
-
-def payload_messages_api(df: DataFrame, model: str, max_tokens: int = 1024,
-                         part_turns: int = PART_TURNS) -> DataFrame:
-    """Messages body: system turns leave the list, the last one becomes ``system``."""
-    head = F.concat(F.lit('{"model":'), _json_string(F.lit(model)), F.lit(',"messages":['))
-    message = lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))
-
-    def tail(system: Column) -> Column:
-        given = F.length(system) > 0
-        return F.concat(F.lit(f'],"max_tokens":{max_tokens}'),
-                        F.when(given, F.concat(F.lit(',"system":'), _json_string(system))).otherwise(F.lit("")),
-                        F.lit("}"))
-
-    return _payloads(df, head, message, tail, part_turns)
+
+def _payloads(df: DataFrame, api: str, **defaults: object) -> DataFrame:
+    path = work_path(df.sparkSession, "payloads")
+    write_payloads(df, path, api, **defaults)
+    return read_payloads(df.sparkSession, path)
+
+
+def payload_messages_api(df: DataFrame, model: str | None = None, max_tokens: int = 1024) -> DataFrame:
+    """``(conv_id, body)`` for the messages API; a request's own parameters go before the given ones."""
+    return _payloads(df, "messages", model=model, max_tokens=max_tokens)
 
 
 def payload_contents_api(df: DataFrame, max_tokens: int | None = None, temperature: float | None = None,
-                         top_p: float | None = None, part_turns: int = PART_TURNS) -> DataFrame:
-    """Contents body: every role but ``user`` is ``model``; unset options stay null."""
-    def message(m: Column) -> Column:
-        role = F.when(m["role"] == "user", F.lit("user")).otherwise(F.lit("model"))
-        return F.struct(role.alias("role"), F.array(F.struct(m["text"].alias("text"))).alias("parts"))
-
-    options = F.to_json(F.struct(
-        F.lit(max_tokens).cast("int").alias("maxOutputTokens"),
-        F.lit(temperature).cast("double").alias("temperature"),
-        F.lit(top_p).cast("double").alias("topP")), {"ignoreNullFields": "false"})
-
-    def tail(system: Column) -> Column:
-        instruction = F.to_json(F.struct(F.array(F.struct(system.alias("text"))).alias("parts")))
-        return F.concat(F.lit('],"generationConfig":'), options,
-                        F.when(system.isNotNull(), F.concat(F.lit(',"systemInstruction":'), instruction))
-                        .otherwise(F.lit("")), F.lit("}"))
-
-    return _payloads(df, F.lit('{"contents":['), message, tail, part_turns)
+                         top_p: float | None = None) -> DataFrame:
+    """``(conv_id, body)`` for the contents API; a request's own parameters go before the given ones."""
+    return _payloads(df, "contents", max_tokens=max_tokens, temperature=temperature, top_p=top_p)
 
 
 # --- responses -----------------------------------------------------------------

@@ -81,31 +81,55 @@ def chain_result(spark, sf_dir):
 
 
 # --- payloads ------------------------------------------------------------------
-# A part size of two turns shows conversations that span parts; the body is put
-# together again only to be compared.
-
-_PART = 2
-
-
-def _whole_body(parts):
-    return parts.groupBy("conv_id").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("part", "payload"))), lambda p: p["payload"]), "").alias("body"))
-
-
-_MSG_BODY = "model string, messages array<struct<role:string, content:string>>, max_tokens int, system string"
-
-
-@query("payload_messages_api", """WITH m AS (SELECT * FROM conversations)
-SELECT conv_id, 'claude-3' AS model, 1024 AS max_tokens, count(*) FILTER (role <> 'system')::BIGINT AS n_messages,
-  string_agg(role, ',' ORDER BY turn) FILTER (role <> 'system') AS roles,
-  string_agg(text, '|' ORDER BY turn) FILTER (role <> 'system') AS contents,
+# Requests of a few turns, and below zero such of up to 2,000 documents and the turns of 400 conversations;
+# each request has its own parameters, some of them missing.
+
+_REQUESTS = """SELECT *, CASE WHEN conv_id % 3 <> 0 THEN 'model-' || conv_id END AS model,
+  CASE WHEN conv_id % 4 <> 0 THEN CAST(200 + conv_id AS INTEGER) END AS max_tokens,
+  CASE WHEN conv_id % 5 <> 0 THEN 0.25 END::DOUBLE AS temperature, CASE WHEN conv_id % 2 = 0 THEN 0.5 END::DOUBLE AS top_p,
+  CASE WHEN turn % 3 = 0 THEN 'n' || turn END AS name
+FROM (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1 - conv_id // 400, conv_id * 1000 + turn, role, text FROM conversations
+  UNION ALL SELECT -1 - doc_id // 2000, 1000000000 + doc_id, CASE doc_id % 3 WHEN 0 THEN 'user' ELSE 'assistant' END, text FROM documents)"""
+
+
+def _requests(spark, sf_dir):
+    turns, docs = _turns(spark, sf_dir).select("conv_id", "turn", "role", "text"), load(spark, sf_dir, "documents")
+    large = F.lit(-1).cast("bigint")
+    role = F.when(F.col("doc_id") % 3 == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    every = (turns.unionByName(turns.select(
+        (large - F.expr("conv_id div 400")).alias("conv_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn"), "role", "text"))
+        .unionByName(docs.select((large - F.expr("doc_id div 2000")).alias("conv_id"),
+                                 (F.lit(1_000_000_000) + F.col("doc_id")).alias("turn"), role.alias("role"), "text")))
+    conv = F.col("conv_id")
+    return every.withColumns({
+        "model": F.when(conv % 3 != 0, F.concat(F.lit("model-"), conv.cast("string"))),
+        "max_tokens": F.when(conv % 4 != 0, (200 + conv).cast("int")), "temperature": F.when(conv % 5 != 0, F.lit(0.25)),
+        "top_p": F.when(conv % 2 == 0, F.lit(0.5)),
+        "name": F.when(F.col("turn") % 3 == 0, F.concat(F.lit("n"), F.col("turn").cast("string")))})
+
+
+def _digest(parts):
+    return F.sha2(F.array_join(parts, "|", "-"), 256)
+
+
+_MSG_BODY = "model string, messages array<struct<role:string, content:string, name:string>>, max_tokens int, system string"
+
+
+@query("payload_messages_api", f"""WITH m AS ({_REQUESTS})
+SELECT conv_id, coalesce(max(model), 'claude-3') AS model, coalesce(max(max_tokens), 1024) AS max_tokens,
+  count(*) FILTER (role <> 'system')::BIGINT AS n_messages,
+  sha256(coalesce(string_agg(role, '|' ORDER BY turn) FILTER (role <> 'system'), '')) AS roles,
+  sha256(coalesce(string_agg(text, '|' ORDER BY turn) FILTER (role <> 'system'), '')) AS contents,
+  sha256(coalesce(string_agg(coalesce(name, '-'), '|' ORDER BY turn) FILTER (role <> 'system'), '')) AS names,
   arg_max(text, turn) FILTER (role = 'system') AS system FROM m GROUP BY conv_id""")
 def payload_messages_api(spark, sf_dir):
-    body = _whole_body(chat.payload_messages_api(_turns(spark, sf_dir), "claude-3", part_turns=_PART))
+    """Whole bodies of short and of very long requests, each with its own parameters."""
+    body = chat.payload_messages_api(_requests(spark, sf_dir), "claude-3")
     p = body.select("conv_id", F.from_json("body", _MSG_BODY).alias("p"))
     return p.select("conv_id", "p.model", "p.max_tokens", F.size("p.messages").cast("bigint").alias("n_messages"),
-                    F.array_join("p.messages.role", ",").alias("roles"),
-                    F.array_join("p.messages.content", "|").alias("contents"), "p.system")
+                    _digest("p.messages.role").alias("roles"), _digest("p.messages.content").alias("contents"),
+                    _digest("p.messages.name").alias("names"), "p.system")
 
 
 _CONTENTS_BODY = ("contents array<struct<role:string, parts:array<struct<text:string>>>>, "
@@ -113,18 +137,18 @@ _CONTENTS_BODY = ("contents array<struct<role:string, parts:array<struct<text:st
                   "systemInstruction struct<parts:array<struct<text:string>>>")
 
 
-@query("payload_contents_api", """SELECT conv_id, count(*) FILTER (role <> 'system')::BIGINT AS n_contents,
-  string_agg(CASE WHEN role = 'user' THEN 'user' ELSE 'model' END, ',' ORDER BY turn) FILTER (role <> 'system') AS roles,
-  string_agg(text, '|' ORDER BY turn) FILTER (role <> 'system') AS contents, 0.5::DOUBLE AS temperature,
-  true AS has_null_option, arg_max(text, turn) FILTER (role = 'system') AS system FROM conversations GROUP BY conv_id""")
+@query("payload_contents_api", f"""WITH m AS ({_REQUESTS}) SELECT conv_id, count(*) FILTER (role <> 'system')::BIGINT AS n_contents,
+  sha256(coalesce(string_agg(CASE WHEN role = 'user' THEN 'user' ELSE 'model' END, '|' ORDER BY turn) FILTER (role <> 'system'), '')) AS roles,
+  sha256(coalesce(string_agg(text, '|' ORDER BY turn) FILTER (role <> 'system'), '')) AS contents, max(max_tokens) AS max_tokens,
+  coalesce(max(temperature), 0.75) AS temperature, max(top_p) AS top_p, arg_max(text, turn) FILTER (role = 'system') AS system
+FROM m GROUP BY conv_id""")
 def payload_contents_api(spark, sf_dir):
-    body = _whole_body(chat.payload_contents_api(_turns(spark, sf_dir), temperature=0.5, part_turns=_PART))
-    p = body.select("conv_id", "body", F.from_json("body", _CONTENTS_BODY).alias("p"))
+    body = chat.payload_contents_api(_requests(spark, sf_dir), temperature=0.75)
+    p = body.select("conv_id", F.from_json("body", _CONTENTS_BODY).alias("p"))
     texts = F.transform("p.contents", lambda c: c["parts"][0]["text"])
-    return p.select("conv_id", F.size("p.contents").cast("bigint").alias("n_contents"),
-                    F.array_join("p.contents.role", ",").alias("roles"), F.array_join(texts, "|").alias("contents"),
-                    "p.generationConfig.temperature",
-                    F.col("body").contains('"maxOutputTokens":null').alias("has_null_option"),
+    return p.select("conv_id", F.size("p.contents").cast("bigint").alias("n_contents"), _digest("p.contents.role").alias("roles"),
+                    _digest(texts).alias("contents"), F.col("p.generationConfig.maxOutputTokens").alias("max_tokens"),
+                    "p.generationConfig.temperature", F.col("p.generationConfig.topP").alias("top_p"),
                     F.get("p.systemInstruction.parts", F.lit(0))["text"].alias("system"))
 
 
