@@ -129,7 +129,7 @@ def test_compliance(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/rep/details").count() == 4
 
 
-def test_blocklist_equals_the_alternation(texts, spark, monkeypatch):
+def test_blocklist_equals_the_alternation(texts, spark):
     from conftest import random_texts
 
     from textweir.functions.keywords import sorted_unique_matches
@@ -142,10 +142,10 @@ def test_blocklist_equals_the_alternation(texts, spark, monkeypatch):
             df.select("i", sorted_unique_matches(F.col("text"), words).alias("m")).collect() if r.m}
     got = {r.i: r.label for r in blocklist.blocklist_hits(df, "i", terms).collect()}
     assert got == want
-    # the same through a salted shuffle join, for lists too long to broadcast
-    monkeypatch.setattr(blocklist, "small_enough", lambda t: False)
-    got = {r.i: r.label for r in blocklist.blocklist_hits(df, "i", terms).collect()}
+    # the same through a Bloom filter and a salted shuffle join, for lists too long to broadcast
+    got = {r.i: r.label for r in blocklist.blocklist_hits(df, "i", terms, broadcast_rows=0).collect()}
     assert got == want
+    assert blocklist.blocklist_hits(df, "i", terms.limit(0), broadcast_rows=-1).count() == 0
 
 
 def test_blocklist_of_single_words(texts, spark):
@@ -156,6 +156,39 @@ def test_blocklist_of_single_words(texts, spark):
     assert blocklist.blocklist_hits(df, "i", terms.limit(0)).count() == 0
 
 
+def test_bloom_filter_lets_all_members_through_and_few_others(spark):
+    members = spark.range(0, 40_000, 2).withColumnRenamed("id", "k")
+    bloom = blocklist.bloom_filter(members, "k")
+    got = {r.k for r in blocklist.may_hold(spark.range(40_000).withColumnRenamed("id", "k"), "k", bloom).collect()}
+    assert set(range(0, 40_000, 2)) <= got and len(got) < 20_000 + 2_600
+    assert blocklist.may_hold(members, "k", blocklist.bloom_filter(members.limit(0), "k")).count() == 0
+
+
+def test_substrings_of_all_lengths(texts, spark):
+    from conftest import random_texts
+
+    rows = [*random_texts(300, ["ab", "Ab", "ba", "c", " ", "é", "😀", "\n", "xyz", "İ"], seed=5), None, "", "x" * 30_000 + "needle"]
+    words = ["a", "ab", "aba", "bab", "abab", "É", "b\nc", "xyzxyz", "😀a", "needle", "", None, "AB", "zzz", "c a", "é 😀"]
+    terms = spark.createDataFrame(list(enumerate(words)), "rank int, term string")
+    first = {}
+    for i, w in enumerate(words):
+        if w:
+            first.setdefault(w.lower(), i)
+    want = {}
+    for i, t in enumerate(rows):
+        low = spark.createDataFrame([(t,)], "t string").selectExpr("lower(t) AS l").first().l if t and "İ" in t else (t or "").lower()
+        found = [w for w in sorted(first, key=first.get) if w in low]
+        if found:
+            want[i] = found
+    df = texts(rows)
+    for limit in (100, 0):  # broadcast and shuffled
+        got = {r.i: r.found for r in blocklist.substring_hits(df, ["i"], terms, broadcast_rows=limit).collect()}
+        assert got == want
+    assert blocklist.substring_hits(df, ["i"], terms.limit(0)).count() == 0
+    plan = blocklist.substring_hits(df, ["i"], terms)._jdf.queryExecution().toString()
+    assert "needle" not in plan  # the terms are data
+
+
 def test_effective_rules(spark):
     listed = spark.createDataFrame([("a", "x"), ("a", "d1"), ("b", "y"), ("b", "y")], "policy string, rule string")
     got = {tuple(r) for r in audit.effective_rules(listed, ["d1", "d2"], "policy", "rule").collect()}

@@ -1,16 +1,47 @@
-"""Keyword blocking with term lists too long for one alternation."""
+"""Keyword blocking with term lists too long for one alternation.
+
+Whole words are joined as word n-grams. Substrings are found through one rare q-gram of each term: a
+text that holds the term holds its q-gram, so only such pairs are looked at. Beyond the broadcast limit
+a Bloom filter of the terms, built by an aggregation, stands before the shuffle.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small_enough
+from ..session import BROADCAST_ROWS, materialize, small_enough
 
 # Maximal runs of word characters and the runs between them, in turn.
 _WORDS = r"[\p{L}\p{N}_]+"
 _RUNS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 _SALTS = 32
+#: Characters of the q-grams that substrings are looked up by; shorter terms stand for themselves.
+_Q = 3
+#: Bits of a Bloom filter, of which 64 are one broadcast row: 8 KB to 16 MB whatever the list.
+_LEAST_BITS, _MOST_BITS = 1 << 16, 1 << 27
+
+
+def bloom_filter(df: DataFrame, key: str) -> DataFrame:
+    """``(word, bits)`` of a Bloom filter with one hash over the values of ``key``; at most 2 million rows."""
+    n, size = df.count(), _LEAST_BITS
+    while size < 16 * n and size < _MOST_BITS:
+        size *= 2
+    bit = F.pmod(F.xxhash64(key), F.lit(size))
+    return (df.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{key}`), 64) AS INT))").alias("bit"))
+            .groupBy("word").agg(F.bit_or("bit").alias("bits")).withColumn("size", F.lit(size)))
+
+
+def may_hold(df: DataFrame, key: str, bloom: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be one of the filter's; all of those that are."""
+    sizes = [r["size"] for r in bloom.select("size").limit(1).collect()]
+    if not sizes:
+        return df.limit(0)
+    word = F.shiftright(F.pmod(F.xxhash64(key), F.lit(sizes[0])), 6)
+    set_ = F.expr(f"(shiftright(bits, cast(pmod(xxhash64(`{key}`), 64) AS INT)) & 1) = 1")
+    return df.withColumn("word", word).join(F.broadcast(bloom.drop("size")), "word").filter(set_).drop("word", "bits")
 
 
 def _ngrams(runs: Column, n_words: int) -> Column:
@@ -27,14 +58,14 @@ def _ngrams(runs: Column, n_words: int) -> Column:
 
 
 def blocklist_hits(df: DataFrame, key_col: str, terms: DataFrame, text_col: str = "text",
-                   term_col: str = "term") -> DataFrame:
+                   term_col: str = "term", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Texts that hold a listed term as whole words: ``(key, label, n_hits)``.
 
     Terms must begin and end with a word character. The texts' word n-grams are
     joined with the terms, case-insensitively; where hits overlap the leftmost
     wins and, at one start, the term listed first (``terms.rank`` if present).
-    ``key_col`` identifies a text. Only hits are shuffled, unless the terms are
-    too many to broadcast: then each distinct n-gram of a text is, with a salt
+    ``key_col`` identifies a text. Only hits are shuffled; if the terms are more than
+    ``broadcast_rows``, also the n-grams that pass a Bloom filter of the terms by chance, with a salt
     so that a frequent n-gram does not meet in one task.
     """
     rank = F.col("rank") if "rank" in terms.columns else F.lit(0)
@@ -52,9 +83,11 @@ def blocklist_hits(df: DataFrame, key_col: str, terms: DataFrame, text_col: str
                          F.regexp_extract_all(F.col(text_col), F.lit(_RUNS), F.lit(0)).alias("__runs"))
         grams = runs.select("__key", F.inline(F.flatten(F.array(*[_ngrams(F.col("__runs"), n) for n in lengths]))))
     grams = grams.withColumn("__term", F.lower("span"))
-    if small_enough(listed):
+    if small_enough(listed, broadcast_rows):
         hits = grams.join(F.broadcast(listed), "__term")
     else:
+        listed = materialize(listed, "terms")
+        grams = may_hold(grams, "__term", materialize(bloom_filter(listed, "__term"), "bloom"))
         salted = listed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         grams = grams.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(_SALTS)).cast("int"))
         hits = grams.join(salted, ["__term", "__salt"])
@@ -74,3 +107,48 @@ def blocklist_hits(df: DataFrame, key_col: str, terms: DataFrame, text_col: str
         F.col("__key").alias(key_col),
         F.concat(F.lit("Topic:"), F.array_join(F.sort_array(F.array_distinct("__kept")), ",")).alias("label"),
         F.size("__kept").alias("n_hits"))
+
+
+# --- substrings ----------------------------------------------------------------
+
+def _grams(text: Column, sizes: Sequence[int]) -> Column:
+    """The distinct runs of ``sizes`` characters of a text."""
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    return F.array_distinct(F.concat(*runs))
+
+
+def _anchors(listed: DataFrame) -> DataFrame:
+    """``(gram, term, rank)``: each term under that of its q-grams that the fewest terms have."""
+    grams = F.when(F.length("term") < _Q, F.array("term")).otherwise(_grams(F.col("term"), [_Q]))
+    every = listed.select("term", "rank", F.explode(grams).alias("gram"))
+    shared = every.groupBy("gram").agg(F.count("*").alias("n"))
+    return every.join(shared, "gram").groupBy("term", "rank").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+
+
+def substring_hits(df: DataFrame, keys: Sequence[str], terms: DataFrame, text_col: str = "text", term_col: str = "term",
+                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Texts whose lower-cased form contains listed terms: ``(*keys, n_found, found)``.
+
+    ``found`` has the lower-cased terms in the order of ``terms.rank`` (if present; then by the term),
+    ``keys`` identify a text. Empty and NULL terms are ignored, NULL texts hold nothing.
+
+    Every text is taken apart into its distinct q-grams and meets those terms whose own q-gram it
+    holds; ``contains`` decides. The terms are broadcast, and candidates decided where the text is,
+    up to ``broadcast_rows`` terms; beyond, the pairs of text and term are shuffled and joined with the texts.
+    """
+    rank = F.col("rank").cast("bigint") if "rank" in terms.columns else F.lit(0).cast("bigint")
+    listed = (terms.select(F.lower(term_col).alias("term"), rank.alias("rank")).filter("length(term) > 0")
+              .groupBy("term").agg(F.min("rank").alias("rank")))
+    anchors = materialize(_anchors(listed), "anchors")
+    sizes = [r[0] for r in anchors.select(F.length("gram").alias("n")).distinct().orderBy("n").collect()] or [_Q]  # 1 to 3
+    low = df.select(*keys, F.lower(text_col).alias("low"))
+    holds = F.col("low").contains(F.col("term"))
+    if small_enough(anchors, broadcast_rows):
+        met = low.select(*keys, "low", F.explode(_grams(F.col("low"), sizes)).alias("gram"))
+        hits = met.join(F.broadcast(anchors), "gram").filter(holds)
+    else:
+        met = low.select(*keys, F.explode(_grams(F.col("low"), sizes)).alias("gram"))
+        pairs = may_hold(met, "gram", materialize(bloom_filter(anchors.select("gram").distinct(), "gram"), "bloom")).join(anchors, "gram")
+        hits = pairs.select(*keys, "term", "rank").join(low, list(keys)).filter(holds)
+    found = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("hits"))
+    return found.select(*keys, F.size("hits").cast("bigint").alias("n_found"), F.transform("hits", lambda h: h["term"]).alias("found"))

@@ -1,4 +1,4 @@
-"""Queries of entity spans and of models that fail."""
+"""Queries of entity spans, of models that fail, and of long term lists."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.models import model_result
 from ..functions.spans import SCORES, Recognizer, span_rules
+from ..operators import blocklist
 from ..operators.scan import Models, redact_entities, scan
 from ..policy import Policy
 from . import oracle as o
@@ -113,3 +114,47 @@ def model_on_error(spark, sf_dir):
     # the same model once more, for its error field
     error = model_result(F.col("t"), load_moody_model)["error"]
     return out.withColumn("error", error).select("doc_id", "on_error", "error", F.array_join("triggered", "|").alias("triggered"), "action")
+
+
+# --- long term lists -----------------------------------------------------------
+
+_PARTS = """SELECT lower(substr(text, CAST(1 + 11 * j AS BIGINT), CAST(1 + (doc_id + j) % 8 AS BIGINT))) AS term, min(doc_id * 10 + j) AS rank
+FROM (SELECT doc_id, text, unnest(range(0, 10)) AS j FROM documents) WHERE length(text) > 11 * j GROUP BY 1"""
+
+
+def _parts(spark, sf_dir):
+    """Pieces of one to eight characters of all documents: some 6,000 terms at sf0.01."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("j"))
+    j = F.col("j")
+    term = F.lower(F.substr("text", 1 + 11 * j, (1 + (F.col("doc_id") + j) % 8).cast("int")))
+    return rows.filter(F.length("text") > 11 * j).groupBy(term.alias("term")).agg(F.min(F.col("doc_id") * 10 + j).alias("rank"))
+
+
+@query("substring_blocklist", f"""WITH terms AS ({_PARTS}),
+h AS (SELECT conv_id, turn, term, rank FROM (SELECT conv_id, turn, lower(text) AS low FROM conversations) JOIN terms ON contains(low, term) AND term <> '')
+SELECT conv_id, turn, count(*)::BIGINT AS n_found, string_agg(term, '|' ORDER BY rank, term) AS found FROM h GROUP BY conv_id, turn""")
+def substring_blocklist(spark, sf_dir):
+    """All turns against thousands of substrings."""
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = blocklist.substring_hits(turns, ["conv_id", "turn"], _parts(spark, sf_dir))
+    return out.withColumn("found", F.array_join("found", "|"))
+
+
+_PHRASES = r"""SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\pL\pN_]+ [\pL\pN_]+'))) AS term FROM documents"""
+
+
+@query("large_blocklist_phrases", rf"""WITH RECURSIVE terms AS ({_PHRASES}),
+r AS (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(text, '[\pL\pN_]+|[^\pL\pN_]+') AS runs FROM conversations),
+p AS (SELECT id, runs, unnest(range(1, len(runs) - 1)) AS pos FROM r WHERE len(runs) >= 3),
+h AS (SELECT id, pos, runs[pos] || runs[pos + 1] || runs[pos + 2] AS span FROM p JOIN terms ON lower(runs[pos] || runs[pos + 1] || runs[pos + 2]) = term
+  WHERE regexp_matches(runs[pos], '^[\pL\pN_]')),
+n AS (SELECT id, pos, span, (SELECT min(x.pos) FROM h x WHERE x.id = h.id AND x.pos >= h.pos + 3) AS nxt FROM h),
+k AS (SELECT n.id, n.pos, n.span, n.nxt FROM n JOIN (SELECT id, min(pos) AS pos FROM h GROUP BY id) f ON f.id = n.id AND f.pos = n.pos
+  UNION ALL SELECT n.id, n.pos, n.span, n.nxt FROM k JOIN n ON n.id = k.id AND n.pos = k.nxt)
+SELECT id, 'Topic:' || array_to_string(list_sort(list_distinct(list(span))), ',') AS label, count(*)::BIGINT AS n_hits FROM k GROUP BY id""")
+def large_blocklist_phrases(spark, sf_dir):
+    """All turns against the two-word phrases of all documents, a list over the query's broadcast limit."""
+    phrases = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+ [\p{L}\p{N}_]+"), F.lit(0)))
+    terms = load(spark, sf_dir, "documents").select(phrases.alias("p")).select(F.lower("p").alias("term")).distinct()
+    turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return blocklist.blocklist_hits(turns, "id", terms, broadcast_rows=1_000).withColumn("n_hits", F.col("n_hits").cast("bigint"))
