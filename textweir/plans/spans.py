@@ -10,6 +10,7 @@ from ..functions import rules
 from ..functions.models import model_result
 from ..functions.spans import SCORES, Recognizer, span_rules
 from ..operators import blocklist
+from ..operators.intents import top_intents
 from ..operators.scan import Models, redact_entities, scan
 from ..policy import Policy
 from . import oracle as o
@@ -158,3 +159,17 @@ def large_blocklist_phrases(spark, sf_dir):
     terms = load(spark, sf_dir, "documents").select(phrases.alias("p")).select(F.lower("p").alias("term")).distinct()
     turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return blocklist.blocklist_hits(turns, "id", terms, broadcast_rows=1_000).withColumn("n_hits", F.col("n_hits").cast("bigint"))
+
+
+# --- intents as a table --------------------------------------------------------
+
+@query("semantic_top1_table", """WITH u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS intent, list_dot_product(a.v, list_reverse(b.v)) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS score
+  FROM u a, u b),
+t AS (SELECT vec_id, intent, score, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 12) DESC, intent) AS n FROM p)
+SELECT vec_id, intent, round(score, 6) AS score FROM t WHERE n = 1""")
+def semantic_top1_table(spark, sf_dir):
+    """All embeddings against an intent for each of them (its reversed vector)."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    table = vectors.select(F.col("vec_id").alias("intent"), F.reverse("embedding").alias("embedding"))
+    return top_intents(vectors, table, "vec_id").withColumn("score", F.round("score", 6))
