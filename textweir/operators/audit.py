@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +52,32 @@ def audit_counts(events: DataFrame) -> DataFrame:
                  F.grouping_id().alias("level")))
 
 
+#: Of the sketches of latencies: their size, and the error in rank of a percentile from them, merged or not.
+SKETCH_K, RANK_ERROR = 200, 0.03
+
+
+def latency_sketches(events: DataFrame, by: Sequence[str] = ("batch_id",)) -> DataFrame:
+    """One quantile sketch of the latencies for each cell of profile, source and action, and each value of ``by``.
+
+    Sketches are a few KB whatever the number of events, and those of several batches can be
+    merged, so percentiles over any span of batches need no events. Events without a latency
+    count in ``n`` only.
+    """
+    return events.groupBy(*by, "profile", "source", "action").agg(
+        F.count("*").alias("n"), F.count("latency_ms").alias("n_latency"),
+        F.kll_sketch_agg_double("latency_ms", SKETCH_K).alias("sketch"))
+
+
+def latency_percentiles(sketches: DataFrame, shares: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Percentiles for every combination of profile, source and action, with sub-totals (NULL = all), from the
+    merged sketches: ``n`` and an array ``latency_ms``, right within ``RANK_ERROR`` of the rank; NULL without a latency."""
+    merged = (sketches.cube("profile", "source", "action").agg(
+        F.sum("n").alias("n"), F.sum("n_latency").alias("__known"), F.grouping_id().alias("level"),
+        F.kll_merge_agg_double(F.when(F.col("n_latency") > 0, F.col("sketch"))).alias("__sketch")))
+    found = F.kll_sketch_get_quantile_double("__sketch", F.array(*map(F.lit, shares)))
+    return merged.select("profile", "source", "action", "level", "n", F.when(F.col("__known") > 0, found).alias("latency_ms"))
+
+
 def rule_frequency(scanned: DataFrame) -> DataFrame:
     """How often each label fired, with its detector."""
     return (scanned.select(F.explode("triggered").alias("label")).groupBy("label")

@@ -58,9 +58,11 @@ def _ngrams(runs: Column, n_words: int) -> Column:
 
 
 def blocklist_hits(df: DataFrame, key_col: str, terms: DataFrame, text_col: str = "text",
-                   term_col: str = "term", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                   term_col: str = "term", broadcast_rows: int = BROADCAST_ROWS, by: Sequence[str] = ()) -> DataFrame:
     """Texts that hold a listed term as whole words: ``(key, label, n_hits)``.
 
+    With ``by``, a term holds only for the texts that have the same values in these columns.
+
     Terms must begin and end with a word character. The texts' word n-grams are
     joined with the terms, case-insensitively; where hits overlap the leftmost
     wins and, at one start, the term listed first (``terms.rank`` if present).
@@ -69,28 +71,28 @@ def blocklist_hits(df: DataFrame, key_col: str, terms: DataFrame, text_col: str
     so that a frequent n-gram does not meet in one task.
     """
     rank = F.col("rank") if "rank" in terms.columns else F.lit(0)
-    listed = (terms.select(F.lower(term_col).alias("__term"), rank.alias("__rank"))
-              .groupBy("__term").agg(F.min("__rank").alias("__rank")))
+    listed = (terms.select(*by, F.lower(term_col).alias("__term"), rank.alias("__rank"))
+              .groupBy(*by, "__term").agg(F.min("__rank").alias("__rank")))
     # the distinct word counts of the terms: a handful of numbers
     n_words = F.size(F.regexp_extract_all(F.col("__term"), F.lit(_WORDS), F.lit(0)))
     lengths = sorted(r[0] for r in listed.select(n_words.alias("n")).distinct().collect() if r[0]) or [1]
 
     if lengths == [1]:
         words = F.regexp_extract_all(F.col(text_col), F.lit(_WORDS), F.lit(0))
-        grams = df.select(F.col(key_col).alias("__key"), F.posexplode(words).alias("pos", "span"))
+        grams = df.select(F.col(key_col).alias("__key"), *by, F.posexplode(words).alias("pos", "span"))
     else:
-        runs = df.select(F.col(key_col).alias("__key"),
+        runs = df.select(F.col(key_col).alias("__key"), *by,
                          F.regexp_extract_all(F.col(text_col), F.lit(_RUNS), F.lit(0)).alias("__runs"))
-        grams = runs.select("__key", F.inline(F.flatten(F.array(*[_ngrams(F.col("__runs"), n) for n in lengths]))))
+        grams = runs.select("__key", *by, F.inline(F.flatten(F.array(*[_ngrams(F.col("__runs"), n) for n in lengths]))))
     grams = grams.withColumn("__term", F.lower("span"))
     if small_enough(listed, broadcast_rows):
-        hits = grams.join(F.broadcast(listed), "__term")
+        hits = grams.join(F.broadcast(listed), [*by, "__term"])
     else:
         listed = materialize(listed, "terms")
         grams = may_hold(grams, "__term", materialize(bloom_filter(listed, "__term"), "bloom"))
         salted = listed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         grams = grams.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(_SALTS)).cast("int"))
-        hits = grams.join(salted, ["__term", "__salt"])
+        hits = grams.join(salted, [*by, "__term", "__salt"])
 
     n_span = F.size(F.regexp_extract_all(F.col("span"), F.lit(_WORDS), F.lit(0)))
     hits = hits.select("__key", F.struct(

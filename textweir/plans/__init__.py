@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES, QueryFn
 
-_MODULES = ("detectors", "spans", "conversations", "operations", "streams")
+_MODULES = ("detectors", "spans", "conversations", "operations", "streams", "versions")
 
 
 def _load() -> None:

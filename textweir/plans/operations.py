@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, compliance, ratelimit
 from ..operators.scan import scan
+from ..session import materialize
 from ..sources import readers, sinks
 from . import oracle as o
 from .policies import HOUSE, PII_ONLY, SHADOW
@@ -101,8 +102,8 @@ def sink_audit_jsonl(spark, sf_dir):
 @query("sink_audit_console", f"WITH {o.scan_ctes('documents', SHADOW)} SELECT doc_id, '[Audit] ' || CASE WHEN valid THEN "
        "'ALLOWED' ELSE 'BLOCKED' END || ' (SHADOW) | Rule: ' || reason || ' | Latency: n/ams' AS line FROM s")
 def sink_audit_console(spark, sf_dir):
-    """The lines go to the console through the sink, and are returned."""
-    out = _audit(spark, sf_dir, SHADOW)
+    """The lines go through the sink on the executors (which prints none of them here), and are returned."""
+    out = materialize(_audit(spark, sf_dir, SHADOW), "console")
     sinks.console_sink(lambda line: None)(out)
     return out.select("doc_id", audit.console_line().alias("line"))
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.audit import audit_events
+from ..operators.audit import audit_events, new_audit_rows
 from ..operators.ratelimit import admit, micros
 from ..operators.scan import Models, scan
 from ..policy import Policy
@@ -95,3 +95,12 @@ def audit_tumbling(events: DataFrame, time_col: str = "timestamp", window: str =
             .groupBy(F.window(time_col, window).alias("w"), "action")
             .agg(F.count(F.lit(1)).alias("n"))
             .select(F.col("w.start").alias("window_start"), "action", "n"))
+
+
+def follow_audit(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """The rows of an audit table (``schema`` with its batch_id) as a stream, with ``notice`` as in ``new_audit_rows``.
+
+    The checkpoint of the query that reads it is the mark: every row comes once, whether it was
+    there when the query first ran or came with a later batch.
+    """
+    return new_audit_rows(spark.readStream.schema(schema).parquet(path), None)
