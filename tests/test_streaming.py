@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from conftest import iter_admit
 from textweir import Policy
 from textweir.operators.corpus import sanitize_by_sentence, sanitize_sentence_rows
 from textweir.sources.readers import CHUNK_SCHEMA, read_chunk_stream
-from textweir.streaming import live, sanitize
+from textweir.streaming import live, ordered, sanitize
 
 POLICY = Policy(name="p", pii_enabled=True, pii_patterns=("EMAIL", "PHONE"), topics=("insider trading",))
 DDL = CHUNK_SCHEMA.replace("ts timestamp", "sec double")
@@ -18,6 +19,8 @@ class Feed:
 
     def __init__(self, spark, folder):
         self.spark, self.folder, self.n = spark, folder, 0
+        for name, value in ordered.ROCKSDB.items():
+            spark.conf.set(name, value)
         for name in ("in", "out"):
             (folder / name).mkdir()
 
@@ -228,3 +231,53 @@ def test_a_stream_goes_on_after_dead_letters_and_ends_with_them(feed):
     got = feed.rows()
     assert [r.seq for r in got if r.kind == "dead_letter"] == [5, 4]
     assert "".join(r.sentence + r.separator for r in got if r.kind != "dead_letter") == "c0. c1. c2. c3. "
+
+
+def test_blanks_after_a_mark_are_looked_at_once():
+    for blanks in (" ", "\n \t"):
+        start = time.perf_counter()
+        cutter = sanitize.Cutter()
+        assert cutter.feed("One.", "text") == []
+        for _ in range(320_000 // len(blanks) // 8):
+            assert cutter.feed(blanks * 8, "text") == []
+        assert len(cutter.rest()) >= 320_000 - 8 * len(blanks)
+        (body, between), = cutter.feed("x", "text")
+        assert (body, set(between)) == ("One.", set(blanks)) and cutter.rest() == "x"
+        assert time.perf_counter() - start < 1.0
+
+
+def test_parked_chunks_cost_what_is_read(spark, feed):
+    """Ten thousand parked chunks; a call that reads one more of another stream, or of this one, leaves them alone."""
+    parked = [("s", i, 0.0, f"w{i} ", False) for i in range(1, 10_001)]
+    feed.put(parked).run()
+    start = time.perf_counter()
+    feed.put([("s", 10_001, 1.0, "end. ", False)]).run()
+    assert time.perf_counter() - start < 10
+    feed.put([("s", 0, 2.0, "w0 ", False), ("s", 10_002, 2.0, "", True)]).run()
+    assert feed.text() == "".join(f"w{i} " for i in range(10_001)) + "end. "
+
+
+@pytest.mark.parametrize("path", [None, "path"])
+def test_limiter_in_order_over_micro_batches(spark, tmp_path, path):
+    """Requests that arrive up to a batch late are decided at their place; a hot client has most of them."""
+    for name, value in ordered.ROCKSDB.items():
+        spark.conf.set(name, value)
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "a", None]), i / 4 + rng.random() * 5, rng.choice(["/v1/x", "/v1/x", "/ping", None])) for i in range(400)]
+    rows += [(-1, "closing", 10_000.0, "/v1/x")]
+    schema = "id int, client string, sec double, path string"
+    for part in range(5):
+        df = spark.createDataFrame(rows[part * 100:part * 100 + 100], schema).withColumn("ts", F.timestamp_seconds("sec"))
+        df.withColumn("odd name", F.lit(1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(f"{schema}, ts timestamp, `odd name` int").parquet(f"{tmp_path}/in")
+        out = ordered.rate_limit_in_order(source, "client", "ts", "id", 5, 10, late="40 seconds", path=path, slot_seconds=3)
+        (out.withColumnRenamed("odd name", "odd").writeStream.format("parquet").option("path", f"{tmp_path}/out")
+         .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination())
+    got = {r.id: r.admitted for r in spark.read.parquet(f"{tmp_path}/out").filter("id >= 0").collect()}
+    assert len(got) == 400
+    counted = [r for r in rows[:400] if path is None or (r[3] or "").startswith("/v1/")]
+    want = {r[0]: True for r in rows[:400]}
+    for client in {r[1] for r in counted}:
+        mine = sorted((r for r in counted if r[1] == client), key=lambda r: (round(r[2] * 1e6), r[0]))
+        want |= dict(zip([r[0] for r in mine], iter_admit((round(r[2] * 1e6) for r in mine), 5, 10_000_000)))
+    assert got == want

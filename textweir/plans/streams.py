@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import sinks
 from ..sources.readers import chunk_texts, read_chunk_stream
-from ..streaming import live, sanitize
+from ..streaming import live, ordered, sanitize
 from . import oracle as o
 from .operations import LIMIT_SQL, _DAY
 from .policies import HOUSE, PII_ONLY, TOPICS_ONLY
@@ -97,6 +97,37 @@ def src_chunk_stream(spark, sf_dir):
                                         F.sum(F.length("chunk")).cast("bigint").alias("n_chars"))
 
 
+_CLIENT = "CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 50 END"
+
+
+@query("rate_limit_ordered", LIMIT_SQL.replace("event_id, user_id, epoch_us(ts) AS us", f"event_id, {_CLIENT} AS user_id, epoch_us(ts) AS us")
+       .replace("PARTITION BY user_id", f"PARTITION BY {_CLIENT}").replace("< 3", "< 20"))
+def rate_limit_ordered(spark, sf_dir):
+    """Four micro-batches, one client with a third of all requests, and requests that arrive a batch late:
+    each is decided at its place in time. The last row closes the stream."""
+    log = load(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id") % 50).alias("user_id"), F.col("ts").cast("timestamp").alias("ts"))
+    feed = work_path(spark, "ordered-feed")
+    bounds = log.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    share = (F.unix_micros("ts") - F.unix_micros(F.lit(bounds["low"]))) / (F.unix_micros(F.lit(bounds["high"])) - F.unix_micros(F.lit(bounds["low"])) + 1)
+    lag = F.when(F.col("event_id") % 10 == 0, 0.1).otherwise(0.0)  # arrives later than its time says
+    part = F.least(F.floor((share + lag) * 4), F.lit(3)).cast("int")
+    closing = spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast(log.schema["user_id"].dataType).alias("user_id"),
+                                    F.timestamp_add("DAY", F.lit(400), F.lit(bounds["high"])).alias("ts"))
+    rows = log.withColumn("part", part).unionByName(closing.withColumn("part", F.lit(4)))
+    for p in range(5):  # in this order, whatever the file times
+        rows.filter(F.col("part") == p).drop("part").write.mode("append").parquet(f"{feed}/part={p}")
+    out, state = work_path(spark, "ordered-out"), work_path(spark, "ordered-state")
+    span = (bounds["high"] - bounds["low"]).total_seconds()
+    for p in range(5):
+        # a source that has grown by one part
+        source = spark.readStream.schema(log.schema).parquet(f"{feed}/part=[0-{p}]")
+        judged = ordered.rate_limit_in_order(source, "user_id", "ts", "event_id", 20, _DAY, late=f"{int(span * 0.2)} seconds",
+                                             slot_seconds=span / 16)
+        finish(judged.writeStream.format("parquet").option("path", out), spark, "ordered", checkpoint=state)
+    return spark.read.parquet(out).filter("event_id >= 0").select("event_id", "user_id", "admitted")
+
+
 @query("rate_limit_stream", LIMIT_SQL)
 def rate_limit_stream(spark, sf_dir):
     log = stream(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))

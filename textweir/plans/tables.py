@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..session import shared_folder, work_path
+from ..streaming.ordered import ROCKSDB
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +36,25 @@ def write_out(df: DataFrame, label: str, **options: str) -> str:
     return path
 
 
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Session settings for the queries that start inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def finish(writer: DataStreamWriter, spark: SparkSession, label: str, checkpoint: str | None = None) -> None:
     """Run a stream over what its source holds now, to the end."""
     shared_folder(spark)
     checkpoint = checkpoint or work_path(spark, label + "-state")
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with settings(spark, ROCKSDB):
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
