@@ -39,10 +39,12 @@ class HashingEmbedder:
         self.dim = dim
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for row, text in enumerate(texts):
-            for word in (text or "").lower().split():
-                out[row, zlib.crc32(word.encode("utf-8")) % self.dim] += 1.0
+        words = [(text or "").lower().split() for text in texts]
+        place = {w: zlib.crc32(w.encode("utf-8")) % self.dim for w in set().union(*words)}  # distinct words once
+        sizes = [len(w) for w in words]
+        cells = np.fromiter((place[w] for ws in words for w in ws), np.int64, sum(sizes))
+        cells += np.repeat(np.arange(len(words)) * self.dim, sizes)
+        out = np.bincount(cells, minlength=len(words) * self.dim).reshape(len(words), self.dim).astype(float)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1.0, norm)
 

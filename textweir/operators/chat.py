@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.textual import coerce_text
 from ..policy import Policy
-from ..session import work_path
+from ..session import materialize, work_path
 from .scan import Models, scan
 
 #: Turns of a conversation that share a join key with its verdict.
@@ -27,44 +27,37 @@ _PIECE_CHARS = 1 << 20
 
 # --- gates ---------------------------------------------------------------------
 
-def _first_blocks(df: DataFrame, policy: Policy, models: Models) -> DataFrame:
-    """``(conv_id, blocked_turn, reason)`` of rejected conversations only.
-
-    Every role is checked as input. Only blocked turns are aggregated, and their
-    texts stay behind.
-    """
-    blocked = scan(df, policy, models=models).filter("action = 'blocked'")
-    first = blocked.groupBy("conv_id").agg(F.min(F.struct("turn", "reason")).alias("f"))
-    return first.select("conv_id", F.col("f.turn").alias("blocked_turn"),
-                        F.concat(F.lit("Blocked Input: "), F.col("f.reason")).alias("reason"))
+_BLOCK_PREFIX = "Blocked Input: "
 
 
 def gate_conversations(df: DataFrame, policy: Policy, models: Models = Models()) -> DataFrame:
-    """One row per conversation: the first block, in turn order, rejects it."""
-    lengths = df.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
-    return lengths.join(_first_blocks(df, policy, models), "conv_id", "left").select(
-        "conv_id", "n_turns", F.col("blocked_turn").isNotNull().alias("blocked"),
-        "blocked_turn", "reason")
+    """One row per conversation: the first block, in turn order, rejects it. Every role is checked as input."""
+    scanned = scan(df, policy, models=models)
+    block = F.when(F.col("action") == "blocked", F.struct("turn", "reason"))
+    facts = scanned.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.min(block).alias("f"))
+    return facts.select("conv_id", "n_turns", F.col("f").isNotNull().alias("blocked"), F.col("f.turn").alias("blocked_turn"),
+                        F.concat(F.lit(_BLOCK_PREFIX), F.col("f.reason")).alias("reason"))
 
 
 def conversation_gate(df: DataFrame, policy: Policy, models: Models = Models()) -> DataFrame:
     """All turns with their sanitized text and the verdict on their conversation.
 
-    Only rejected conversations are joined back. The join key holds a block of
-    turns besides the conversation, so a very long conversation is spread over
-    many tasks; its verdict is repeated once per block it has.
+    The turns are scanned once and stored with their verdicts. Only rejected conversations are joined back.
+    The join key holds a block of turns besides the conversation, so a very long conversation is
+    spread over many tasks; its verdict is repeated once per block it has.
     """
     block = F.floor(F.col("turn") / PART_TURNS)
-    blocks = df.select("conv_id", block.alias("__block")).distinct()
-    verdicts = blocks.join(_first_blocks(df, policy, models), "conv_id").select(
-        "conv_id", "__block", F.col("reason").alias("gate_reason"))
-    turns = scan(df, policy, models=models).withColumn("__block", block)
+    turns = materialize(scan(df, policy, models=models).select(
+        "conv_id", "turn", "role", "sanitized_text", F.when(F.col("action") == "blocked", F.col("reason")).alias("__reason"),
+        block.alias("__block")), "gate")
+    first = turns.filter("__reason is not null").groupBy("conv_id").agg(F.min(F.struct("turn", "__reason")).alias("f"))
+    rejected = first.select("conv_id", F.concat(F.lit(_BLOCK_PREFIX), F.col("f.__reason")).alias("gate_reason"))
+    blocks = turns.select("conv_id", "__block").distinct()
+    verdicts = blocks.join(rejected, "conv_id").select("conv_id", "__block", "gate_reason")
     joined = turns.join(verdicts, ["conv_id", "__block"], "left")
-    rejected = F.col("gate_reason").isNotNull()
-    return joined.select(
-        "conv_id", "turn", "role",
-        F.when(~rejected, F.col("sanitized_text")).alias("content"),
-        rejected.alias("rejected"), "gate_reason")
+    refused = F.col("gate_reason").isNotNull()
+    return joined.select("conv_id", "turn", "role", F.when(~refused, F.col("sanitized_text")).alias("content"),
+                         refused.alias("rejected"), "gate_reason")
 
 
 def last_user_message(df: DataFrame) -> DataFrame:

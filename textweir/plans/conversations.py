@@ -8,11 +8,12 @@ from ..functions.textual import request_verdict
 from ..functions.textual import log_display as display_columns
 from ..operators import chat
 from ..operators.scan import scan
+from ..sources import readers
 from . import oracle as o
 from .detectors import _MODEL_SQL, with_model
-from .policies import HOUSE, TOPICS_ONLY
+from .policies import HOUSE
 from .registry import query
-from .tables import events, load
+from .tables import events, load, work_path
 
 
 def _turns(spark, sf_dir):
@@ -58,17 +59,20 @@ def request_verdict_query(spark, sf_dir):
 
 
 @query("response_gate", f"""WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 502 ELSE 200 END AS st,
-  CASE WHEN turn % 5 = 0 THEN '' ELSE text END AS c FROM conversations),
-{o.scan_ctes('r', TOPICS_ONLY, 'c', 'false')},
+  CASE WHEN turn % 5 = 0 THEN '' WHEN conv_id % 4 = 1 THEN text || ' write to joe@example.org' ELSE text END AS c FROM conversations),
+{o.scan_ctes('r', HOUSE, 'c', 'false')},
 b AS (SELECT *, st = 200 AND c <> '' AND action = 'blocked' AS blk FROM s)
-SELECT conv_id, turn, CASE WHEN blk THEN 400 ELSE st END AS status, CASE WHEN blk THEN NULL ELSE c END AS content,
+SELECT conv_id, turn, CASE WHEN blk THEN 400 ELSE st END AS status,
+  CASE WHEN blk THEN NULL WHEN st = 200 AND c <> '' THEN sanitized_text ELSE c END AS content,
   CASE WHEN blk THEN 'security_policy_violation_output' END AS error_code,
   CASE WHEN blk THEN 'Response blocked by security guardrails: ' || reason END AS error_message FROM b""")
 def response_gate(spark, sf_dir):
+    """Answers of which some are empty, some of a failed upstream, and some hold an address that is redacted."""
+    text = F.when(F.col("conv_id") % 4 == 1, F.concat("text", F.lit(" write to joe@example.org"))).otherwise(F.col("text"))
     answers = _turns(spark, sf_dir).select(
         "conv_id", "turn", F.when(F.col("turn") % 4 == 3, F.lit(502)).otherwise(F.lit(200)).alias("status"),
-        F.when(F.col("turn") % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("content"))
-    return chat.response_gate(answers, TOPICS_ONLY)
+        F.when(F.col("turn") % 5 == 0, F.lit("")).otherwise(text).alias("content"))
+    return chat.response_gate(answers, HOUSE)
 
 
 @query("chain_result", f"WITH {_SCANNED} SELECT conv_id, turn, valid, sanitized_text, text AS original_input, "
@@ -206,6 +210,27 @@ def src_chat_requests(spark, sf_dir):
                       "temperature", F.array_join("stop", "|").alias("stop"))
 
 
+@query("src_chat_requests_odd", """WITH t AS (SELECT conv_id, turn, role, text FROM conversations),
+one AS (SELECT conv_id, 0 AS copy, turn, role, text, false AS corrupt FROM t WHERE conv_id % 7 < 5
+  UNION ALL SELECT conv_id, 1, turn, role, text, false FROM t WHERE conv_id % 7 = 2
+  UNION ALL SELECT DISTINCT conv_id, 0, NULL::BIGINT, NULL, NULL, conv_id % 7 = 6 FROM t WHERE conv_id % 7 >= 5)
+SELECT CASE WHEN corrupt THEN NULL ELSE 'm' || conv_id END AS model, turn, role, text, corrupt, count(*)::BIGINT AS n FROM one GROUP BY ALL""")
+def src_chat_requests_odd(spark, sf_dir):
+    """Files of requests with several turns, equal ones, empty ones and broken ones."""
+    turns = _turns(spark, sf_dir)
+    message = F.struct("turn", "role", F.col("text").alias("content"))
+    held = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("m"))  # as in one request
+    listed = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    kind = F.col("conv_id") % 7
+    whole = F.to_json(F.struct(F.concat(F.lit("m"), "conv_id").alias("model"), listed.alias("messages")))
+    empty = F.concat(F.lit('{"model":"m'), F.col("conv_id").cast("string"), F.lit('","messages":[]}'))
+    line = F.when(kind < 5, whole).when(kind == 5, empty).otherwise(F.substr(whole, F.lit(1), F.lit(40)))
+    path = work_path(spark, "request-lines")
+    held.select(F.explode(F.array_repeat(line, F.when(kind == 2, 2).otherwise(1))).alias("value")).write.text(path)
+    out = readers.read_chat_requests(spark, path)
+    return out.groupBy("model", F.col("turn").cast("bigint").alias("turn"), "role", "text", "corrupt").agg(F.count("*").alias("n"))
+
+
 @query("gateway_requests", f"""WITH l AS ({_LAST}), {o.scan_ctes('l', HOUSE, 'input_text')}
 SELECT conv_id, CASE WHEN action = 'blocked' THEN NULL ELSE sanitized_text END AS prompt,
   CASE WHEN action = 'blocked' THEN 400 ELSE 200 END AS status, action FROM s""")

@@ -14,6 +14,7 @@ from ..functions.verdict import package_verdict
 from ..operators import audit, blocklist, chat, corpus
 from ..operators.scan import (Models, legacy_gateway_validate, pii_guard, redact, scan,
                               validate_input, validate_output)
+from ..operators.wordmodel import fit_word_odds, score_words
 from ..policy import Policy, load_policy
 from . import oracle as o
 from .policies import COMPETITORS, HOUSE, KEYWORDS, PII_ONLY, SECRETS, SHADOW, TOPICS_ONLY, WORDS
@@ -275,21 +276,28 @@ def model_score(spark, sf_dir):
     return out.select("doc_id", _joined(), "action")
 
 
-@query("toxicity_model")
-def toxicity_model(spark, sf_dir):
-    """A fitted pipeline as the scoring model (no SQL counterpart)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, Tokenizer
-    from pyspark.ml.functions import vector_to_array
+_ODDS_SQL = """train AS (SELECT text AS t, toxic AS y FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND toxic IS NOT NULL),
+f AS (SELECT sum(y) AS ones, count(*) AS n FROM train),
+w AS (SELECT word, sum(y) AS ones, count(*) AS n FROM (SELECT y, unnest(list_distinct(regexp_extract_all(lower(t), '[a-z]+'))) AS word FROM train)
+  GROUP BY word HAVING count(*) >= 3),
+odds AS (SELECT word, ln((w.ones + 1) / (f.ones + 2.0::DOUBLE)) - ln((w.n - w.ones + 1) / (f.n - f.ones + 2.0::DOUBLE)) AS weight FROM w, f),
+d AS (SELECT doc_id, CASE WHEN doc_id % 17 = 4 THEN NULL ELSE text END AS text FROM documents),
+k AS (SELECT doc_id, avg(weight) * 8.0 AS z FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM d)
+  JOIN odds USING (word) GROUP BY doc_id),
+p AS (SELECT d.doc_id, text, CASE WHEN text IS NOT NULL THEN 1.0 / (1.0 + exp(-(coalesce(z, 0.0) + ln((f.ones + 1.0::DOUBLE) / (f.n - f.ones + 1.0))))) END AS score
+  FROM f, d LEFT JOIN k ON k.doc_id = d.doc_id)"""
+
 
+@query("toxicity_model", f"""WITH {_ODDS_SQL} SELECT doc_id, round(score, 4) AS score,
+  CASE WHEN score > 0.5 THEN 'Plugin:LangKit: Toxicity detected (' || printf('%.2f', score) || ')' ELSE '' END AS triggered,
+  CASE WHEN score > 0.5 THEN 'blocked' ELSE 'allowed' END AS action FROM p""")
+def toxicity_model(spark, sf_dir):
+    """A model fitted on the labels, in closed form, as the scoring model; some texts are NULL."""
+    labels = load(spark, sf_dir, "labels")
     docs = _docs(spark, sf_dir)
-    train = docs.join(load(spark, sf_dir, "labels"), "doc_id").select("text", F.col("toxic").alias("label"))
-    model = Pipeline(stages=[
-        Tokenizer(inputCol="text", outputCol="words"),
-        HashingTF(inputCol="words", outputCol="features", numFeatures=4096),
-        LogisticRegression(maxIter=5, regParam=0.1)]).fit(train)
-    scored = model.transform(docs).select("doc_id", "text", vector_to_array("probability")[1].alias("score"))
+    odds, bias = fit_word_odds(docs.join(labels, "doc_id"), "toxic")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 17 != 4, F.col("text")))
+    scored = docs.join(score_words(docs, "doc_id", odds, bias), "doc_id")
     policy = Policy(name="Fitted", toxicity_enabled=True, toxicity_threshold=0.5)
     out = scan(scored, policy, models=Models(score=lambda text: F.col("score")))
     return out.select("doc_id", F.round("score", 4).alias("score"), _joined(), "action")
@@ -328,13 +336,44 @@ def semantic_top1_native(spark, sf_dir):
     return _top1(vecs, similarity.native_best_intent(F.col("embedding"), _label_intents(spark, sf_dir)))
 
 
-@query("semantic_scan")
+_SEMANTIC = dataclasses.replace(HOUSE, semantic_enabled=True, semantic_threshold=0.05, external_enabled=False,
+                                forbidden_intents=("that of the", "token in the license"))
+
+
+def _crc32(word: str) -> str:
+    """crc32 of a string: a byte is taken in, then eight bits go out (-1)."""
+    octets = f"list_transform(range(1, CAST(length(hex(encode({word}))) AS BIGINT), 2), lambda i: CAST('0x' || substr(hex(encode({word})), i, 2) AS BIGINT))"
+    return f"""xor(list_reduce(list_prepend(4294967295, flatten(list_transform({octets}, lambda x: [x, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"""
+
+
+def _semantic_sql() -> str:
+    pii = dataclasses.replace(Policy(), pii_enabled=True, pii_patterns=HOUSE.pii_patterns)
+    intents = ", ".join(f"({i}, {o.quote(t)})" for i, t in enumerate(_SEMANTIC.effective_intents))
+    label = ("CASE WHEN best_score > 0.05 THEN 'Semantic:Intent violation (matched ' || chr(39) || intent || chr(39) || ', score ' "
+             "|| printf('%.2f', best_score) || ')' END")
+    # the embedder sees the redacted text
+    return f"""WITH i(rank, intent) AS (VALUES {intents}), {o.scan_ctes('conversations', pii, name='r')},
+x AS (SELECT 'i' || rank AS id, intent AS t FROM i UNION ALL SELECT conv_id || '-' || turn, sanitized_text FROM r),
+word AS (SELECT id, unnest(regexp_extract_all(lower(t), '\\S+')) AS w FROM x),
+place AS (SELECT w, {_crc32('w')} % 256 AS b FROM (SELECT DISTINCT w FROM word)),
+v AS (SELECT id, b, count(*)::DOUBLE AS n FROM word JOIN place USING (w) GROUP BY id, b),
+len AS (SELECT id, sqrt(sum(n * n)) AS l FROM v GROUP BY id),
+dot AS (SELECT a.id, i.rank, i.intent, sum(a.n * c.n) AS s FROM v a JOIN v c ON a.b = c.b JOIN i ON c.id = 'i' || i.rank GROUP BY ALL),
+cosine AS (SELECT dot.id, dot.rank, dot.intent, s / (p.l * q.l) AS score FROM dot JOIN len p ON p.id = dot.id JOIN len q ON q.id = 'i' || dot.rank),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 12) DESC, rank) AS k FROM cosine),
+turns AS (SELECT conversations.*, coalesce(score, 0.0) AS best_score, intent FROM conversations LEFT JOIN best ON id = conv_id || '-' || turn AND k = 1),
+{o.scan_ctes('turns', _SEMANTIC, extra=[label])}
+SELECT conv_id, turn, round(best_score, 6) AS semantic_score, regexp_replace(triggered, ', score [0-9.]+', '') AS triggered, action FROM s"""
+
+
+@query("semantic_scan", _semantic_sql())
 def semantic_scan(spark, sf_dir):
-    """Texts against intents through a text embedder (no SQL counterpart)."""
-    policy = dataclasses.replace(HOUSE, semantic_enabled=True, semantic_threshold=0.05,
-                                 forbidden_intents=("that of the", "token in the license"))
-    out = scan(_turns(spark, sf_dir), policy, models=Models(embedder=similarity.HashingEmbedder))
-    return out.select("conv_id", "turn", F.round("semantic_score", 6).alias("semantic_score"), _joined(), "action")
+    """Texts against intents through a text embedder."""
+    out = scan(_turns(spark, sf_dir), _SEMANTIC, models=Models(embedder=similarity.HashingEmbedder))
+    # the score in the label is compared as a number, not in its two rounded digits
+    label = F.regexp_replace(F.array_join("triggered", "|"), ", score [0-9.]+", "").alias("triggered")
+    return out.select("conv_id", "turn", F.round("semantic_score", 6).alias("semantic_score"), label, "action")
 
 
 # --- scan and verdicts ---------------------------------------------------------

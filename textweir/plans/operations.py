@@ -206,21 +206,23 @@ def new_audit_rows(spark, sf_dir):
 
 # --- compliance ----------------------------------------------------------------
 
-_CORPUS = """corpus AS (SELECT doc_id, text AS prompt, CASE WHEN toxic = 1 THEN 'blocked' WHEN quality = 0
+# every thirteenth prompt is blank, and every eleventh meets a failing upstream
+_CORPUS = """corpus AS (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN text END AS prompt, CASE WHEN toxic = 1 THEN 'blocked' WHEN quality = 0
   THEN 'redacted_or_blocked' ELSE 'passed' END AS expected FROM documents JOIN labels USING (doc_id))"""
 _DETAILS = f"""WITH {_CORPUS}, {o.scan_ctes('corpus', HOUSE, 'prompt')},
-d AS (SELECT doc_id, prompt, expected, reason, action, CASE WHEN action = 'blocked' THEN 400 ELSE 200 END AS http_code,
-  CASE WHEN action = 'blocked' THEN 'blocked' ELSE 'passed' END AS status,
-  CASE expected WHEN 'redacted_or_blocked' THEN action IN ('redacted', 'blocked') WHEN 'passed' THEN action <> 'blocked'
-    ELSE action = 'blocked' END AS met FROM s)"""
+d AS (SELECT doc_id, prompt, expected, reason, CASE WHEN prompt IS NOT NULL THEN action END AS action,
+  CASE WHEN prompt IS NULL THEN NULL WHEN action = 'blocked' THEN 400 WHEN doc_id % 11 = 0 THEN 502 ELSE 200 END AS http_code,
+  CASE WHEN prompt IS NULL THEN NULL WHEN action = 'blocked' THEN 'blocked' WHEN doc_id % 11 = 0 THEN 'error' ELSE 'passed' END AS status,
+  CASE WHEN prompt IS NOT NULL THEN (CASE expected WHEN 'redacted_or_blocked' THEN action IN ('redacted', 'blocked') WHEN 'passed' THEN action <> 'blocked'
+    ELSE action = 'blocked' END) AND (action = 'blocked' OR doc_id % 11 <> 0) END AS met FROM s)"""
 
 
 def _details(spark, sf_dir):
     expected = (F.when(F.col("toxic") == 1, "blocked").when(F.col("quality") == 0, "redacted_or_blocked")
                 .otherwise("passed"))
     corpus = _docs(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id").select(
-        "doc_id", F.col("text").alias("prompt"), expected.alias("expected"))
-    return compliance.run_corpus(corpus, HOUSE)
+        "doc_id", F.when(F.col("doc_id") % 13 != 0, F.col("text")).alias("prompt"), expected.alias("expected"))
+    return compliance.run_corpus(corpus, HOUSE, upstream=F.when(F.col("doc_id") % 11 == 0, 502).otherwise(200))
 
 
 @query("compliance_status", f"{_DETAILS} SELECT doc_id, expected, status, http_code, action, met FROM d")
@@ -240,13 +242,13 @@ def compliance_summary(spark, sf_dir):
 
 
 @query("compliance_confusion", f"{_DETAILS} SELECT expected, action AS actual, count(*)::BIGINT AS n, "
-       "count(*) FILTER (met)::BIGINT AS n_met FROM d GROUP BY 1, 2")
+       "count(*) FILTER (met)::BIGINT AS n_met FROM d WHERE status IS NOT NULL GROUP BY 1, 2")
 def compliance_confusion(spark, sf_dir):
     return compliance.compliance_confusion(_details(spark, sf_dir))
 
 
 @query("sink_compliance_report", f"{_DETAILS} SELECT doc_id, status, http_code, prompt_preview FROM (SELECT *, CASE WHEN "
-       "length(prompt) > 50 THEN substr(prompt, 1, 50) || '...' ELSE prompt END AS prompt_preview FROM d)")
+       "length(prompt) > 50 THEN substr(prompt, 1, 50) || '...' ELSE prompt END AS prompt_preview FROM d WHERE status IS NOT NULL)")
 def sink_compliance_report(spark, sf_dir):
     path = work_path(spark, "report")
     sinks.compliance_report_sink(path, keys=("doc_id",))(_details(spark, sf_dir))
@@ -254,6 +256,15 @@ def sink_compliance_report(spark, sf_dir):
     return stored.json(f"{path}/details")
 
 
+@query("sink_compliance_summary", f"{_DETAILS} SELECT {_SUMMARY} FROM d")
+def sink_compliance_summary(spark, sf_dir):
+    """The summary of a written report, read back."""
+    path = work_path(spark, "report")
+    sinks.compliance_report_sink(path, keys=("doc_id",))(_details(spark, sf_dir))
+    stored = spark.read.schema("total bigint, blocked bigint, passed bigint, errors bigint, compliance_rate double").json(f"{path}/summary")
+    return stored.withColumn("compliance_rate", F.round("compliance_rate", 6))
+
+
 # --- sources -------------------------------------------------------------------
 
 @query("src_attack_csv", "SELECT text AS prompt, CASE WHEN role = 'user' THEN 'passed' ELSE 'blocked' END AS expected "
@@ -272,10 +283,10 @@ def src_attack_csv(spark, sf_dir):
 
 @query("src_text_files", "SELECT item_id, text FROM benchmark")
 def src_text_files(spark, sf_dir):
-    """Sixteen files of benchmark texts, read back whole and cut at their marks."""
+    """Files of forty benchmark texts each, read back whole and cut at their marks."""
     path, mark = work_path(spark, "texts"), chr(1)
     rows = load(spark, sf_dir, "benchmark").select(F.concat_ws(mark, "item_id", "text").alias("value"))
-    rows.repartition(16).write.option("lineSep", chr(2)).text(path)
+    rows.write.option("lineSep", chr(2)).option("maxRecordsPerFile", 40).text(path)  # the files follow the rows
     files = readers.read_text_files(spark, path)
     rows = files.select(F.explode(F.split("text", chr(2))).alias("r")).filter("r <> ''")
     return rows.select(F.substring_index("r", mark, 1).cast("bigint").alias("item_id"),

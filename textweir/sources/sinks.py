@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.audit import console_line
 from ..operators.compliance import compliance_summary, report_details
+from ..session import materialize
 
 Sink = Callable[..., None]
 
@@ -76,15 +77,14 @@ def result_json_sink(path: str) -> Sink:
 
 
 def compliance_report_sink(path: str, keys: tuple[str, ...] = ()) -> Sink:
-    """``summary`` (one row) and ``details`` (a row per prompt) below ``path``.
+    """``summary`` (one row) and ``details`` (a row per prompt that was sent) below ``path``.
 
-    The prompts are scanned once: the summary counts the details as written.
+    The prompts are scanned once: verdicts are stored, and both parts are written from them.
     """
     def write(details: DataFrame, batch_id: int | None = None) -> None:
         folder = path if batch_id is None else f"{path}/batch_id={batch_id}"
-        rows = report_details(details, keys=keys)
-        rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/details")
-        written = details.sparkSession.read.schema(rows.schema).json(f"{folder}/details")
-        (compliance_summary(written).withColumn("timestamp", F.current_timestamp())
+        stored = materialize(details, "report")
+        report_details(stored, keys=keys).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/details")
+        (compliance_summary(stored).withColumn("timestamp", F.current_timestamp())
          .write.mode("overwrite").json(f"{folder}/summary"))
     return write
