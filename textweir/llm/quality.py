@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashed import byte_features, sigmoid
-from .shared import saved
+from .shared import saved, training_sample
 from .wordscan import slices
 
 BUCKETS = 1 << 16
 #: Documents that the scorer is fitted on, at most: those with the smallest hash of their id.
 TRAINING_ROWS = 6_000
+#: Characters of all these together, at most: their features go to the driver.
+TRAINING_CHARS = 64_000_000
 #: Probability of "good" from which a document is kept.
 KEEP = 0.5
 
@@ -197,9 +199,13 @@ def _scoring(scorer: Scorer):
     return run
 
 
-def classify(docs: DataFrame, training_rows: int = TRAINING_ROWS, keep: float = KEEP) -> DataFrame:
+def classify(docs: DataFrame, training_rows: int = TRAINING_ROWS, keep: float = KEEP,
+             training_chars: int = TRAINING_CHARS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, posterior, score, kept.
 
+    Texts are measured once and stored with their votes. The scorer is fitted on at most ``training_rows``
+    documents of at most ``training_chars`` characters in all, everything else covers all documents.
+
     ``posterior`` is the label model's probability of good from the votes, ``score`` the linear
     scorer's. Null and empty texts get no votes, so their posterior is the prior's; texts
     without words have no measures. Repeated rows and rows without a doc_id are scored each,
@@ -208,7 +214,7 @@ def classify(docs: DataFrame, training_rows: int = TRAINING_ROWS, keep: float =
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = [x.name for x in LABELLERS]
     shares = [x.share for x in LABELLERS]
-    voted = measured(docs).select("doc_id", "text", *shares, *(vote(x) for x in LABELLERS))
+    voted = saved(measured(docs).select("doc_id", "text", *shares, *(vote(x) for x in LABELLERS)), "votes")
     patterns = voted.groupBy(*names).count().collect()  # at most 3 ** len(LABELLERS) rows
     votes = np.array([[r[n] for n in names] for r in patterns], np.int64).reshape(len(patterns), len(names))
     model = fit_votes(votes, np.array([r["count"] for r in patterns], float))
@@ -218,10 +224,8 @@ def classify(docs: DataFrame, training_rows: int = TRAINING_ROWS, keep: float =
         gain = [float(logs[j, 1, k] - logs[j, 0, k]) for k in (0, 1, 2)]
         odds = odds + F.when(F.col(name) == 0, gain[0]).when(F.col(name) == 1, gain[1]).otherwise(gain[2])
     labelled = voted.withColumn("posterior", 1 / (1 + F.exp(-odds))).select("doc_id", "text", "posterior", *shares)
-    chosen = docs.filter("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(training_rows)
-    chosen = saved(chosen, "training")
-    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "posterior", *shares)
-    rows = sample.mapInArrow(_rows, "posterior double, ids array<int>, counts array<int>, steps array<int>").toArrow()
+    rows = training_sample(labelled, training_rows, training_chars).select("text", "posterior", *shares).mapInArrow(
+        _rows, "posterior double, ids array<int>, counts array<int>, steps array<int>").toArrow()
     scorer = fit_scorer(rows)
     return (labelled.mapInArrow(_scoring(scorer), "doc_id bigint, posterior double, score double")
             .withColumn("kept", F.col("score") >= keep))

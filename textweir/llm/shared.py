@@ -55,6 +55,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def training_sample(docs: DataFrame, rows: int, chars: int) -> DataFrame:
+    """One row of ``docs`` (doc_id, text, and any other columns) for each of at most ``rows`` documents with at most
+    ``chars`` characters in all.
+
+    Documents come in the order of the hash of their doc_id until either bound is reached; of rows that share
+    a doc_id the one with the smallest hash of its text stands for it. Rows without a doc_id are not taken.
+    """
+    hashed = docs.filter("doc_id is not null").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    facts = hashed.groupBy("doc_id").agg(F.min("text_hash").alias("h"), F.max(F.coalesce(F.char_length("text"), F.lit(0))).alias("n"))
+    chosen, left = [], chars
+    for r in facts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect():
+        left -= r["n"]
+        if left < 0:
+            break
+        chosen.append((r["doc_id"], r["h"]))
+    picked = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, text_hash bigint")  # bounded by ``rows``
+    return hashed.join(F.broadcast(picked), ["doc_id", "text_hash"]).dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
 def fold_case(text: Column) -> Column:
     """A-Z in lower case; every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
