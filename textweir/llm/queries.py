@@ -195,7 +195,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return made.select("doc_id", *(F.round(c, 6).alias(c) for c in (*toxicity.SEEDS, "toxic")), "rejected")
+    return made.select("doc_id", *(F.round(c, 6).alias(c) for c in ("kind_1", "kind_2", "toxic")), "rejected")
 
 
 PIECE_MODEL = "piece_bpe_32k.model"

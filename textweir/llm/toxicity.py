@@ -15,16 +15,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashed import fit_logistic, frequent_bucket, marks, sigmoid, word_features
-from .shared import drop_saved, saved
+from .shared import drop_saved, saved, training_sample
 from .wordscan import slices
 
 BUCKETS = 1 << 22
 #: Labelled rows that the models are fitted on, at most: those with the smallest hash of their id.
 TRAINING_ROWS = 8_000
+#: Characters of all these together, at most.
+TRAINING_CHARS = 128_000_000
 #: Features kept: chi-square with a category of at least ``SCREEN``, and at least 3 rows that have them.
 FEATURES, SCREEN, LEAST_ROWS = 1_024, 30.0, 3
 FOLDS = 3
@@ -62,10 +64,11 @@ def _tallies(categories: Sequence[str]):
         for batch in batches:
             lists = batch.column("features")
             ids, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            table[:, 0] += np.bincount(ids, minlength=BUCKETS).astype(np.int32)
-            for c, name in enumerate(categories, 1):
-                marked = np.repeat(batch.column(name).to_numpy(zero_copy_only=False).astype(bool), sizes)
-                table[:, c] += np.bincount(ids[marked], minlength=BUCKETS).astype(np.int32)
+            kinds = [np.ones(len(ids), bool)] + [
+                np.repeat(batch.column(name).to_numpy(zero_copy_only=False).astype(bool), sizes) for name in categories]
+            for c, marked in enumerate(kinds):
+                bucket, n = np.unique(ids[marked], return_counts=True)
+                table[bucket, c] += n.astype(np.int32)
         seen = np.flatnonzero(table[:, 0])
         for low in range(0, len(seen), 50_000):
             part = seen[low:low + 50_000]
@@ -85,32 +88,61 @@ def _present(ids: np.ndarray, of: np.ndarray, rows: int, kept: np.ndarray) -> np
     return out
 
 
-def fit(rows: DataFrame, categories: Sequence[str], key: str = "doc_id") -> Chain:
+def _screened(made: DataFrame, categories: Sequence[str]) -> tuple[DataFrame, int]:
+    """``(bucket, chi)`` of the features that at least ``LEAST_ROWS`` rows have, and the number of rows; ``chi`` is the largest chi-square
+    with a category that has the feature more often than the other rows."""
+    facts = made.agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("int")).alias(c) for c in categories)).first()
+    total = facts["n"]
+    tallies = (made.mapInArrow(_tallies(categories), "bucket int, n bigint, " + ", ".join(f"{c} bigint" for c in categories))
+               .groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n", *categories))).filter(F.col("n") >= LEAST_ROWS))
+    squares = []
+    for c in categories if total else ():
+        k = facts[c]
+        gap = F.col(c) * float(total) - F.col("n") * float(k)
+        spread = F.col("n") * (float(total) - F.col("n")) * float(k) * float(total - k)
+        squares.append(F.when((spread > 0) & (gap > 0), gap * gap * float(total) / spread).otherwise(0.0))
+    return tallies.select("bucket", F.greatest(*squares, F.lit(0.0), F.lit(0.0)).alias("chi")), total
+
+
+def _strongest(made: DataFrame, categories: Sequence[str], most: int) -> list[int]:
+    """The buckets of the ``most`` strongest features past the screen."""
+    tallies, total = _screened(made, categories)
+    if not total:
+        return []
+    return [r["bucket"] for r in tallies.filter(F.col("chi") >= SCREEN).orderBy(F.desc("chi"), "bucket").limit(most).collect()]
+
+
+def fit(rows: DataFrame, categories: Sequence[str], key: str = "doc_id", narrower: int = 0) -> Chain:
     """A chain from ``rows`` (``key``, text and a 0/1 column for each category), in the given order.
 
     Rows with a null category are not used. Without any row every probability is 1/2 or less.
+
+    With ``narrower``, so many categories go before: ``kind_1`` are the rows of the last category that have the
+    feature that tells it best, ``kind_2`` those of the rest that have the feature that tells the rest best, and so
+    on. They are learned like any other, and their probabilities are features of what follows.
     """
     categories = tuple(categories)
     sample = (rows.select(F.col(key).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                           *(F.col(c).cast("boolean").alias(c) for c in categories)).dropna(subset=list(categories))
               .withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(FOLDS)).cast("int")))
-    marks = ", ".join(f"{c} boolean" for c in categories)
-    made = saved(sample.mapInArrow(_features(categories), f"fold int, {marks}, features array<int>"), "features")
-    facts = made.agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("int")).alias(c) for c in categories)).first()
-    total = facts["n"]
+    flags = ", ".join(f"{c} boolean" for c in categories)
+    made = stored = saved(sample.mapInArrow(_features(categories), f"fold int, {flags}, features array<int>"), "features")
+    left, last = made, categories[-1]
+    kinds: dict[str, Column] = {}
+    rest = F.col(last)
+    for i in range(1, narrower + 1):
+        best = _strongest(left, [last], 1)
+        tells = F.array_contains("features", F.lit(best[0])) if best else F.lit(False)
+        kinds[f"kind_{i}"] = rest & tells
+        rest = rest & ~tells
+        left = left.filter(~(F.col(last) & tells))
+    made = made.withColumns(kinds) if kinds else made
+    categories = (*kinds, *categories)
+    total = made.count()
     if not total:
+        drop_saved(stored)
         return Chain(categories, np.zeros(0, np.int64), [np.full(c + 1, -1.0) for c in range(len(categories))])
-    tallies = (made.mapInArrow(_tallies(categories), "bucket int, n bigint, " + ", ".join(f"{c} bigint" for c in categories))
-               .groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n", *categories))).filter(F.col("n") >= LEAST_ROWS))
-    squares = []
-    for c in categories:
-        k = facts[c]
-        gap = F.col(c) * float(total) - F.col("n") * float(k)
-        spread = F.col("n") * (float(total) - F.col("n")) * float(k) * float(total - k)
-        squares.append(F.when((spread > 0) & (gap > 0), gap * gap * float(total) / spread).otherwise(0.0))
-    chi = F.greatest(*squares, F.lit(0.0)).alias("chi")
-    best = tallies.select("bucket", chi).filter(F.col("chi") >= SCREEN).orderBy(F.desc("chi"), "bucket").limit(FEATURES)
-    kept = np.array(sorted(r["bucket"] for r in best.collect()), np.int64)
+    kept = np.array(sorted(_strongest(made, categories, FEATURES)), np.int64)
     # the training rows as their kept features: a bounded number of short lists
     short = made.select("fold", *categories, F.array_intersect("features", F.lit(kept.tolist()).cast("array<int>")).alias("f"))
     got = short.toArrow()
@@ -129,7 +161,7 @@ def fit(rows: DataFrame, categories: Sequence[str], key: str = "doc_id") -> Chai
             apart[fold == f] = sigmoid(inputs[fold == f] @ w[:-1] + w[-1])
         weights.append(fit_logistic(inputs, y))
         earlier = np.concatenate((earlier, apart[:, None].astype(np.float32)), axis=1)
-    drop_saved(made)
+    drop_saved(stored)
     return Chain(categories, kept, weights)
 
 
@@ -167,26 +199,19 @@ def score(docs: DataFrame, chain: Chain, keep: Sequence[str] = ()) -> DataFrame:
     return docs.mapInArrow(_scorer(chain, names), f"{kinds}, evidence int, " + ", ".join(f"{c} double" for c in chain.categories))
 
 
-#: Words that tell categories apart among rows labelled toxic.
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid"),
-    "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting"),
-}
+#: Categories narrower than ``toxic``, derived from the labelled rows.
+NARROWER = 2
 #: Probability of the last category from which a document is rejected.
 REJECT = 0.5
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """Rows for ``fit`` from ``labels`` (doc_id, toxic): at most ``rows`` documents, chosen by the hash of their id.
-
-    The narrower categories hold for toxic documents with one of their seed words.
-    """
-    chosen = (labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, chars: int = TRAINING_CHARS) -> DataFrame:
+    """Rows for ``fit`` from ``labels`` (doc_id, toxic): one row for each of at most ``rows`` documents of at most ``chars``
+    characters in all, chosen by the hash of their id; a document with several labels is toxic if one says so."""
+    marked = (labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id")
               .agg((F.max("toxic") > 0).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # bounded by ``rows``
-    folded = F.lower("text")
-    return texts.select("doc_id", "text", "toxic", *(
-        (F.col("toxic") & folded.rlike(r"\b(" + "|".join(words) + r")\b")).alias(name) for name, words in SEEDS.items()))
+    texts = docs.select("doc_id", "text").join(F.broadcast(saved(marked, "labels")), "doc_id")  # bounded by ``rows``
+    return training_sample(texts, rows, chars)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, texts: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -195,5 +220,5 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, texts: DataFrame | None
     A document without any feature of the chain shows no sign of toxicity and is never rejected,
     however frequent toxic rows were in training.
     """
-    chain = fit(training_rows(docs if texts is None else texts, labels), (*SEEDS, "toxic"))
+    chain = fit(training_rows(docs if texts is None else texts, labels), ("toxic",), narrower=NARROWER)
     return score(docs, chain, keep).withColumn("rejected", (F.col("evidence") > 0) & (F.col("toxic") >= REJECT))
