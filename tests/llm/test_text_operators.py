@@ -452,3 +452,26 @@ def test_near_duplicates_from_a_given_similarity(spark):
     for percent, kept in ((80, [True, False]), (85, [True, True])):
         assert [r.kept for r in neardup.near_duplicates(df, percent).orderBy("doc_id").collect()] == kept
     assert [r.kept for r in neardup.near_duplicates(df, 80, 48).orderBy("doc_id").collect()] == [True, False]
+
+
+# --- signatures
+
+
+def test_signatures_drop_no_link_and_pairs_meet_once(spark):
+    import math
+
+    t = neardup.least_agreement(85, 252)
+    below = sum(math.comb(252, k) * 0.85 ** k * 0.15 ** (252 - k) for k in range(t))
+    assert below <= neardup.LOSS < below + math.comb(252, t) * 0.85 ** t * 0.15 ** (252 - t)
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(160)]
+    texts = []
+    for _ in range(400):  # many texts around the threshold in shared buckets
+        words = list(template)
+        for _ in range(rng.choice([1, 2, 3, 4, 5])):
+            at = rng.randrange(0, 150)
+            words[at:at + 2] = [f"u{rng.random()}"]
+        texts.append(" ".join(words))
+    want = linked(texts)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(400)] == want

@@ -1,19 +1,22 @@
-"""MinHash near-duplicates: universal hash minima, banding, exact confirmation, star contraction.
+"""MinHash near-duplicates: universal hash minima, banding, signature and exact confirmation, star contraction.
 
 How no group lands in one task and none is left out:
 
 * Documents of equal shingle sets are one class (a partial aggregation), so copies are never paired.
-* Classes that share a band are linked to the smallest one of the bucket first; links are
-  confirmed on whole sets. That joins most groups by as many pairs as they have members.
-* Buckets that still hold classes of different components are then compared exactly, member
+* Classes that share a band are linked to the smallest one of the bucket first. That joins most
+  groups by as many pairs as they have members.
+* Buckets that still hold classes of different components are then compared member
   against member, in blocks of at most ``BLOCK`` classes a task; a bucket of more is split
   into pairs of blocks. Each task returns a spanning forest of its links, not its pairs.
+* A pair is dropped if its signatures agree in fewer minima than a linked pair's would (but for one in a
+  million), and is compared in the first band that it shares only. What is left is confirmed on whole sets.
 * Components come from alternating large-star and small-star over checkpointed edges.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,8 @@ SHINGLE = 5
 PERCENT = 85
 #: 36 bands of 7 minima: a pair at 0.85 shares none with probability 9e-7, one at 0.80 with 2e-4, and pairs above with less.
 BANDS, ROWS = 36, 7
+#: Probability with which signatures may drop a pair that just links.
+LOSS = 1e-6
 #: Classes compared in one task of an unresolved bucket; larger buckets are split into block pairs.
 BLOCK = 256
 
@@ -108,13 +113,30 @@ def _digest(grams: bytes) -> bytes | None:
     return hashlib.blake2b(grams, digest_size=16).digest() if grams else None
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def least_agreement(percent: int, minima: int, loss: float = LOSS) -> int:
+    """The largest number of equal minima that a pair at ``percent`` falls short of with at most ``loss``."""
+    p, total, k = percent / 100, 0.0, 0
+    while k < minima:
+        total += math.comb(minima, k) * p ** k * (1 - p) ** (minima - k)
+        if total > loss:
+            break
+        k += 1
+    return k
+
+
+def _whole_sets(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
+    """The sets of texts whose digest is the chosen one, and their signatures."""
+    factor, term = _hash_family(bands * ROWS)
     for whole in batches:
         for batch in slices(whole, "text"):
-            sets = [s.tobytes() for s in _sets(Words(batch.column("text"), NON_SPACE))]
-            same = [_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())],
-                                             names=["node", "set"]).filter(pa.array(same, pa.bool_()))
+            sets = list(_sets(Words(batch.column("text"), NON_SPACE)))
+            same = [i for i, (s, d) in enumerate(zip(sets, batch.column("digest").to_pylist())) if len(s) and _digest(s.tobytes()) == d]
+            if same:
+                kept = [sets[i] for i in same]
+                minima = _minima(kept, factor, term)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(same)), pa.array([s.tobytes() for s in kept], pa.binary()),
+                     pa.array([m.tobytes() for m in minima], pa.binary())], names=["node", "set", "sig"])
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -122,12 +144,45 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirmed(a: pd.Series, b: pd.Series, percent: int) -> pd.Series:
-    return pd.Series([_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b)], dtype=bool)
+def _signatures(sigs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), -1) if len(sigs) else np.zeros((0, 0), np.uint32)
+
+
+def _confirmed(a: pd.Series, b: pd.Series, sig_a: pd.Series, sig_b: pd.Series, percent: int) -> pd.Series:
+    left, right = _signatures(sig_a), _signatures(sig_b)
+    out = (left == right).sum(axis=1) >= least_agreement(percent, left.shape[1])
+    for i in np.flatnonzero(out).tolist():
+        out[i] = _alike(np.frombuffer(a.iloc[i], np.uint64), np.frombuffer(b.iloc[i], np.uint64), percent)
+    return pd.Series(out, dtype=bool)
+
+
+def _candidates(part: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components that this block (pair) is to compare: those of its two sides, whose first common
+    band is this bucket's, and whose signatures agree often enough."""
+    sig = _signatures(part["sig"])
+    comps, side, slot = part["comp"].to_numpy(), part["mine"].to_numpy(), int(part["slot"].iloc[0])
+    across = int(part["i"].iloc[0]) != int(part["j"].iloc[0])
+    least = least_agreement(percent, sig.shape[1])
+    left, right = [], []
+    for k in range(len(sig) - 1):
+        mine = np.flatnonzero((comps[k + 1:] != comps[k]) & ((side[k + 1:] != side[k]) if across else True)) + k + 1
+        equal = sig[mine] == sig[k]
+        mine, equal = mine[often := equal.sum(axis=1) >= least], equal[often]
+        first = equal.reshape(len(mine), sig.shape[1] // ROWS, ROWS).all(axis=2).argmax(axis=1) if len(mine) else mine
+        mine = mine[first == slot]
+        left.append(np.full(len(mine), k))
+        right.append(mine)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
 def _forest(part: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links between different components among the members of one block (pair), as a spanning forest."""
+    left, right = _candidates(part, percent)
+    if not len(left):
+        return []
+    members = np.unique(np.concatenate((left, right)))
+    left, right = np.searchsorted(members, left), np.searchsorted(members, right)
+    part = part.iloc[members]
     nodes, comps = part["node"].to_numpy(), part["comp"].to_numpy()
     sets = [np.frombuffer(s, np.uint64) for s in part["set"]]
     n, sizes = len(sets), np.array([len(s) for s in sets])
@@ -144,8 +199,8 @@ def _forest(part: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
         cells = np.zeros((n, width), np.float32)
         cells[row[i:j], column[i:j] - low] = 1
         both += cells @ cells.T
-    union = sizes[:, None] + sizes[None] - both
-    linked = (100 * both >= percent * union) & (comps[:, None] != comps[None])
+    common = both[left, right]
+    linked = 100 * common >= percent * (sizes[left] + sizes[right] - common)
     root = {c: c for c in comps.tolist()}
 
     def find(c: int) -> int:
@@ -155,7 +210,7 @@ def _forest(part: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
         return c
 
     out = []
-    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+    for i, j in zip(left[linked].tolist(), right[linked].tolist()):
         a, b = find(int(comps[i])), find(int(comps[j]))
         if a != b:
             root[max(a, b)] = min(a, b)
@@ -202,7 +257,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS)
 
     Words are what ASCII white space separates, A-Z folded; a set holds the distinct
     five-word shingles, or the whole sequence of a shorter text. Documents link at
-    100 * intersection >= ``percent`` * union if they share one of ``bands`` bands of minima;
+    100 * intersection >= ``percent`` * union if they share one of ``bands`` bands of minima and their signatures agree
+    (of the pairs that just link, one in a million does not);
     ``component_id`` is the smallest reachable doc_id.
 
     Null or empty texts, and texts of white space, have no shingles and form components of
@@ -217,9 +273,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS)
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         return _compare(part, percent)
 
+    def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _whole_sets(batches, bands)
+
     @F.pandas_udf(BooleanType())
-    def confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
-        return _confirmed(a, b, percent)
+    def confirmed(a: pd.Series, b: pd.Series, sig_a: pd.Series, sig_b: pd.Series) -> pd.Series:
+        return _confirmed(a, b, sig_a, sig_b, percent)
 
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = saved(docs.mapInArrow(describe, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"),
@@ -230,22 +289,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS)
     classes = saved(chosen.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
     members = chosen.join(classes, "digest").select("doc_id", "node")
     banded = (known.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", "digest"], "left_semi")
-              .select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")))
+              .select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("slot", "band")))
     buckets = saved(banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last"),
                                                F.count("*").alias("n")).filter("hub != last").drop("last"), "buckets")
     shared = saved(banded.join(buckets, "band"), "shared")
     involved = shared.select("node").distinct().join(classes, "node").withColumnRenamed("node", "doc_id")
-    sets = saved(docs.join(small(involved), "doc_id").mapInArrow(_whole_sets, "node bigint, set binary")
+    sets = saved(docs.join(small(involved), "doc_id").mapInArrow(whole_sets, "node bigint, set binary, sig binary")
                  .dropDuplicates(["node"]), "whole")
     # links to the smallest class of each bucket
     hubs = shared.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = saved(hubs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left")), "a")
-                  .join(sets.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
-                  .filter(confirmed("left", "right")).select("a", "b"), "links")
+    links = saved(hubs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left"), F.col("sig").alias("sig_a")), "a")
+                  .join(sets.select(F.col("node").alias("b"), F.col("set").alias("right"), F.col("sig").alias("sig_b")), "b")
+                  .filter(confirmed("left", "right", "sig_a", "sig_b")).select("a", "b"), "links")
     comps = components(links)
     # buckets of several components, compared member against member
     placed = saved(shared.join(comps, "node", "left")
-                   .select("band", "n", "node", F.coalesce("comp", "node").alias("comp")), "placed")
+                   .select("band", "slot", "n", "node", F.coalesce("comp", "node").alias("comp")), "placed")
     open_ = saved(placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
                   .filter("low != high").select("band"), "open")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK // 2)).cast("int")
@@ -255,7 +314,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS)
             F.least(x, F.col("mine")).alias("i"), F.greatest(x, F.col("mine")).alias("j"))))
     dealt = (placed.join(open_, "band", "left_semi").join(sets, "node")
              .withColumn("blocks", blocks).withColumn("mine", mine)
-             .withColumn("pair", F.explode(paired)).select("band", "pair.i", "pair.j", "node", "comp", "set"))
+             .withColumn("pair", F.explode(paired)).select("band", "slot", "pair.i", "pair.j", "mine", "node", "comp", "set", "sig"))
     more = dealt.groupBy("band", "i", "j").applyInPandas(compare, "a bigint, b bigint")
     comps = components(links.union(more))
     for table in (links, open_, placed, sets, shared, buckets):
