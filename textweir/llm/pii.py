@@ -7,15 +7,17 @@ pseudonyms in all documents, and the holder of the key can invert them:
 =========  ====================================================================  =====================
 kind       recognised                                                            permuted
 =========  ====================================================================  =====================
-card       13 to 19 digits with a right Luhn sum; blanks and hyphens inside      all but the check digit
-iban       right remainder modulo 97; blanks inside                              digits of the account part
+card       13 to 19 digits with a right Luhn sum; blanks, hyphens, dots inside   all but the check digit
+iban       right remainder modulo 97; blanks and hyphens inside                  digits of the account part
 ssn        123-45-6789 with a possible area, group and serial number             possible numbers
 ip         four numbers up to 255                                                32-bit addresses
-date       1800 to 2199 as 2024-02-29, 29.02.2024 or 02/29/2024                  days (146,097 of them)
-phone      7 to 15 digits that begin with +, or an area code in parentheses      the last 7, 8, 9 or 10 digits
+date       1800 to 2199 as 2024-02-29, 2024/02/29, 29.02.2024 or 02/29/2024,     days (146,097 of them), or days
+           the last two also as 1.2.2024                                         with a one-digit day or month
+phone      7 to 15 digits that begin with + or (+, or an area code in            the last 7, 8, 9 or 10 digits
+           parentheses; 212-555-0100 and 212.555.0100
 =========  ====================================================================  =====================
 
-Mail addresses are neither numbers nor dates: they become a keyed hash at ``mail.invalid``.
+Blanks and hyphens are those of Unicode. Mail addresses are neither numbers nor dates: they become a keyed hash at ``mail.invalid``.
 
 Every place where a kind may begin is tried, each with all ends at a boundary of its groups, so a number is
 found whatever words or numbers stand beside it. What is `sure` (see ``_forms``) goes before what is not.
@@ -29,23 +31,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
-PHONE = (r"(?<![A-Za-z0-9+(.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?|\([0-9]{2,4}\)[ .-]?)"
-         r"[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])")
+_BLANK, _HYPHEN = " \u00a0\u2007\u2009\u202f", "\u2010-\u2013-"
+#: What may stand between the groups of a number; of an IBAN; between those of a plain phone number.
+SEP, IBAN_SEP, HYPHEN = f"[{_BLANK}.{_HYPHEN}]", f"[{_BLANK}{_HYPHEN}]", f"[{_HYPHEN}]"
+_ADDRESS = r"\p{L}\p{N}"
+MAIL = rf"(?<![{_ADDRESS}._%+-])[{_ADDRESS}._%+-]++@[{_ADDRESS}-]++(?:\.[{_ADDRESS}-]++)+"
+IBAN = rf"(?<![A-Za-z0-9])[A-Z]{{2}}[0-9]{{2}}(?:{IBAN_SEP}?[A-Z0-9]){{11,30}}(?![A-Za-z0-9])"
+_AREA = rf"{SEP}?(?:\([0-9]{{2,4}}\)|[0-9]{{2,4}}){SEP}?"
+_PLAIN = rf"[2-9][0-9]{{2}}(?:{HYPHEN}[0-9]{{3}}{HYPHEN}|\.[0-9]{{3}}\.)[0-9]{{4}}"
+PHONE = (rf"(?:(?:(?<![0-9+])\+[0-9]{{1,3}}{_AREA}|(?<![0-9A-Za-z+])\(\+[0-9]{{1,3}}\){_AREA}|(?<![A-Za-z0-9+-])\([0-9]{{2,4}}\){SEP}?)"
+         rf"[0-9]{{2,4}}(?:{SEP}?[0-9]{{2,4}}){{1,3}}(?![0-9])"
+         rf"|(?<![0-9A-Za-z+])(?<![0-9][{_BLANK}.{_HYPHEN}(])(?<![{_HYPHEN}]){_PLAIN}(?![0-9A-Za-z]|[.{_HYPHEN}][0-9]))")
 IP = r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-DATE = (r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})"
-        r"(?!(?![Tt][0-9]{2}:?[0-9]{2})[0-9A-Za-z]|[./-][0-9])")
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+DATE = (r"(?<![0-9A-Za-z/-])(?<![0-9]\.)(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
+        r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?!(?![Tt][0-9]{2}:?[0-9]{2})[0-9A-Za-z]|[./-][0-9])")
+CARD = rf"(?<![0-9])(?<![0-9][A-Za-z])[0-9](?:{SEP}?[0-9]){{12,18}}(?![0-9A-Za-z])"
 #: Earlier kinds win where two begin at the same place.
 ANY = "|".join((MAIL, IBAN, PHONE, IP, SSN, DATE, CARD))
 #: Each place where one may begin, without taking its text; group 1 is what decides about it (no number is longer).
 START = rf"(?=(?:{ANY}))(?=({MAIL}|[^\n]{{1,100}}))"
 #: Groupings in which cards are written.
-CARD_SHAPE = (r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})$")
+CARD_SHAPE = (rf"^(?:[0-9]{{13,19}}|[0-9]{{4}}({SEP})[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{4}}(?:\1[0-9]{{3}})?|[0-9]{{4}}({SEP})[0-9]{{6}}\2[0-9]{{4,5}})$")
 #: Numbers of the North American plan, whose length is known.
-PHONE_SHAPE = r"^(?:\+1(?:[^0-9]*[0-9]){10}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4})$"
+PHONE_SHAPE = rf"^(?:\(?\+1(?:[^0-9]*[0-9]){{10}}|\([0-9]{{3}}\){SEP}?[0-9]{{3}}{SEP}?[0-9]{{4}}|{_PLAIN})$"
 #: Characters of an IBAN by country.
 IBAN_LENGTH = {code: n for n, codes in {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -132,6 +141,15 @@ def _mod97(chars: Column) -> Column:
     return F.aggregate(F.split(chars, ""), F.lit(0), step)
 
 
+def _walk(value: Column, step: Callable[[Column], Column], fits: Callable[[Column], Column]) -> Column:
+    """``value`` after as many more steps of a permutation as it takes until it fits: a permutation of what fits.
+
+    Half of the values or more fit; one that took 200 steps (a chance of 1 in 10^60) ends the job, and does not go out wrong.
+    """
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(200)), value, lambda v, _: F.when(fits(v), v).otherwise(step(v)))
+    return _let(walked, lambda v: F.when(fits(v), v).otherwise(F.raise_error("no pseudonym of the same format").cast("string")))
+
+
 def _right_card(digits: Column) -> Column:
     return _let(digits, lambda d: _luhn(F.substr(d, F.lit(1), F.char_length(d) - 1)) == F.right(d, F.lit(1)))
 
@@ -148,8 +166,7 @@ def _card(x: Column, key: str, back: bool, refused: Column) -> Column:
             return F.forall(refused, lambda o: ~_right_card(
                 F.concat(F.left(v, F.char_length(o)), F.substr(o, F.char_length(v) + 1, F.lit(19)))))
 
-        walked = F.aggregate(F.sequence(F.lit(1), F.lit(60)), swap(d), lambda v, _: F.when(fits(v), v).otherwise(swap(v)))
-        return _refill(x, walked)
+        return _refill(x, _walk(swap(d), swap, fits))
 
     return _let(_digits(x), change)
 
@@ -162,7 +179,7 @@ def _iban(x: Column, key: str, back: bool) -> Column:
         return F.when(right, _let(changed, lambda b: _refill(x, F.concat(
             F.lpad((98 - _mod97(F.concat(b, head, F.lit("00")))).cast("string"), 2, "0"), _digits(b)))))
 
-    return _let(F.replace(x, F.lit(" "), F.lit("")), change)
+    return _let(F.regexp_replace(x, IBAN_SEP, ""), change)
 
 
 def _ssn(x: Column, key: str, back: bool) -> Column:
@@ -187,28 +204,49 @@ def _ip(x: Column, key: str, back: bool) -> Column:
 
 
 def _date(x: Column, key: str, back: bool) -> Column:
-    layout = (("-", "yyyy-MM-dd"), (".", "dd.MM.yyyy"), ("/", "MM/dd/yyyy"))
+    short = x.rlike(r"(?:^|[./])[0-9][./]")  # a day or month of one digit: stays one of those
+    layouts = (("-", "yyyy-MM-dd", "yyyy-MM-dd"), (".", "dd.MM.yyyy", "d.M.yyyy"), ("/", "MM/dd/yyyy", "M/d/yyyy"))
+
+    def swap(day: Column) -> Column:
+        pair = feistel(F.floor(day / 773), F.pmod(day, F.lit(773)), 189, 773, key, F.lit("date"), back)
+        return _let(pair, lambda p: p["l"] * 773 + p["r"])
+
+    def date_of(day: Column) -> Column:
+        return F.date_add(F.lit(_FIRST_DAY).cast("date"), day.cast("int"))
+
+    def fits(text: Column) -> Column:
+        date = date_of(text.cast("bigint"))
+        return ~short | (F.dayofmonth(date) < 10) | (F.month(date) < 10)
 
     def change(iso: Column) -> Column:
         # a day that the calendar lacks is not a date
         day = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(_FIRST_DAY).cast("date"))
-        pair = feistel(F.floor(day / 773), F.pmod(day, F.lit(773)), 189, 773, key, F.lit("date"), back)
-        moved = _let(pair, lambda p: F.date_add(F.lit(_FIRST_DAY).cast("date"), (p["l"] * 773 + p["r"]).cast("int")))
-        shown = F.lit(None).cast("string")
-        for mark, pattern in layout:
-            shown = F.when(F.contains(x, F.lit(mark)), F.date_format(moved, pattern)).otherwise(shown)
-        return F.when(day.between(0, DAYS - 1), shown)
-
-    iso = (F.when(F.contains(x, F.lit("-")), x)
-           .when(F.contains(x, F.lit(".")), F.regexp_replace(x, r"^(..)\.(..)\.(....)$", "$3-$2-$1"))
-           .otherwise(F.regexp_replace(x, "^(..)/(..)/(....)$", "$3-$1-$2")))
+        step = lambda v: swap(v.cast("bigint")).cast("string")
+        moved = date_of(_walk(step(day.cast("string")), step, fits).cast("bigint"))
+
+        def show(date: Column) -> Column:
+            shown = F.when(x.rlike("^[0-9]{4}/"), F.date_format(date, "yyyy/MM/dd"))
+            for mark, full, bare in layouts:
+                shown = shown.when(F.contains(x, F.lit(mark)), F.when(short, F.date_format(date, bare)).otherwise(F.date_format(date, full)))
+            return shown
+
+        return F.when(day.between(0, DAYS - 1), _let(moved, show))
+
+    def padded(order: str) -> Column:
+        parts = F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0))
+        return F.concat_ws("-", *(F.lpad(F.get(parts, F.lit(int(i))), 4 if n == 0 else 2, "0") for n, i in enumerate(order)))
+
+    iso = (F.when(F.contains(x, F.lit("-")) | x.rlike("^[0-9]{4}/"), F.replace(x, F.lit("/"), F.lit("-")))
+           .when(F.contains(x, F.lit(".")), padded("210")).otherwise(padded("201")))
     return _let(iso, change)
 
 
 def _phone(x: Column, key: str, back: bool) -> Column:
     def change(d: Column) -> Column:
         n = F.char_length(d)
-        own = F.when(F.left(x, F.lit(1)) == "+", F.least(F.lit(10), n - 1)).otherwise(F.least(F.lit(10), n))
+        # a country code stays, and the area code of a plain number
+        own = (F.when(F.contains(x, F.lit("+")), F.least(F.lit(10), n - 1)).when(x.rlike(f"^{_PLAIN}$"), F.lit(7))
+               .otherwise(F.least(F.lit(10), n)))
         return F.when(n.between(7, 15), _refill(x, F.concat(
             F.substr(d, F.lit(1), n - own), permute_digits(F.right(d, own), key, "phone", back))))
 
@@ -243,12 +281,12 @@ def _forms(x: Column, key: str) -> Column:
         return F.regexp_extract(x, f"^(?:{pattern})", 0)
 
     def iban(raw: Column) -> Column:
-        plain = F.replace(raw, F.lit(" "), F.lit(""))
+        plain = F.regexp_replace(raw, IBAN_SEP, "")
         own = F.element_at(F.create_map(*(F.lit(v) for pair in IBAN_LENGTH.items() for v in pair)), F.left(plain, F.lit(2)))
         return _form("iban", raw, F.coalesce(own == F.char_length(plain), F.lit(True)))
 
     def right_iban(raw: Column) -> Column:
-        plain = F.replace(raw, F.lit(" "), F.lit(""))
+        plain = F.regexp_replace(raw, IBAN_SEP, "")
         return F.char_length(plain).between(15, 34) & (F.char_length(_digits(F.substr(plain, F.lit(5)))) >= 2) & (
             _mod97(F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4)))) == 1)
 
@@ -270,15 +308,15 @@ def _forms(x: Column, key: str) -> Column:
     def phone(raw: Column) -> Column:
         return raw.rlike(f"^(?:{PHONE})$") & F.char_length(_digits(raw)).between(7, 15)
 
-    phones = numbers(PHONE, r"[ .-]?(?:\+[0-9]+|\([0-9]+\)|[0-9]+)", phone)
+    phones = numbers(PHONE, rf"{SEP}?(?:\(\+[0-9]+\)|\+[0-9]+|\([0-9]+\)|[0-9]+)", phone)
     usual = lambda raw: raw.rlike(PHONE_SHAPE)
     kinds = F.concat(
-        ordered(F.transform(numbers(IBAN, " ?[A-Z0-9]+", right_iban), iban)),
+        ordered(F.transform(numbers(IBAN, f"{IBAN_SEP}?[A-Z0-9]+", right_iban), iban)),
         F.transform(F.concat(F.filter(phones, usual), F.filter(phones, lambda r: ~usual(r))), lambda r: _form("phone", r, F.lit(False))),
         fixed("ip", IP, lambda r: F.lit(True)),
         fixed("ssn", SSN, lambda r: _ssn(r, key, False).isNotNull()),
         fixed("date", DATE, lambda r: _date(r, key, False).isNotNull()),
-        _let(ordered(F.transform(numbers(CARD, "[ -]?[0-9]+", lambda r: F.char_length(_digits(r)).between(13, 19)),
+        _let(ordered(F.transform(numbers(CARD, f"{SEP}?[0-9]+", lambda r: F.char_length(_digits(r)).between(13, 19)),
                                  lambda r: _form("card", r, r.rlike(CARD_SHAPE)))), cards))
     return F.when(F.contains(x, F.lit("@")) & x.rlike(f"^(?:{MAIL})$"), F.array(_form("mail", x, F.lit(True)))).otherwise(kinds)
 
