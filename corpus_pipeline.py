@@ -65,10 +65,12 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         F.col("doc_id").alias(key), F.col("component_id").alias("group"))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key)
     ranked = saved(found.join(keyed.select(key, "doc_id"), key).select("group", key, rank.alias("rank")), "groups")
-    best = ranked.groupBy("group").agg(F.min("rank").alias("best"), F.count("*").alias("n")).filter("n > 1")
+    # both stored: Spark can split the join at a group of very many rows
+    best = saved(ranked.groupBy("group").agg(F.min("rank").alias("best"), F.count("*").alias("n")).filter("n > 1"), "best")
     gone = ranked.join(best, "group").filter(F.col(key) != F.col(f"best.{key}")).select(key)
     out = _without(keyed, key, gone)
     drop_saved(ranked)
+    drop_saved(best)
     return out
 
 
