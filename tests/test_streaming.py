@@ -257,8 +257,8 @@ def test_parked_chunks_cost_what_is_read(spark, feed):
     assert feed.text() == "".join(f"w{i} " for i in range(10_001)) + "end. "
 
 
-@pytest.mark.parametrize("path", [None, "path"])
-def test_limiter_in_order_over_micro_batches(spark, tmp_path, path):
+@pytest.mark.parametrize("path, slot", [(None, 3), ("path", 25)])  # slots shorter and longer than the window
+def test_limiter_in_order_over_micro_batches(spark, tmp_path, path, slot):
     """Requests that arrive up to a batch late are decided at their place; a hot client has most of them."""
     for name, value in ordered.ROCKSDB.items():
         spark.conf.set(name, value)
@@ -270,7 +270,7 @@ def test_limiter_in_order_over_micro_batches(spark, tmp_path, path):
         df = spark.createDataFrame(rows[part * 100:part * 100 + 100], schema).withColumn("ts", F.timestamp_seconds("sec"))
         df.withColumn("odd name", F.lit(1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         source = spark.readStream.schema(f"{schema}, ts timestamp, `odd name` int").parquet(f"{tmp_path}/in")
-        out = ordered.rate_limit_in_order(source, "client", "ts", "id", 5, 10, late="40 seconds", path=path, slot_seconds=3)
+        out = ordered.rate_limit_in_order(source, "client", "ts", "id", 5, 10, late="40 seconds", path=path, slot_seconds=slot)
         (out.withColumnRenamed("odd name", "odd").writeStream.format("parquet").option("path", f"{tmp_path}/out")
          .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination())
     got = {r.id: r.admitted for r in spark.read.parquet(f"{tmp_path}/out").filter("id >= 0").collect()}

@@ -87,7 +87,8 @@ class _Limiter(StatefulProcessor):
             self.log.update((log,))
             self.handle.registerTimer(-(-((slot + 1) * self.slot_us + self.window_us) // 1_000))
             yield out
-        if log and due >= log[-1] + self.window_us:  # silent for a window: forgotten
+        # silent for a window: forgotten, unless requests wait, which may be older than the timer
+        if log and due >= log[-1] + self.window_us and not any(True for _ in self.parts.keys()):
             self.log.clear()
 
     def close(self) -> None:
