@@ -29,3 +29,16 @@ def test_best_of_all_intents(spark, monkeypatch, block, lanes):
     assert it.top_intents(vectors.limit(0), table, "id").count() == 0
     with pytest.raises(Exception, match="one length"):
         it.top_intents(vectors, spark.createDataFrame([("a", [1.0, 2.0])], "intent string, embedding array<double>"), "id").collect()
+
+
+def test_intents_go_to_no_broadcast_and_ties_to_the_first_listed(spark, monkeypatch):
+    monkeypatch.setattr(it, "BLOCK", 2)
+    vectors = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 0.0]) for i in range(9)], "id int, embedding array<double>")
+    # of one score with all vectors, and not of one vector
+    table = spark.createDataFrame([(i, [0.0, float(10 - i)] if i % 2 else [0.0, -float(i + 1)]) for i in range(8)], "intent int, embedding array<double>")
+    out = it.top_intents(vectors, table.repartition(5), "id", lanes=2)
+    assert {(r.intent, r.score) for r in out.collect()} == {(0, 0.0)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "lane" not in joins[0]  # the lanes of all intents are never one side of a join, which may be broadcast
+    assert "RepartitionByExpression" in plan
