@@ -196,6 +196,24 @@ def test_substrings_of_all_lengths(texts, spark):
     assert "needle" not in plan  # the terms are data
 
 
+def test_substrings_in_lanes(texts, spark, monkeypatch):
+    from conftest import random_texts
+
+    monkeypatch.setattr(blocklist, "_LANE", 6)
+    monkeypatch.setattr(blocklist, "_TEXTS", 7)
+    words = sorted({w for n in (1, 2, 3, 5) for w in random_texts(12, ["ab", "ba", "c", "é", "😀"], seed=n, most=n + 3) if w} | {"abbacabbabac", "c" * 9})
+    rows = [*random_texts(120, ["ab", "ba", "c", "É", "😀"], seed=8, most=20), "abbacabbabac" * 2, "c" * 40, None]
+    terms = spark.createDataFrame([(len(words) - i, w) for i, w in enumerate(words)], "rank int, term string")
+    want = {i: found for i, t in enumerate(rows) if (found := [w for w in words[::-1] if w in (t or "").lower()])}
+    out = blocklist.substring_hits(texts(rows), ["i"], terms, broadcast_rows=0)
+    assert {r.i: r.found for r in out.collect()} == want
+    assert any(len(w) > blocklist._Q for found in want.values() for w in found)
+    # terms of up to _Q characters are decided by their gram: no join of candidates with the texts
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    lanes = blocklist._lanes({1: 3, 2: 3, 3: 4, 8: 13})
+    assert lanes == [([1, 2], 0, 1), ([3], 0, 1), *(([8], part, 3) for part in range(3))]
+
+
 def test_effective_rules(spark):
     listed = spark.createDataFrame([("a", "x"), ("a", "d1"), ("b", "y"), ("b", "y")], "policy string, rule string")
     got = {tuple(r) for r in audit.effective_rules(listed, ["d1", "d2"], "policy", "rule").collect()}

@@ -1,14 +1,16 @@
 """Keyword blocking with term lists too long for one alternation.
 
-Whole words are joined as word n-grams. Substrings are found through one rare q-gram of each term: a
-text that holds the term holds its q-gram, so only such pairs are looked at. Beyond the broadcast limit
+Whole words are joined as word n-grams. Substrings of up to q characters are joined as they are, longer ones are found
+through one rare q-gram of each: a text that holds the term holds its q-gram, so only such pairs are looked at. Beyond the broadcast limit
 a Bloom filter of the terms, built by an aggregation, stands before the shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,12 @@ from ..session import BROADCAST_ROWS, materialize, small_enough
 _WORDS = r"[\p{L}\p{N}_]+"
 _RUNS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
 _SALTS = 32
-#: Characters of the q-grams that substrings are looked up by; shorter terms stand for themselves.
-_Q = 3
+#: Characters of the q-grams that substrings are looked up by; shorter terms stand for themselves, so they need no second look.
+_Q = 8
+#: Terms of one lane, which a task holds in memory.
+_LANE = 400_000
+#: Texts of one result batch.
+_TEXTS = 256
 #: Bits of a Bloom filter, of which 64 are one broadcast row: 8 KB to 16 MB whatever the list.
 _LEAST_BITS, _MOST_BITS = 1 << 16, 1 << 27
 
@@ -127,6 +133,97 @@ def _anchors(listed: DataFrame) -> DataFrame:
     return every.join(shared, "gram").groupBy("term", "rank").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
 
 
+def _lanes(counts: dict[int, int]) -> list[tuple[list[int], int, int]]:
+    """``(lengths, part, parts)`` of each lane: whole lengths as long as they fit, or one part of the terms of one length."""
+    out: list[tuple[list[int], int, int]] = []
+    room = 0
+    for size, n in sorted(counts.items(), key=lambda c: c[1]):
+        parts = -(-n // _LANE)
+        if parts > 1:
+            out += [([size], part, parts) for part in range(parts)]
+            room = 0
+        elif n <= room:
+            out[-1][0].append(size)
+            room -= n
+        else:
+            out.append(([size], 0, 1))
+            room = _LANE - n
+    return out
+
+
+def _look_up(keys: Sequence[str]):
+    """Rows of places, a place's terms in order before its texts, to the terms of each text that has some."""
+    def rows(whole: pa.RecordBatch, at: list[int], hits: list[list[int]], terms: list[str], ranks: list[int]) -> pa.RecordBatch:
+        flat = [i for h in hits for i in h]
+        listed = pa.StructArray.from_arrays([pa.array([ranks[i] for i in flat], pa.int64()), pa.array([terms[i] for i in flat], pa.string())], ["rank", "term"])
+        offsets = pa.array(np.concatenate(([0], np.cumsum([len(h) for h in hits]))), pa.int32())
+        return pa.RecordBatch.from_arrays([*(whole.column(k).take(pa.array(at, pa.int64())) for k in keys), pa.ListArray.from_arrays(offsets, listed)],
+                                          names=[*keys, "hits"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = None
+        for whole in batches:
+            places, is_text = whole.column("__place").to_numpy().tolist(), whole.column("__is_text").to_pylist()
+            values = {c: whole.column(c).to_pylist() for c in ("__low", "__gram", "__term", "__rank")}
+            at, hits = [], []
+            for i, here in enumerate(places):
+                if here != place:
+                    if hits:
+                        yield rows(whole, at, hits, terms, ranks)
+                    place, at, hits = here, [], []
+                    terms, ranks, equal, longer, by_size = [], [], {}, {}, {}
+                if not is_text[i]:
+                    gram, term = values["__gram"][i], values["__term"][i]
+                    if gram == term:
+                        equal[gram] = len(terms)
+                    else:
+                        longer.setdefault(gram, []).append(len(terms))
+                    by_size.setdefault(len(gram), set()).add(gram)
+                    terms.append(term)
+                    ranks.append(values["__rank"][i])
+                    continue
+                low, found = values["__low"][i], []
+                for size, known in by_size.items():
+                    for gram in {low[j:j + size] for j in range(len(low) - size + 1)} & known:
+                        if gram in equal:
+                            found.append(equal[gram])
+                        if gram in longer:
+                            found += [k for k in longer[gram] if terms[k] in low]
+                if found:
+                    at.append(i)
+                    hits.append(sorted(found))
+                    if len(hits) >= _TEXTS:
+                        yield rows(whole, at, hits, terms, ranks)
+                        at, hits = [], []
+            if hits:
+                yield rows(whole, at, hits, terms, ranks)
+    return look_up
+
+
+def _found_in_lanes(low: DataFrame, keys: Sequence[str], anchors: DataFrame) -> DataFrame:
+    """``(*keys, n_found, found)``: each text against the terms of one lane after the other, a lane's terms at as many places as there are cores."""
+    low, named = low.filter("low is not null"), [f"__key{i}" for i in range(len(keys))]
+    size = F.length("gram")
+    lanes = _lanes({r[0]: r[1] for r in anchors.groupBy(size.alias("size")).count().collect()}) or [([_Q], 0, 1)]  # 1 to _Q
+    spread = low.sparkSession.sparkContext.defaultParallelism
+    lane = F.coalesce(*(F.when(size.isin(sizes) & (F.pmod(F.xxhash64("gram"), F.lit(parts)) == part), F.lit(i))
+                        for i, (sizes, part, parts) in enumerate(lanes)))
+    kinds = [low.schema[k].dataType.simpleString() for k in keys]
+    here = F.pmod(F.xxhash64(*keys), F.lit(spread)).cast("int")
+    texts = low.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(lanes) - 1)), lambda n: n * spread + here)).alias("__place"),
+                       F.lit(True).alias("__is_text"), *(F.col(k).alias(n) for k, n in zip(keys, named)), F.col("low").alias("__low"),
+                       *(F.lit(None).cast(t).alias(c) for c, t in (("__gram", "string"), ("__term", "string"), ("__rank", "bigint"))))
+    listed = anchors.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda n: lane * spread + n)).alias("__place"), F.lit(False).alias("__is_text"),
+                            *(F.lit(None).cast(t).alias(n) for n, t in zip(named, kinds)), F.lit(None).cast("string").alias("__low"),
+                            F.col("gram").alias("__gram"), F.col("term").alias("__term"), F.col("rank").alias("__rank"))
+    dealt = texts.unionByName(listed).repartitionById(len(lanes) * spread, F.col("__place")).sortWithinPartitions("__place", "__is_text", "__rank", "__term")
+    hits = dealt.mapInArrow(_look_up(named), ", ".join([*(f"{n} {t}" for n, t in zip(named, kinds)), "hits array<struct<rank: bigint, term: string>>"]))
+    if len(lanes) > 1:
+        hits = hits.groupBy(*named).agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"))
+    return hits.select(*(F.col(n).alias(k) for n, k in zip(named, keys)), F.size("hits").cast("bigint").alias("n_found"),
+                       F.transform("hits", lambda h: h["term"]).alias("found"))
+
+
 def substring_hits(df: DataFrame, keys: Sequence[str], terms: DataFrame, text_col: str = "text", term_col: str = "term",
                    broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Texts whose lower-cased form contains listed terms: ``(*keys, n_found, found)``.
@@ -134,23 +231,24 @@ def substring_hits(df: DataFrame, keys: Sequence[str], terms: DataFrame, text_co
     ``found`` has the lower-cased terms in the order of ``terms.rank`` (if present; then by the term),
     ``keys`` identify a text. Empty and NULL terms are ignored, NULL texts hold nothing.
 
-    Every text is taken apart into its distinct q-grams and meets those terms whose own q-gram it
-    holds; ``contains`` decides. The terms are broadcast, and candidates decided where the text is,
-    up to ``broadcast_rows`` terms; beyond, the pairs of text and term are shuffled and joined with the texts.
+    Every text is taken apart into its distinct q-grams, and shorter grams if there are terms so short, and meets those
+    terms whose own gram it holds. That decides on a term of up to q characters; ``contains`` decides on a longer one.
+    The terms are broadcast, and candidates decided where the text is, up to ``broadcast_rows`` terms. Beyond, they are
+    dealt to lanes by the length of their grams, and by hash where one length has more than ``_LANE`` terms; every text
+    goes once to each lane and is taken apart into the grams of that length only.
     """
     rank = F.col("rank").cast("bigint") if "rank" in terms.columns else F.lit(0).cast("bigint")
     listed = (terms.select(F.lower(term_col).alias("term"), rank.alias("rank")).filter("length(term) > 0")
               .groupBy("term").agg(F.min("rank").alias("rank")))
     anchors = materialize(_anchors(listed), "anchors")
-    sizes = [r[0] for r in anchors.select(F.length("gram").alias("n")).distinct().orderBy("n").collect()] or [_Q]  # 1 to 3
+    sizes = [r[0] for r in anchors.select(F.length("gram").alias("n")).distinct().orderBy("n").collect()] or [_Q]  # 1 to _Q
     low = df.select(*keys, F.lower(text_col).alias("low"))
+    whole = F.col("term") == F.col("gram")
     holds = F.col("low").contains(F.col("term"))
     if small_enough(anchors, broadcast_rows):
         met = low.select(*keys, "low", F.explode(_grams(F.col("low"), sizes)).alias("gram"))
-        hits = met.join(F.broadcast(anchors), "gram").filter(holds)
+        hits = met.join(F.broadcast(anchors), "gram").filter(whole | holds).select(*keys, "term", "rank")
     else:
-        met = low.select(*keys, F.explode(_grams(F.col("low"), sizes)).alias("gram"))
-        pairs = may_hold(met, "gram", materialize(bloom_filter(anchors.select("gram").distinct(), "gram"), "bloom")).join(anchors, "gram")
-        hits = pairs.select(*keys, "term", "rank").join(low, list(keys)).filter(holds)
+        return _found_in_lanes(low, keys, anchors)
     found = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("hits"))
     return found.select(*keys, F.size("hits").cast("bigint").alias("n_found"), F.transform("hits", lambda h: h["term"]).alias("found"))
