@@ -281,3 +281,20 @@ def test_limiter_in_order_over_micro_batches(spark, tmp_path, path, slot):
         mine = sorted((r for r in counted if r[1] == client), key=lambda r: (round(r[2] * 1e6), r[0]))
         want |= dict(zip([r[0] for r in mine], iter_admit((round(r[2] * 1e6) for r in mine), 5, 10_000_000)))
     assert got == want
+
+
+def test_a_call_of_the_sentence_stream_takes_and_gives_rows():
+    """A frame for every stream of a micro-batch cost more than the work on it."""
+    from pyspark.sql import Row
+
+    class Empty:
+        def exists(self):
+            return False
+
+    from textweir.streaming import sanitize as module
+
+    calls = module._Sentences("text", 1_000, None)
+    calls.value, calls.parked, calls.gone = Empty(), None, None
+    given = Row("stream_id", "seq", "ts", "chunk", "eos", "ms")
+    got = list(calls.handleInputRows(("a",), iter([given("a", 1, None, "is. Two", True, 7), given("a", 0, None, "One ", False, 5)]), None))
+    assert [tuple(r) for r in got] == [("a", 0, 1, "sentence", "One is.", " "), ("a", 1, 1, "tail", "Two", "")]

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,6 +20,7 @@ from ..operators.scan import Models, scan
 from ..policy import Policy
 
 OUT_SCHEMA = "stream_id string, ord bigint, seq bigint, kind string, sentence string, separator string"
+_ROW = Row(*(column.split()[0] for column in OUT_SCHEMA.split(", ")))
 
 # the end of a sentence: what follows the lazy part of the sentence pattern
 _CHUNK_END = re.compile(SENTENCE_END.replace("(.*?[.?!])", "[.?!]"))
@@ -162,10 +163,8 @@ class _Sentences(StatefulProcessor):
             self.n_parked, self.n_gone = self.n_parked - 1, self.n_gone + 1
             self._emit(seq, "dead_letter", chunk)
 
-    def _frame(self, key: tuple) -> pd.DataFrame:
-        out = pd.DataFrame(self.rows, columns=["ord", "seq", "kind", "sentence", "separator"])
-        out.insert(0, "stream_id", key[0])
-        self.rows = []
+    def _out(self, key: tuple) -> list[Row]:
+        out, self.rows = [_ROW(key[0], *r) for r in self.rows], []
         return out
 
     def _forget(self) -> None:
@@ -178,28 +177,27 @@ class _Sentences(StatefulProcessor):
 
     # --- calls ---
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         self._load()
-        for batch in rows:
-            for seq, chunk, eos in zip(batch["seq"].tolist(), batch["chunk"].tolist(), batch["eos"].tolist()):
-                if seq >= self.next_seq and not (self.n_gone and self.gone.containsKey((seq,))):  # another one is a repeat
-                    self.local[seq] = (chunk, bool(eos))
-                    if seq == self.next_seq:
-                        self._advance()
-            self.latest = max(self.latest, int(batch["ts"].max().timestamp() * 1000))
-            self._advance()
+        for row in rows:
+            seq = row.seq
+            if seq >= self.next_seq and not (self.n_gone and self.gone.containsKey((seq,))):  # another one is a repeat
+                self.local[seq] = (row.chunk, bool(row.eos))
+                if seq == self.next_seq:
+                    self._advance()
+            self.latest = max(self.latest, row.ms)
             if len(self.local) > _LOCAL:
                 self._park()
-            if self.rows:
-                yield self._frame(key)
-        # only now: what fills a gap may be in a later Arrow batch
+            if len(self.rows) > _LOCAL:
+                yield from self._out(key)
+        self._advance()
+        # only now: what fills a gap may be in a later row
         if not self.done:
             self._park()
             if self.parked_most is not None:
                 self._spill(self.parked_most)
                 self._advance()
-        if self.rows:
-            yield self._frame(key)
+        yield from self._out(key)
         if self.done:
             self._forget()
             return
@@ -209,7 +207,7 @@ class _Sentences(StatefulProcessor):
                 self.handle.deleteTimer(self.before + self.idle_ms)
             self.handle.registerTimer(self.latest + self.idle_ms)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The stream went idle: feed what is parked in order, over its gaps, and flush."""
         self._load()
         if self.before is None or self.latest + self.idle_ms > expiredTimerInfo.getExpiryTimeInMs():
@@ -218,11 +216,10 @@ class _Sentences(StatefulProcessor):
             self.next_seq = seq
             self._feed(seq, *self.parked.getValue((seq,)))
             if len(self.rows) > _LOCAL:
-                yield self._frame(key)
+                yield from self._out(key)
         if not self.done:
             self._flush(self.next_seq)
-        if self.rows:
-            yield self._frame(key)
+        yield from self._out(key)
         self._forget()
 
     def close(self) -> None:
@@ -247,9 +244,10 @@ def sentence_stream(chunks: DataFrame, mode: str = "text", idle: str = "10 minut
     if mode not in ("text", "chunk"):
         raise ValueError("mode is 'text' or 'chunk'")
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    chunks = chunks.select("stream_id", "seq", "ts", "chunk", "eos")
+    chunks = chunks.filter("seq is not null").select("stream_id", "seq", "ts", "chunk", "eos", F.unix_millis("ts").alias("ms"))
+    # rows, not frames: most calls bring a few rows of one stream, and a frame for each costs more than the work
     return (chunks.withWatermark("ts", idle).groupBy("stream_id")
-            .transformWithStateInPandas(_Sentences(mode, idle_ms, parked_most), OUT_SCHEMA, "Append", "EventTime"))
+            .transformWithState(_Sentences(mode, idle_ms, parked_most), OUT_SCHEMA, "Append", "EventTime"))
 
 
 def sanitize_stream(chunks: DataFrame, policy: Policy, mode: str = "text", idle: str = "10 minutes",
