@@ -102,3 +102,22 @@ def test_plain_scores_skip_nulls(texts):
     score = similarity.model_score(F.col("text"), lambda: lambda ts: [float(len(t)) for t in ts])
     assert [r.s for r in texts(["ab", None, "", None]).select(score.alias("s")).collect()] == [2.0, None, 0.0, None]
     assert [r.s for r in texts([None]).select(score.alias("s")).collect()] == [None]
+
+
+def test_a_batch_is_worked_off_in_bounded_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    from textweir.functions import spans
+
+    monkeypatch.setattr(spans, "_BYTES", 100)
+    cut = [n for _, n in spans.pieces(pa.array(["x" * 60] * 3 + ["y" * 500] + [None, ""] * 300))]
+    assert sum(cut) == 604 and cut[:4] == [1, 1, 1, 1] and max(cut) == spans._ROWS and list(spans.pieces(pa.array([], pa.string()))) == [(0, 0)]
+
+    def load():
+        def find(texts):
+            return [[(0, 1, "PERSON", 0.9)] if t else [] for t in texts]
+        return find
+
+    calls = spark.createDataFrame([(i, None if i % 5 == 0 else f"t{i}") for i in range(2_000)], "i int, text string").coalesce(1)
+    got = {r.i: r.sanitized_text for r in redact_entities(calls, [], Recognizer(load)).collect()}
+    assert got == {i: None if i % 5 == 0 else f"<PERSON_REDACTED>{i}" for i in range(2_000)}

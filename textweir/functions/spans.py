@@ -8,11 +8,12 @@ span covers to the best of them, and the text is rewritten once.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +34,19 @@ SCORES = {
 
 Span = tuple[int, int, str, float]
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))
+#: Texts, and their bytes, of which Python objects are held at a time; a longer text is alone.
+_ROWS, _BYTES = 256, 1 << 22
+
+
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """``(start, number)`` of runs of at most ``_ROWS`` texts of ``_BYTES`` in all; one run if there are no texts."""
+    start, held = 0, 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > start and (i - start >= _ROWS or held + size > _BYTES):
+            yield start, i - start
+            start, held = i, 0
+        held += size
+    yield start, len(texts) - start
 
 
 @dataclass(frozen=True)
@@ -65,10 +79,14 @@ class Recognizer:
         def find(batch: pa.Array) -> pa.Array:
             if "model" not in holder:
                 holder["model"] = self.load()
-            known = np.asarray(batch.is_valid())
-            spans, errors = call_each(checked, batch.drop_null().to_pylist())
-            return pa.StructArray.from_arrays([refilled(pa.array(spans, _SPANS), known),
-                                               refilled(pa.array(errors, pa.string()), known)], ["spans", "error"])
+            out = []
+            for start, n in pieces(batch):
+                texts = batch.slice(start, n)
+                known = np.asarray(texts.is_valid())
+                spans, errors = call_each(checked, texts.drop_null().to_pylist())
+                out.append(pa.StructArray.from_arrays([refilled(pa.array(spans, _SPANS), known),
+                                                       refilled(pa.array(errors, pa.string()), known)], ["spans", "error"]))
+            return pa.concat_arrays(out)
 
         return find(text)
 
@@ -136,10 +154,11 @@ def rewritten(text: Column, rules: Sequence[EntityRule], matches: Column, found:
     names = [r.name for r in rules]
     scores = [SCORES.get(n, 0.85) for n in names]
 
-    @F.arrow_udf("struct<text: string, kinds: array<string>>")
-    def rewrite(texts: pa.Array, found_: pa.Array, more: pa.Array, failed: pa.Array) -> pa.Array:
+    kind = pa.struct([("text", pa.string()), ("kinds", pa.list_(pa.string()))])
+
+    def rewritten_rows(*columns: pa.Array) -> list[dict | None]:
         out = []
-        for t, per_rule, listed, broken in zip(texts.to_pylist(), found_.to_pylist(), more.to_pylist(), failed.to_pylist()):
+        for t, per_rule, listed, broken in zip(*(c.to_pylist() for c in columns)):
             if t is None:
                 out.append(None)
                 continue
@@ -160,7 +179,12 @@ def rewritten(text: Column, rules: Sequence[EntityRule], matches: Column, found:
                 parts += [t[at:start], f"<{kind}_REDACTED>"]
                 at = end
             out.append({"text": "".join(parts) + t[at:], "kinds": list(dict.fromkeys(s[2] for s in spans))})
-        return pa.array(out, pa.struct([("text", pa.string()), ("kinds", pa.list_(pa.string()))]))
+        return out
+
+    @F.arrow_udf("struct<text: string, kinds: array<string>>")
+    def rewrite(texts: pa.Array, found_: pa.Array, more: pa.Array, failed: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array(rewritten_rows(*(c.slice(start, n) for c in (texts, found_, more, failed))), kind)
+                                 for start, n in pieces(texts)])
 
     stops = failure(found["error"], F.lit("closed"), on_error)  # NULL, or 'closed', or the end of the job
     broken = F.coalesce(stops == "closed", F.lit(False))
