@@ -78,3 +78,12 @@ def test_audit_rows_have_a_mark_or_a_stream(spark, kept):
     mark = None if kept == 0 else (1, kept - 1)
     out = audit.new_audit_rows(rows, mark).orderBy("id").collect()
     assert [(r.id, r.notice) for r in out] == [(i, i % 2 == 1) for i in range(kept, 4)]
+
+
+def test_few_versions_go_to_the_rows(spark):
+    """Rows of a few days of one policy have a few keys: they would all be shuffled to a few tasks."""
+    versions = spark.createDataFrame([("P", 1, hours(1))], "policy string, version int, valid_from timestamp")
+    rows = spark.range(100).selectExpr("id", "'P' AS policy", "timestamp_seconds(1704067200 + id * 60) AS time")
+    out = as_of(rows, versions, "time")
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().sparkPlan().toString()
+    assert [r.version for r in out.orderBy("id").collect()] == [None] * 60 + [1] * 40

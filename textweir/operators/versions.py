@@ -21,8 +21,8 @@ def as_of(rows: DataFrame, versions: DataFrame, time_col: str, by: Sequence[str]
     """``rows`` with the other columns of the version of ``versions`` that held at ``time_col``, NULL before the first.
 
     A version holds from ``valid_from`` (inclusive) until the next one of the same ``by``; of versions that
-    begin together the one with the largest ``order`` holds. Both sides meet by ``by`` and day, so
-    neither many versions nor one policy with most of the rows lands in one task. Rows without a
+    begin together the one with the largest ``order`` holds. Versions that are few (counted by their days) are
+    broadcast, so the rows stay where they are; else both sides meet by ``by`` and day. Rows without a
     time have no version.
     """
     day = F.to_date(time_col)
@@ -35,7 +35,8 @@ def as_of(rows: DataFrame, versions: DataFrame, time_col: str, by: Sequence[str]
     last = F.least(F.coalesce(F.to_date("__until"), F.lit(high).cast("date")), F.lit(high).cast("date"))
     spans = spans.select(*by, F.struct(*rest).alias("__v"), "__until", first.alias("__first"), last.alias("__last")).filter(
         "__first <= __last").select(*by, "__v", "__until", F.explode(F.sequence("__first", "__last")).alias("__day"))
-    spans = spans.toDF(*(f"__by{i}" for i in range(len(by))), "__v", "__until", "__day")
+    # a few days of all rows are a few keys: versions that are few go to the rows instead
+    spans = checked_broadcast(spans.toDF(*(f"__by{i}" for i in range(len(by))), "__v", "__until", "__day"))
     here = F.col("__given") == F.col("__day")
     for i, c in enumerate(by):
         here &= F.col(c) == F.col(f"__by{i}")
