@@ -244,7 +244,7 @@ def sentence_stream(chunks: DataFrame, mode: str = "text", idle: str = "10 minut
     if mode not in ("text", "chunk"):
         raise ValueError("mode is 'text' or 'chunk'")
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    chunks = chunks.filter("seq is not null").select("stream_id", "seq", "ts", "chunk", "eos", F.unix_millis("ts").alias("ms"))
+    chunks = chunks.filter("seq is not null").select("stream_id", "seq", "ts", "chunk", "eos", F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("ms"))
     # rows, not frames: most calls bring a few rows of one stream, and a frame for each costs more than the work
     return (chunks.withWatermark("ts", idle).groupBy("stream_id")
             .transformWithState(_Sentences(mode, idle_ms, parked_most), OUT_SCHEMA, "Append", "EventTime"))
