@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textweir import Policy, scan
 from textweir.operators import audit, blocklist, compliance
+from textweir.plans.tables import settings
 from textweir.sources import readers, sinks
 
 POLICY = Policy(name="p", pii_enabled=True, pii_patterns=("EMAIL",), topics=("crypto",), injection_enabled=True)
@@ -155,6 +156,33 @@ def test_blocklist_equals_the_alternation(texts, spark):
     assert blocklist.blocklist_hits(df, "i", terms.limit(0), broadcast_rows=-1).count() == 0
 
 
+def test_long_blocklist_is_stored_once_and_not_copied(texts, spark, monkeypatch):
+    terms = spark.range(300).selectExpr("concat('w', id % 150, ' common') AS term").unionAll(spark.sql("SELECT 'the common' UNION ALL SELECT NULL"))
+    rows = [f"{'The' if i % 3 else 'the'} common, w{i} common" for i in range(2000)]
+    want = {i: ("Topic:" + ",".join([t[:10], f"w{i} common"][:1 + (i < 150)]), 1 + (i < 150)) for i, t in enumerate(rows)}
+    split = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2"}
+    for filtered in (blocklist._FILTERED, 0):  # through the Bloom filter, and too many terms for it
+        monkeypatch.setattr(blocklist, "_FILTERED", filtered)
+        with settings(spark, split):
+            out = blocklist.blocklist_hits(texts(rows), "i", terms, broadcast_rows=10)
+            assert {r.i: (r.label, r.n_hits) for r in out.collect()} == want
+            plan = out._jdf.queryExecution()
+            # each term once, read from the store; the frequent n-gram's partition is split
+            assert plan.optimizedPlan().toString().count("Generate") == 1 and "Range (" not in plan.optimizedPlan().toString()
+            assert "SortMergeJoin(skew=true)" in plan.executedPlan().toString()
+
+
+def test_phrases_start_at_words(texts):
+    from conftest import random_texts
+
+    from textweir.plans import spans
+
+    rows = [*random_texts(300, ["ab", "É9", "_", " ", "  ", "-", "\n", "c d", "😀", "२"], seed=11), "a" * 3000 + " b", "a" * 3000, "", None]
+    found = texts(rows).select(*(F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (spans._PHRASE, r"[\p{L}\p{N}_]+ [\p{L}\p{N}_]+"))).collect()
+    assert [r[0] for r in found] == [r[1] for r in found] and sum(len(r[0] or ()) for r in found) > 100
+
+
 def test_blocklist_of_single_words(texts, spark):
     df = texts(["Tip, tip and STOCK", "tipping", None, ""])
     terms = spark.createDataFrame([("tip",), ("stock",), ("TIP",)], "term string")

@@ -19,7 +19,6 @@ from ..session import BROADCAST_ROWS, materialize, small_enough
 # Maximal runs of word characters and the runs between them, in turn.
 _WORDS = r"[\p{L}\p{N}_]+"
 _RUNS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
-_SALTS = 32
 #: Characters of the q-grams that substrings are looked up by; shorter terms stand for themselves, so they need no second look.
 _Q = 8
 #: Terms of one lane, which a task holds in memory.
@@ -28,6 +27,8 @@ _LANE = 400_000
 _TEXTS = 256
 #: Bits of a Bloom filter, of which 64 are one broadcast row: 8 KB to 16 MB whatever the list.
 _LEAST_BITS, _MOST_BITS = 1 << 16, 1 << 27
+#: Terms beyond which the largest filter lets two in five of all other n-grams through and costs more than it saves.
+_FILTERED = _MOST_BITS // 2
 
 
 def bloom_filter(df: DataFrame, key: str) -> DataFrame:
@@ -56,11 +57,10 @@ def _ngrams(runs: Column, n_words: int) -> Column:
     ``pos`` is the index among the runs; words stand at every second run.
     """
     width = 2 * n_words - 1
-    starts = F.when(F.size(runs) >= width, F.sequence(F.lit(1), F.size(runs) - (width - 1)))
-    starts = F.coalesce(starts, F.array().cast("array<int>"))
-    spans = F.transform(starts, lambda i: F.struct(
-        i.alias("pos"), F.array_join(F.slice(runs, i, width), "").alias("span")))
-    return F.filter(spans, lambda s: s["span"].rlike(r"^[\p{L}\p{N}_]"))
+    first = F.when(F.get(runs, 0).rlike(r"^[\p{L}\p{N}_]"), 1).otherwise(2)
+    last = F.size(runs) - (width - 1)
+    starts = F.coalesce(F.when(last >= first, F.sequence(first, last, F.lit(2))), F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(runs, i, width), "").alias("span")))
 
 
 def blocklist_hits(df: DataFrame, key_col: str, terms: DataFrame, text_col: str = "text",
@@ -72,16 +72,20 @@ def blocklist_hits(df: DataFrame, key_col: str, terms: DataFrame, text_col: str
     Terms must begin and end with a word character. The texts' word n-grams are
     joined with the terms, case-insensitively; where hits overlap the leftmost
     wins and, at one start, the term listed first (``terms.rank`` if present).
-    ``key_col`` identifies a text. Only hits are shuffled; if the terms are more than
-    ``broadcast_rows``, also the n-grams that pass a Bloom filter of the terms by chance, with a salt
-    so that a frequent n-gram does not meet in one task.
+    ``key_col`` identifies a text. The distinct terms are stored once. Only hits are shuffled; if the terms
+    are more than ``broadcast_rows``, also each term, once, and the n-grams that pass a Bloom filter of the
+    terms by chance (all n-grams beyond ``_FILTERED`` terms). The terms are unique in that
+    join, so a task merges its n-grams with one term at a time, and Spark splits the partition of a frequent n-gram.
     """
     rank = F.col("rank") if "rank" in terms.columns else F.lit(0)
-    listed = (terms.select(*by, F.lower(term_col).alias("__term"), rank.alias("__rank"))
-              .groupBy(*by, "__term").agg(F.min("__rank").alias("__rank")))
-    # the distinct word counts of the terms: a handful of numbers
-    n_words = F.size(F.regexp_extract_all(F.col("__term"), F.lit(_WORDS), F.lit(0)))
-    lengths = sorted(r[0] for r in listed.select(n_words.alias("n")).distinct().collect() if r[0]) or [1]
+    n_words = F.regexp_count("__term", F.lit(_WORDS))
+    listed = materialize(terms.select(*by, F.lower(term_col).alias("__term"), rank.alias("__rank"))
+                         .filter("__term is not null").groupBy(*by, "__term").agg(F.min("__rank").alias("__rank"))
+                         .withColumn("__n_words", n_words), "terms")
+    # by word count: a handful of numbers
+    counts = {r[0]: r[1] for r in listed.groupBy("__n_words").count().collect()}
+    listed, n_listed = listed.drop("__n_words"), sum(counts.values())
+    lengths = sorted(n for n in counts if n) or [1]
 
     if lengths == [1]:
         words = F.regexp_extract_all(F.col(text_col), F.lit(_WORDS), F.lit(0))
@@ -91,14 +95,12 @@ def blocklist_hits(df: DataFrame, key_col: str, terms: DataFrame, text_col: str
                          F.regexp_extract_all(F.col(text_col), F.lit(_RUNS), F.lit(0)).alias("__runs"))
         grams = runs.select("__key", *by, F.inline(F.flatten(F.array(*[_ngrams(F.col("__runs"), n) for n in lengths]))))
     grams = grams.withColumn("__term", F.lower("span"))
-    if small_enough(listed, broadcast_rows):
+    if n_listed <= broadcast_rows:
         hits = grams.join(F.broadcast(listed), [*by, "__term"])
     else:
-        listed = materialize(listed, "terms")
-        grams = may_hold(grams, "__term", materialize(bloom_filter(listed, "__term"), "bloom"))
-        salted = listed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        grams = grams.withColumn("__salt", F.pmod(F.xxhash64("__key"), F.lit(_SALTS)).cast("int"))
-        hits = grams.join(salted, [*by, "__term", "__salt"])
+        if n_listed <= _FILTERED:
+            grams = may_hold(grams, "__term", materialize(bloom_filter(listed, "__term"), "bloom"))
+        hits = grams.join(listed, [*by, "__term"])
 
     n_span = F.size(F.regexp_extract_all(F.col("span"), F.lit(_WORDS), F.lit(0)))
     hits = hits.select("__key", F.struct(

@@ -141,6 +141,8 @@ def substring_blocklist(spark, sf_dir):
     return out.withColumn("found", F.array_join("found", "|"))
 
 
+#: The SQL's pattern, looked for at the start of a word only: a long word is read once and not from each of its characters.
+_PHRASE = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]++ [\p{L}\p{N}_]++"
 _PHRASES = r"""SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\pL\pN_]+ [\pL\pN_]+'))) AS term FROM documents"""
 
 
@@ -155,8 +157,8 @@ k AS (SELECT n.id, n.pos, n.span, n.nxt FROM n JOIN (SELECT id, min(pos) AS pos
 SELECT id, 'Topic:' || array_to_string(list_sort(list_distinct(list(span))), ',') AS label, count(*)::BIGINT AS n_hits FROM k GROUP BY id""")
 def large_blocklist_phrases(spark, sf_dir):
     """All turns against the two-word phrases of all documents, a list over the query's broadcast limit."""
-    phrases = F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+ [\p{L}\p{N}_]+"), F.lit(0)))
-    terms = load(spark, sf_dir, "documents").select(phrases.alias("p")).select(F.lower("p").alias("term")).distinct()
+    phrases = F.explode(F.regexp_extract_all("text", F.lit(_PHRASE), F.lit(0)))
+    terms = load(spark, sf_dir, "documents").select(phrases.alias("term"))  # lower-cased and made distinct with the hits
     turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return blocklist.blocklist_hits(turns, "id", terms, broadcast_rows=1_000).withColumn("n_hits", F.col("n_hits").cast("bigint"))
 
