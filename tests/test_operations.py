@@ -242,6 +242,53 @@ def test_substrings_in_lanes(texts, spark, monkeypatch):
     assert lanes == [([1, 2], 0, 1), ([3], 0, 1), *(([8], part, 3) for part in range(3))]
 
 
+def test_substring_hits_are_not_shuffled(texts, spark):
+    from conftest import random_texts
+
+    rows = [*random_texts(200, ["ab", "Ba", "c", " ", "é"], seed=9, most=30), None]
+    words = sorted({w.lower() for w in random_texts(60, ["ab", "ba", "c", " ", "é"], seed=10, most=6) if w})
+    terms = spark.createDataFrame([(i % 3, w) for i, w in enumerate(words)], "rank int, term string")  # many of one rank
+    listed = sorted(words, key=lambda w: (words.index(w) % 3, w))
+    want = {i: found for i, t in enumerate(rows) if (found := [w for w in listed if w in (t or "").lower()])}
+    for limit in (1_000, 0):  # broadcast, and dealt with the texts
+        out = blocklist.substring_hits(texts(rows), ["i"], terms, broadcast_rows=limit)
+        assert {r.i: r.found for r in out.collect()} == want
+        above = out._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+        assert "Aggregate" not in above and "Repartition" not in above and "Sort" not in above
+
+
+def test_substrings_of_hot_grams_long_texts_and_many_letters(texts, spark, monkeypatch):
+    from itertools import product
+
+    monkeypatch.setattr(blocklist, "_CHARS", 64)
+    # the longer terms share all of their q-grams but the last
+    words = ["abcdefgh", *("abcdefgh" + "".join(x) for x in product("xyz", repeat=3)), "hx", "h"]
+    rows = ["abcdefghxyz" * 40 + "q" * 200 + "abcdefghzzx", "abcdefgh", "zhx" * 30, ""]
+    terms = spark.createDataFrame([(len(w), w) for w in words], "rank int, term string")
+    want = {i: found for i, t in enumerate(rows) if (found := [w for w in sorted(words, key=lambda w: (len(w), w)) if w in t])}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        for lane, limit in ((1_000, 1_000), (1_000, 0), (5, 0)):
+            monkeypatch.setattr(blocklist, "_LANE", lane)
+            out = blocklist.substring_hits(texts([*rows, *rows]), ["i"], terms, broadcast_rows=limit)
+            assert {r.i: r.found for r in out.collect()} == want | {i + len(rows): found for i, found in want.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # as many letters as a key of four bytes does not hold
+    import pyarrow as pa
+
+    letters = [chr(c) for c in range(0x4E00, 0x9FFF)] + [chr(c) for c in range(0x20000, 0x27000)]
+    grams = sorted(a + b for a, b in zip(letters, letters[1:]))
+    lane = blocklist._Lane()
+    for i in range(0, len(grams), 10_000):
+        piece = grams[i:i + 10_000]
+        lane.add(pa.array(piece), pa.nulls(len(piece), pa.string()), pa.array(range(i, i + len(piece)), pa.int64()))
+    lane.close()
+    assert {level.keys.dtype.itemsize for level, _ in lane._levels} == {4, 8}
+    text, term, _ = lane.find(pa.array(["".join(letters[100:120]), "x", "".join(letters[::2])]), False)
+    assert text.tolist() == [0] * 19 and [lane.terms[lane._order[k]].as_py() for k in term] == sorted(a + b for a, b in zip(letters[100:119], letters[101:120]))
+
+
 def test_effective_rules(spark):
     listed = spark.createDataFrame([("a", "x"), ("a", "d1"), ("b", "y"), ("b", "y")], "policy string, rule string")
     got = {tuple(r) for r in audit.effective_rules(listed, ["d1", "d2"], "policy", "rule").collect()}
