@@ -165,14 +165,16 @@ _LISTS = {"grams": "array<string>", "terms": "array<string>", "ranks": "array<bi
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of lane and gram to ``(lane, grams, terms, ranks)``: many of one lane in one row."""
+    """Rows in the order of lane and gram to ``(lane, grams, terms, ranks)``: many of one lane in one row, no ``terms`` if all are NULL."""
     for whole in batches:
         lanes = whole.column("lane").to_numpy()
         edges = [0, *(np.flatnonzero(np.diff(lanes)) + 1).tolist(), whole.num_rows]
         for low, high in zip(edges, edges[1:]):
             if low < high:
                 piece = whole.slice(low, high - low)
-                lists = [pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), piece.column(c)) for c in ("gram", "term", "rank")]
+                gram, term, rank = (piece.column(c) for c in ("gram", "term", "rank"))
+                term = term.slice(0, 0) if term.null_count == len(term) else term
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (gram, term, rank)]
                 yield pa.RecordBatch.from_arrays([piece.column("lane").slice(0, 1), *lists], names=["lane", *_LISTS])
 
 
@@ -376,6 +378,7 @@ class _Lane:
             if at.size:
                 yield pa.RecordBatch.from_arrays([*(piece.column(k).take(pa.array(at)) for k in keys),
                                                   pa.ListArray.from_arrays(ends, self.terms.take(pa.array(self._order[term])))], names=[*keys, "found"])
+        _trim()
 
     def parts(self, whole: pa.RecordBatch, keys: Sequence[str], low: bool) -> Iterator[pa.RecordBatch]:
         """The same for one lane of several: ranks, places and sizes in one value, and if ``low`` the text, for all of them."""
@@ -389,6 +392,7 @@ class _Lane:
             kept = [*(piece.column(k).take(pa.array(at, pa.int64())) for k in keys)]
             texts = piece.column("__low").take(pa.array(at, pa.int64())) if low else pa.nulls(len(at), pa.string())
             yield pa.RecordBatch.from_arrays([*kept, texts, pa.array(hits, pa.binary())], names=[*keys, "__low", "hits"])
+        _trim()
 
 
 def _slices(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
